@@ -1,8 +1,8 @@
 """All queries of the subpackage, by name."""
 
-from . import sharding
+from . import quality_rules, sharding
 
-_MODULES = [sharding]
+_MODULES = [sharding, quality_rules]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
