@@ -1,8 +1,8 @@
 """All queries of the subpackage, by name."""
 
-from . import packing, quality_rules, sharding
+from . import minhash, packing, quality_rules, sharding
 
-_MODULES = [sharding, quality_rules, packing]
+_MODULES = [sharding, quality_rules, packing, minhash]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
