@@ -1,8 +1,8 @@
 """All queries of the subpackage, by name."""
 
-from . import minhash, mixing, packing, quality_rules, sharding
+from . import line_dedup, minhash, mixing, packing, quality_rules, sharding
 
-_MODULES = [sharding, quality_rules, packing, minhash, mixing]
+_MODULES = [sharding, quality_rules, packing, minhash, mixing, line_dedup]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
