@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import packed, table, written
 from .components import connected_components
 
 WORD_CACHE = 400_000
@@ -220,6 +220,13 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of df that near_duplicates() keeps, one of each group; a repeated row stays once."""
+    kept = near_duplicates(df, id_col=id_col, text_col=text_col, **settings).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    held = packed(df).withColumn("id", F.col("record").getField(id_col).cast("long")).withColumn("h", F.xxhash64(F.col("record").getField(text_col)))
+    return held.join(kept, F.expr("id <=> kept_id"), "left_semi").dropDuplicates(["id", "h"]).select("record.*")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
