@@ -1,10 +1,6 @@
 """Named queries over the driver tables and their SQL statements."""
 
-from __future__ import annotations
+from . import activity, catalogue, matching, texts
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "activity", "catalogue", "matching", "texts"]
