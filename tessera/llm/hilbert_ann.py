@@ -129,7 +129,8 @@ def nearest_neighbours(
     nodes = valid.groupBy("node").agg(F.first("v").alias("v"), F.max("asks").alias("asks")).join(ids, "node")
     nodes = written(nodes, "nodes")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    longest = nodes.agg(F.max(norm)).first()[0]
+    longest, distinct = nodes.agg(F.max(norm), F.count(F.lit(1))).first()
+    ranges = max(1, min(ranges, distinct // (4 * k)))  # a range of a small table must hold enough to choose from
     index = Curves(common["dims"], curves, projected, bits, ranges, longest, seed)
     sample = nodes.orderBy(F.xxhash64(F.lit(seed), "node")).limit(SAMPLE_ROWS).select("v").toPandas()["v"].tolist()
     index.fit(np.array(sample, dtype=np.float64))
