@@ -11,7 +11,15 @@ from ..operators.relational import exists, insert_absent, page, recent, top_one,
 from ..streaming import stateful
 from .registry import EVENT_CLOCK, ORDER_CLOCK, clock, query
 
-NOW, EVENTS_NOW = clock(ORDER_CLOCK), clock(EVENT_CLOCK)
+
+
+def today():
+    return clock(ORDER_CLOCK)
+
+
+def event_day():
+    return clock(EVENT_CLOCK)
+
 
 LISTS_SQL = """
 SELECT 'urgent' AS list, o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1998-09-15 00:00:00' AND o_orderstatus <> 'P'
@@ -29,9 +37,9 @@ def dashboard_lists(t):
     orders = t.orders.join(changed, "o_orderkey", "left")
     when, status = F.col("o_orderdate"), F.col("o_orderstatus")
     on = {
-        "urgent": (when <= NOW + temporal.days(14)) & (status != "P"),
+        "urgent": (when <= today() + temporal.days(14)) & (status != "P"),
         "blocked": status == "P",
-        "approaching": when.between(NOW, NOW + temporal.days(30)),
+        "approaching": when.between(today(), today() + temporal.days(30)),
         "submitted": status == "F",
         "changed": F.col("changed"),
     }
@@ -40,7 +48,7 @@ def dashboard_lists(t):
 
 @query("next_reminders", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-09-01 00:00:00' ORDER BY o_orderdate, o_orderkey LIMIT 20")
 def next_reminders(t):
-    return page(t.orders.filter(F.col("o_orderdate") >= NOW), [F.col("o_orderdate"), F.col("o_orderkey")], 20).select("o_orderkey", "o_orderdate")
+    return page(t.orders.filter(F.col("o_orderdate") >= today()), [F.col("o_orderdate"), F.col("o_orderkey")], 20).select("o_orderkey", "o_orderdate")
 
 
 @query("task_list", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderdate NULLS LAST, o_orderpriority DESC, o_orderkey LIMIT 25")
@@ -65,7 +73,7 @@ def status_counts(t):
 
 @query("overdue", "SELECT o_custkey, count(*) AS overdue FROM orders WHERE o_orderdate < TIMESTAMP '1998-09-01 00:00:00' AND o_orderstatus NOT IN ('F') GROUP BY 1")
 def overdue(t):
-    return t.orders.filter((F.col("o_orderdate") < NOW) & ~F.col("o_orderstatus").isin("F")).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("overdue"))
+    return t.orders.filter((F.col("o_orderdate") < today()) & ~F.col("o_orderstatus").isin("F")).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("overdue"))
 
 
 @query("private_progress", "SELECT o_orderkey, count(l_orderkey) FILTER (WHERE l_linestatus = 'O') AS outstanding FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey <= 50 GROUP BY 1")
@@ -119,8 +127,8 @@ def rolling_quota(t):
 
 @query("quota_now", "SELECT user_id, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-19 00:00:00') AS last_day, count(*) AS last_30_days FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2023-12-21 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1")
 def quota_now(t):
-    used = t.events.filter((F.col("event_type") == "click") & F.col("ts").between(EVENTS_NOW - temporal.days(30), EVENTS_NOW))
-    return used.groupBy("user_id").agg(F.count_if(F.col("ts") >= EVENTS_NOW - temporal.days(1)).alias("last_day"), F.count(F.lit(1)).alias("last_30_days"))
+    used = t.events.filter((F.col("event_type") == "click") & F.col("ts").between(event_day() - temporal.days(30), event_day()))
+    return used.groupBy("user_id").agg(F.count_if(F.col("ts") >= event_day() - temporal.days(1)).alias("last_day"), F.count(F.lit(1)).alias("last_30_days"))
 
 
 @query("seats", "SELECT count(*) FILTER (WHERE event_type IN ('signup', 'purchase')) AS taken, count(*) FILTER (WHERE event_type IN ('signup', 'purchase')) >= 500 AS full_house, coalesce(max(event_id), 0) + 1 AS next_id FROM events")
@@ -131,13 +139,13 @@ def seats(t):
 
 @query("retention_purge", "SELECT event_id FROM events WHERE NOT coalesce(ts <= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY AND event_type <> 'purchase', false)")
 def retention_purge(t):
-    return retention.purge(t.events, (F.col("ts") <= EVENTS_NOW - temporal.days(7)) & (F.col("event_type") != "purchase")).select("event_id")
+    return retention.purge(t.events, (F.col("ts") <= event_day() - temporal.days(7)) & (F.col("event_type") != "purchase")).select("event_id")
 
 
 @query("retention_children", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderdate <= TIMESTAMP '1998-09-01 00:00:00' - INTERVAL 365 DAY) GROUP BY 1")
 def retention_children(t):
     lines = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
-    _, left = retention.purge_with_children(t.orders, {"lineitem": lines}, "o_orderkey", F.col("o_orderdate") <= NOW - temporal.days(365))
+    _, left = retention.purge_with_children(t.orders, {"lineitem": lines}, "o_orderkey", F.col("o_orderdate") <= today() - temporal.days(365))
     return left["lineitem"].groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -179,8 +187,8 @@ def job_last10(t):
 
 @query("job_health", "SELECT event_type, max(ts) AS last_completed, max(ts) >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 5 MINUTE AS fresh, max_by(event_id, (ts, event_id)) AS last_id FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1")
 def job_health(t):
-    done = t.events.filter(F.col("ts") <= EVENTS_NOW)
-    fresh = F.max("ts") >= EVENTS_NOW - F.make_dt_interval(mins=F.lit(5))
+    done = t.events.filter(F.col("ts") <= event_day())
+    fresh = F.max("ts") >= event_day() - F.make_dt_interval(mins=F.lit(5))
     return done.groupBy("event_type").agg(F.max("ts").alias("last_completed"), fresh.alias("fresh"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"))
 
 
@@ -199,7 +207,7 @@ def queue_claim(t):
 @query("reminder_dispatch", "SELECT o_orderkey, 'delivered' AS status FROM orders WHERE o_orderdate <= TIMESTAMP '1998-09-01 00:00:00' AND o_orderstatus IN ('O', 'F') AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)")
 def reminder_dispatch(t):
     opted_out = t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    due = t.orders.filter((F.col("o_orderdate") <= NOW) & F.col("o_orderstatus").isin("O", "F"))
+    due = t.orders.filter((F.col("o_orderdate") <= today()) & F.col("o_orderstatus").isin("O", "F"))
     return due.join(opted_out, "o_custkey", "left_anti").select("o_orderkey", F.lit("delivered").alias("status"))
 
 

@@ -14,7 +14,12 @@ from ..operators import quality
 from ..operators.relational import any_of, children, exists, flagged, like_anywhere, not_exists, page, page_info, top_one
 from .registry import ORDER_CLOCK, clock, query
 
-NOW = clock(ORDER_CLOCK)
+
+
+def today():
+    return clock(ORDER_CLOCK)
+
+
 STATE_SQL = (
     "CASE WHEN o_orderstatus = 'P' THEN 'archived' WHEN o_orderdate < TIMESTAMP '1998-09-01 00:00:00' THEN 'closed' "
     "WHEN o_orderdate > TIMESTAMP '1999-09-01 00:00:00' THEN 'upcoming' ELSE 'open' END"
@@ -29,7 +34,7 @@ PUBLIC_SQL = (
 def with_state(orders):
     later = clock("1999-09-01 00:00:00")
     upcoming = F.when(F.col("o_orderdate") > later, F.col("o_orderdate"))
-    state = temporal.window_state(NOW, upcoming, F.col("o_orderdate"), F.lit(False), F.col("o_orderstatus") == "P")
+    state = temporal.window_state(today(), upcoming, F.col("o_orderdate"), F.lit(False), F.col("o_orderstatus") == "P")
     return orders.withColumn("window_state", state)
 
 
@@ -72,8 +77,8 @@ def catalogue_all(t):
     "WHERE l_orderkey = o_orderkey AND l_linestatus = 'O' AND l_returnflag = 'N' AND l_shipdate >= TIMESTAMP '1998-09-01 00:00:00' - INTERVAL 90 DAY)",
 )
 def catalogue_open_now(t):
-    fresh = sources(t).filter(temporal.is_fresh(F.col("l_shipdate"), NOW) & (F.col("l_returnflag") == "N"))
-    open_ = t.orders.filter((F.col("o_orderstatus") != "P") & (F.col("o_orderdate").isNull() | (F.col("o_orderdate") >= NOW)))
+    fresh = sources(t).filter(temporal.is_fresh(F.col("l_shipdate"), today()) & (F.col("l_returnflag") == "N"))
+    open_ = t.orders.filter((F.col("o_orderstatus") != "P") & (F.col("o_orderdate").isNull() | (F.col("o_orderdate") >= today())))
     return exists(open_, fresh, "o_orderkey").select("o_orderkey")
 
 
@@ -152,7 +157,7 @@ def best_source_per_order(t):
 @query("evidence_selection", f"SELECT b.* FROM ({BEST_SQL}) b WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = b.l_orderkey AND l.l_linestatus = 'O' AND l.l_returnflag = 'R') AND b.l_shipdate >= TIMESTAMP '1998-09-01 00:00:00' - INTERVAL 90 DAY")
 def evidence_selection(t):
     disqualified = t.lineitem.filter("l_linestatus = 'O' AND l_returnflag = 'R'")
-    return not_exists(best_source_per_order(t), disqualified, "l_orderkey").filter(temporal.is_fresh(F.col("l_shipdate"), NOW))
+    return not_exists(best_source_per_order(t), disqualified, "l_orderkey").filter(temporal.is_fresh(F.col("l_shipdate"), today()))
 
 
 @query("latest_source", "SELECT l_orderkey, max(l_shipdate) AS latest, count(*) AS n_sources, bool_or(l_returnflag = 'R') AS disqualified, bool_and(l_linestatus = 'O') AS all_official FROM lineitem GROUP BY 1")
@@ -176,7 +181,7 @@ def current_cycle(t):
 
 @query("due_sources", "SELECT l_orderkey, l_partkey, l_shipdate FROM lineitem WHERE l_shipdate IS NULL OR l_shipdate <= TIMESTAMP '1998-09-01 00:00:00' - INTERVAL 7 DAY ORDER BY l_shipdate NULLS FIRST, l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 20")
 def due_sources(t):
-    due = t.lineitem.filter(F.col("l_shipdate").isNull() | (F.col("l_shipdate") <= NOW - temporal.days(7)))
+    due = t.lineitem.filter(F.col("l_shipdate").isNull() | (F.col("l_shipdate") <= today() - temporal.days(7)))
     return page(due, [F.col("l_shipdate").asc_nulls_first(), F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")], 20).select("l_orderkey", "l_partkey", "l_shipdate")
 
 
@@ -281,7 +286,7 @@ def issues_by_order(t):
     "WHEN l_shipdate >= TIMESTAMP '1998-09-01 00:00:00' - INTERVAL 180 DAY THEN 'recheck_recommended' ELSE 'historical' END AS freshness FROM lineitem) t GROUP BY 1",
 )
 def verification_freshness(t):
-    return t.lineitem.groupBy(temporal.verification_freshness(F.col("l_shipdate"), NOW).alias("freshness")).agg(F.count(F.lit(1)).alias("n"))
+    return t.lineitem.groupBy(temporal.verification_freshness(F.col("l_shipdate"), today()).alias("freshness")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -290,7 +295,7 @@ def verification_freshness(t):
     "WHEN o_orderdate <= TIMESTAMP '1998-09-15 00:00:00' THEN 'due_soon' ELSE 'upcoming' END AS urgency FROM orders",
 )
 def deadline_urgency(t):
-    return t.orders.select("o_orderkey", temporal.urgency(F.col("o_orderdate"), F.col("o_orderstatus") == "P", F.col("o_orderpriority") == "5-LOW", NOW).alias("urgency"))
+    return t.orders.select("o_orderkey", temporal.urgency(F.col("o_orderdate"), F.col("o_orderstatus") == "P", F.col("o_orderpriority") == "5-LOW", today()).alias("urgency"))
 
 
 @query(
