@@ -1,17 +1,19 @@
 """Line dedup by pairwise alignment.
 
-A run is the shortest stretch of consecutive lines, from a given line on, that has `min_words` words: the least that
-may be deleted. Runs are hashed, and a run found in several documents pairs each later document with the first one
-that holds it (its owner), so the pairs grow with the repeated runs and not with their square. A pair is aligned by
-patience diff over its line hashes, and the aligned common blocks of `min_words` words or more are deleted from the
-later document. An owner keeps its run: a block that an earlier document shares has that document as its owner.
+A run is the shortest stretch of consecutive lines, from a given line on or up to a given line, that has `min_words`
+words: the least that may be deleted. Runs are hashed, and a run found in several documents pairs each later document
+with the first one that holds it (its owner), so the pairs grow with the repeated runs and not with their square. A
+pair is aligned by patience diff over its line hashes, and the aligned common blocks of `min_words` words or more are
+deleted from the later document, with the runs of the pair that no rising alignment holds. An owner keeps its run: a
+block that an earlier document shares has that document as its owner.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -80,30 +82,54 @@ def patience(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs_of(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """Half-open places of the shortest stretches with `min_words` words, from each line on and up to each line.
+
+    Every line of a stretch with `min_words` words lies in one of these that lies in the stretch.
+    """
+    ends = [0, *accumulate(words)]
+    out = set()
+    for i in range(len(words)):
+        end = bisect_left(ends, ends[i] + min_words)
+        if end < len(ends):
+            out.add((i, end))
+        start = bisect_right(ends, ends[i + 1] - min_words) - 1
+        if start >= 0:
+            out.add((start, i + 1))
+    return sorted(out)
+
+
+def aligned_blocks(later: list[Line], owner: list[Line], words: list[int], min_words: int) -> set[int]:
+    """Places in `later` of lines in blocks with `min_words` words of one alignment."""
+    found: set[int] = set()
+    block: list[int] = []
+    before = (-2, -2)
+    for i, j in [*patience(later, owner), (-9, -9)]:
+        if (i - 1, j - 1) != before:
+            if sum(words[k] for k in block) >= min_words:
+                found |= set(block)
+            block = []
+        block.append(i)
+        before = (i, j)
+    return found
+
+
 def common_blocks(later: list[Line], owner: list[Line], words: list[int], min_words: int) -> set[int]:
-    """Places in `later` of lines in aligned blocks with `min_words` words.
+    """Places in `later` of the lines in all stretches of `min_words` words that `owner` holds too.
 
-    Lines left over are aligned with the whole owner again until nothing more is found, so moved and doubled
-    blocks count too.
+    An alignment is rising, so a short line in crossing order may hide a block from it; moved, doubled and overlapping
+    blocks do not fit into one either. Those left over are found by their runs.
     """
-    removed: set[int] = set()
-    while True:
-        rest = [i for i in range(len(later)) if i not in removed]
-        pairs = patience([later[i] for i in rest], owner)
-        found: set[int] = set()
-        block: list[int] = []
-        before = (-2, -2)
-        for i, j in [*pairs, (-9, -9)]:
-            if (i - 1, j - 1) != before:
-                if sum(words[k] for k in block) >= min_words:
-                    found |= set(block)
-                block = []
-            if i >= 0:
-                block.append(rest[i])
-            before = (i, j)
-        if not found:
-            return removed
-        removed |= found
+    removed = aligned_blocks(later, owner, words, min_words)
+    left = [(start, end) for start, end in runs_of(words, min_words) if not removed.issuperset(range(start, end))]
+    if left:
+        # Equal lines have equal words; a run over a line that `later` lacks equals none of its runs.
+        known = dict(zip(later, words, strict=True))
+        held = {tuple(owner[start:end]) for start, end in runs_of([known.get(x, 1) for x in owner], min_words)}
+        for start, end in left:
+            if tuple(later[start:end]) in held:
+                removed.update(range(start, end))
+    return removed
 
 
 def _outline(texts: DataFrame, min_words: int) -> DataFrame:
@@ -121,12 +147,8 @@ def _outline(texts: DataFrame, min_words: int) -> DataFrame:
                         places.append(i)
                         lines.append(xxhash.xxh64_intdigest(line.strip()))
                         words.append(n)
-                hashed, ends = np.array(lines, dtype=np.uint64), np.cumsum([0, *words])
-                runs = []
-                for i in range(len(lines)):
-                    end = bisect_left(ends, ends[i] + min_words)
-                    if end <= len(lines):
-                        runs.append(xxhash.xxh64_intdigest(hashed[i:end].tobytes()) - 2**63)
+                hashed = np.array(lines, dtype=np.uint64)
+                runs = [xxhash.xxh64_intdigest(hashed[start:end].tobytes()) - 2**63 for start, end in runs_of(words, min_words)]
                 for column, value in zip(columns, (np.array(places, dtype=np.int32).tobytes(), hashed.tobytes(), np.array(words, dtype=np.int32).tobytes(), runs), strict=True):
                     column.append(value)
             kept = [batch["id"], batch["h"], *[pa.array(c, f[1]) for c, f in zip(columns, fields[2:], strict=True)]]

@@ -129,6 +129,42 @@ def test_line_dedup_matches_brute_force(spark):
         assert (r.n_lines, r.removed_lines) == (len(lines), len(expected[r.doc_id]))
 
 
+def test_short_lines_in_crossing_order_hide_no_block():
+    assert common_blocks([1, 2], [2, 1], [60, 3], 20) == {0}
+    assert common_blocks([2, 3, 1], [1, 2, 9, 3], [3, 3, 60], 20) == {2}
+    assert common_blocks([1, 2, 3], [1, 2, 9, 2, 3], [10] * 3, 20) == {0, 1, 2}
+    assert common_blocks([1, 2, 3], [2, 9, 1, 3], [10, 20, 10], 20) == {1}, "lines on both sides of a deleted block are no block"
+    draw = random.Random(8)
+    for _ in range(3000):
+        length = [draw.randint(1, 14) for _ in range(7)]
+        later, owner = ([draw.randrange(7) for _ in range(draw.randint(0, 9))] for _ in range(2))
+        expected = set()
+        for s in range(len(later)):
+            for o in range(len(owner)):
+                n = 0
+                while s + n < len(later) and o + n < len(owner) and later[s + n] == owner[o + n]:
+                    n += 1
+                if sum(length[x] for x in later[s : s + n]) >= 20:
+                    expected |= set(range(s, s + n))
+        assert common_blocks(later, owner, [length[x] for x in later], 20) == expected
+
+
+def test_line_dedup_with_short_lines_matches_brute_force(spark):
+    passage, licence, notice = prose(90, 60), "all rights reserved here", "see the licence file"
+    rows = [(1, f"{licence}\n{passage}"), (2, f"{passage}\n{licence}"), (3, f"{passage}\n{licence}\nown words of three\n{notice}"), (4, f"{licence}\n{notice}\n{passage}")]
+    nineteen, one = " ".join(["w"] * 19), "x"
+    # The run of the first two lines has another owner than the three lines.
+    rows += [(10, f"{nineteen}\n{one}\nfirst end"), (11, f"{nineteen}\n{one}\nsecond end of it"), (12, f"{nineteen}\n{one}\nsecond end of it")]
+    draw = random.Random(3)
+    pieces = [*[prose(400 + k, n) for k, n in enumerate((12, 12, 24, 50))], licence, notice, "a", "b c"]
+    rows += [(20 + i, "\n".join(draw.choice(pieces) for _ in range(draw.randint(1, 9)))) for i in range(60)]
+    expected = brute_lines(rows, 20)
+    for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        lines = dict(rows)[r.doc_id].split("\n")
+        assert r.text == "\n".join(x for i, x in enumerate(lines) if i not in expected[r.doc_id]), r.doc_id
+        assert r.removed_lines == len(expected[r.doc_id])
+
+
 def test_line_dedup_of_awkward_and_empty_tables(spark):
     out = dedup_lines(awkward(spark))
     assert set(awkward(spark).columns) <= set(out.columns)
