@@ -55,3 +55,14 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(plans.QUERIES) <= set(entry.queries()) and set(plans.ORACLE_SQL) <= set(entry.oracle_sql())
+
+
+def test_explanations_and_progress_are_whole(spark, oracle):
+    count = lambda sql: oracle.sql(sql).fetchall()[0][0]
+    lists = plans.QUERIES["match_explanations_all"](spark, DATA)
+    scored = plans.QUERIES["match_scores"](spark, DATA).select("c_custkey", "p_partkey")
+    assert lists.count() == scored.count() == count("SELECT count(*) FROM customer JOIN part ON c_custkey % 50 = p_size")
+    assert lists.select("c_custkey", "p_partkey").exceptAll(scored).isEmpty()
+    assert all(len([x for c in ("satisfied", "missing", "uncertain") for x in r[c].split("; ") if x]) == 6 for r in lists.collect())
+    progress = plans.QUERIES["private_progress_all"](spark, DATA)
+    assert progress.count() == count("SELECT count(*) FROM orders") and progress.filter("o_custkey > 50").count() > 0
