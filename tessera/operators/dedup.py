@@ -15,6 +15,12 @@ def exact_groups(df: DataFrame, key: str, digest: Column) -> DataFrame:
     return hashed.join(groups, "_digest").select(key, "first_id", "copies")
 
 
+def _may_reach(least: float) -> Column:
+    """Whether x and y are near enough in length: a ratio of 2M / T cannot reach `least` if they differ too much."""
+    short, total = F.least(F.length("x"), F.length("y")), F.length("x") + F.length("y")
+    return 2 * short >= F.lit(least) * total
+
+
 def suggestions(rows: DataFrame, least: float = 0.8, shared_url: float = 0.95, known: DataFrame | None = None) -> DataFrame:
     """Pairs (id, other, score) of rows (id, name, block, url) that may be the same record.
 
@@ -29,9 +35,26 @@ def suggestions(rows: DataFrame, least: float = 0.8, shared_url: float = 0.95, k
     pairs = blocked.unionByName(linked).groupBy("id", "other", "x", "y").agg(F.bool_or("same_url").alias("same_url"))
     if known is not None:
         pairs = pairs.join(known, ["id", "other"], "left_anti")
-    # A ratio of 2M / T cannot reach `least` if the lengths differ too much.
-    short, total = F.least(F.length("x"), F.length("y")), F.length("x") + F.length("y")
-    possible = pairs.filter(F.col("same_url") | (2 * short >= F.lit(least) * total))
+    possible = pairs.filter(F.col("same_url") | _may_reach(least))
     name_score = F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(similarity(F.col("x"), F.col("y")))
     score = F.round(F.greatest(name_score, F.when(F.col("same_url"), F.lit(shared_url)).otherwise(F.lit(0.0))), 4)
     return possible.select("id", "other", score.alias("score")).filter(F.col("score") >= least)
+
+
+def class_suggestions(rows: DataFrame, least: float = 0.8) -> DataFrame:
+    """Rows (id, other, score, copies) from rows (id, name, block): equal names in any blocks, like names in one block.
+
+    Equal names form a class. Each member but the first gets one row, with the class's least id as `other`, the score
+    1 and the number of its members as `copies`, so the rows grow with the members and not with their square. Within
+    a block each name is represented by its least id there, and two names that are alike give one row of their
+    representatives, without copies, for each order in which their records occur: the name of `id` is that of the
+    newer record (the larger id) and the first argument of the similarity. Null names match nothing.
+    """
+    named = rows.filter("name IS NOT NULL")
+    classes = named.groupBy("name").agg(F.min("id").alias("other"), F.count(F.lit(1)).alias("copies"))
+    members = named.join(classes, "name").filter("id <> other").select("id", "other", F.lit(1.0).alias("score"), "copies")
+    held = named.groupBy("block", "name").agg(F.min("id").alias("id"), F.max("id").alias("newest"))
+    ordered = held.alias("a").join(held.alias("b"), F.expr("a.block = b.block AND a.name <> b.name AND a.newest > b.id"))
+    pairs = ordered.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.col("a.name").alias("x"), F.col("b.name").alias("y"))
+    alike = pairs.filter(_may_reach(least)).select("id", "other", similarity(F.col("x"), F.col("y")).alias("score")).filter(F.col("score") >= least)
+    return members.unionByName(alike.select("id", "other", F.round("score", 4).alias("score"), F.lit(None).cast("long").alias("copies")))

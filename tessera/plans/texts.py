@@ -128,9 +128,9 @@ def dup_pairs_exact(t):
 
 @query("dup_pairs_fuzzy")
 def dup_pairs_fuzzy(t):
-    """Parts of one brand and type whose names are alike (0.8 or more), or that share a name."""
-    rows = t.part.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"), F.concat_ws("|", "p_brand", "p_type").alias("block"), F.lit(None).cast("string").alias("url"))
-    return dedup.suggestions(rows, least=0.8)
+    """Parts that share a name, as members of a class, and names that are alike (0.8 or more) within a brand and type."""
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"), F.concat_ws("|", "p_brand", "p_type").alias("block"))
+    return dedup.class_suggestions(rows, least=0.8)
 
 
 @query("retrieval_tokens", "SELECT conv_id, turn, coalesce(array_to_string(list_slice(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{3,}'), lambda x: x NOT IN ('a', 'an', 'and', 'are', 'for', 'from', 'how', 'i', 'in', 'is', 'me', 'of', 'or', 'scholarship', 'scholarships', 'the', 'to', 'what', 'with')), 1, 6), ' '), '') AS tokens FROM conversations")

@@ -1,9 +1,12 @@
 import hashlib
+import random
 from datetime import datetime, timedelta
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import plans
 from tessera.operators import audit, dedup, ingest, matching, metrics, monitor, relational, retention, transitions
 from tessera.operators.security import Policy, secured
 from tessera.sources import readers
@@ -206,3 +209,48 @@ def test_import_outcomes(spark):
     got = {r.row_number: r for r in ingest.outcomes(spark.createDataFrame(rows, schema), existing).collect()}
     assert {n: r.outcome for n, r in got.items()} == {2: "importable", 3: "duplicate", 4: "invalid", 5: "duplicate", 6: "invalid", 7: "invalid"}
     assert "degree_level: Field required" in got[6].errors and "Funding type is unknown" in got[2].quality_warnings
+
+
+def expanded(rows, found):
+    """All pairs (id, other): score, newer id first, that the class rows and the representatives' rows stand for."""
+    name, block = {i: n for i, n, _ in rows}, {i: b for i, _, b in rows}
+    first = {i: i for i in name} | {r.id: r.other for r in found if r.copies is not None}
+    for r in found:
+        assert r.copies is None or (r.score == 1.0 and r.copies == sum(o == r.other for o in first.values()))
+    out = {(i, j): 1.0 for i in name for j in name if i > j and first[i] == first[j]}
+    for r in found:
+        if r.copies is None:
+            of = lambda k: [i for i in name if (name[i], block[i]) == (name[k], block[k])]
+            assert min(of(r.id)) == r.id and min(of(r.other)) == r.other
+            out |= {(i, j): r.score for i in of(r.id) for j in of(r.other) if i > j}
+    return out
+
+
+def brute_pairs(rows, least=0.8):
+    out = {}
+    for i, x, b in rows:
+        for j, y, c in rows:
+            if i > j and x is not None and y is not None and (x == y or b == c):
+                score = SequenceMatcher(None, x, y).ratio()
+                if score >= least:
+                    out[i, j] = round(score, 4)
+    return out
+
+
+def test_class_suggestions_match_brute_force(spark):
+    draw = random.Random(6)
+    names = [None, "", "abab", "baba", "ababa", "small ring", "small rings", "smal ring", "ring small", "red ring", "tide", "diet", "tided", "dieti"]
+    names += ["".join(draw.choice("ab") for _ in range(8)) for _ in range(20)]
+    rows = [(i, draw.choice(names), draw.choice(["p|de", "p|fr", "q|de"])) for i in range(220)]
+    found = dedup.class_suggestions(spark.createDataFrame(rows, "id long, name string, block string")).collect()
+    assert expanded(rows, found) == brute_pairs(rows)
+    assert len(found) == len({(r.id, r.other) for r in found if r.copies is None}) + sum(r.copies is not None for r in found)
+
+
+def test_parts_that_share_a_name_across_brands(spark):
+    rows = [(r.p_partkey, r.p_name.lower(), f"{r.p_brand}|{r.p_type}") for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()]
+    expected = brute_pairs(rows)
+    block = {i: b for i, _, b in rows}
+    assert any(block[i] != block[j] for i, j in expected)
+    found = plans.QUERIES["dup_pairs_fuzzy"](spark, "/root/testdata/sf0.001").collect()
+    assert expanded(rows, found) == expected and len(found) < len(expected)
