@@ -2,7 +2,8 @@
 
 Markup is stripped to lines, one a block element. Lines of menus, headers, footers, sidebars, notices, adverts, forms
 and comments, and lines that are mostly links, weigh nothing, as does everything outside an article or main element
-where the page has one. The weights are summed over sliding windows of lines; the text starts where the sum surges
+where the page has one. An article or main element counts within a wrapper that only its class, id or role names so,
+unless that names a menu, footer, comment, advert or list of other articles. The weights are summed over sliding windows of lines; the text starts where the sum surges
 and ends where it dives to nothing, and the weighing lines of the stretches in between are kept.
 """
 
@@ -33,6 +34,16 @@ NAMED = re.compile(
     r"cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|related|recommended|share|sharing|social|widget|toolbar|pagination|pager|search|complementary|contentinfo|alert)(?:$|[\s_-])",
     re.I,
 )
+#: A wrapper's word on what it has or lacks, as in no-sidebar, names no part.
+LAYOUT = re.compile(r"(?:(?<=[\s_-])|^)(?:no|has|with|without)[_-]\S*", re.I)
+#: Names of parts that hold an article only as a comment, a link or an advert. One in another named part is the page's.
+KEPT = re.compile(
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|contentinfo|complementary|comments?|commentlist|disqus|respond|reply|related|recommended|ads?|advert\w*|adsense|sponsor\w*|promo\w*)(?:$|[\s_-])"
+    r"|^\s*side-?bar\s*$",
+    re.I,
+)
+#: Names of an article's head, which may hold its title.
+HEAD = re.compile(r"(?:(?<=[\s_-])|^)(?:header|masthead)(?=$|[\s_-])", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe svg template".split())
 #: An end is implied by these starts: an open paragraph ends where a block starts.
@@ -45,8 +56,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
     line: list[str] = []
     linked = 0
-    open_: list[tuple[str, bool, bool]] = []  # name, drops its text, is an article
-    dropped = articles = links = 0
+    open_: list[tuple[str, bool, bool, bool, int]] = []  # name, drops its text, drops it by a name that an article resets, is an article, named drops that it reset
+    dropped = named = articles = links = 0
     in_line = {"drop": False, "inside": False}
 
     def end_line() -> None:
@@ -63,17 +74,18 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not text:
             return
         if not line:
-            in_line["drop"], in_line["inside"] = dropped > 0, articles > 0
+            in_line["drop"], in_line["inside"] = dropped + named > 0, articles > 0
         text = html.unescape(text)
         line.append(text)
         if links:
             linked += len(" ".join(text.split()))
 
     def close(count: int) -> None:
-        nonlocal dropped, articles, links
+        nonlocal dropped, named, articles, links
         for _ in range(count):
-            name, drops, article = open_.pop()
+            name, drops, by_name, article, reset = open_.pop()
             dropped -= drops
+            named += reset - by_name
             articles -= article
             links -= name == "a"
 
@@ -117,14 +129,20 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     break
         if m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
-        attributes = m[3]
-        named = bool(attributes) and name not in ("html", "body", "article", "main") and any(NAMED.search(v.strip("\"'")) for v in ATTRIBUTE.findall(attributes))
+        names = [LAYOUT.sub("", v.strip("\"'")) for v in ATTRIBUTE.findall(m[3])] if name not in ("html", "body", "article", "main") else []
+        if articles:
+            names = [HEAD.sub("", v) for v in names]
         # A header inside the article may hold its title; only a page's own header is dropped.
         aside = name in ASIDE and not (name == "header" and articles)
-        drops = name in HIDDEN or aside or named
+        drops = name in HIDDEN or aside or any(NAMED.search(v) and KEPT.search(v) for v in names)
+        by_name = not drops and any(NAMED.search(v) for v in names)
         article = name in ("article", "main") and not dropped
-        open_.append((name, drops, article))
+        # The page's article may lie in a named wrapper; one in a named part of an article is not the page's.
+        resets = named if article and (name == "main" or not any(o[0] == "article" and o[3] for o in open_)) else 0
+        article = article and named == resets
+        open_.append((name, drops, by_name, article, resets))
         dropped += drops
+        named += by_name - resets
         articles += article
         links += name == "a"
     end_line()

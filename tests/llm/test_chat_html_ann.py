@@ -78,6 +78,37 @@ def test_main_text(tags):
     assert main_text(PAGE.replace("{open}", tags[0]).replace("{close}", tags[1])) == TEXT
 
 
+@pytest.mark.parametrize("name", ["container no-sidebar", "layout with-sidebar", "page has-header", "page without-sidebar", "l-page with_sidebar_left", "page-has-header"])
+@pytest.mark.parametrize("tags", [("<article>", "</article>"), ("<main>", "</main>"), ("<section>", "</section>")])
+def test_layout_words_of_wrappers_drop_nothing(name, tags):
+    assert main_text(PAGE.replace("{open}", f"<div class='{name}'>{tags[0]}").replace("{close}", f"{tags[1]}</div>")) == TEXT
+
+
+@pytest.mark.parametrize("name", ["layout sidebar-right", "header-fixed wrap", "site cookie-consent-open", "page search-page", "modal-open", "widget"])
+def test_an_article_counts_within_a_named_wrapper(name):
+    for tag in ("article", "main"):
+        wrapped = f"<div class='{name}'><p>Words of the wrapper that are no part of the article itself.</p><div id=alert><{tag}>"
+        page = PAGE.replace("{open}", wrapped).replace("{close}", f"</{tag}></div><p>More words of the wrapper, long enough to count if they were not dropped at all.</p></div>")
+        assert main_text(page) == TEXT
+    page = PAGE.replace("{open}", f"<main><div class='{name}'><article>").replace("{close}", "</article></div></main>")
+    assert main_text(page) == TEXT
+
+
+@pytest.mark.parametrize("part", ["<nav>{}</nav>", "<aside>{}</aside>", "<footer>{}</footer>", "<form>{}</form>", "<div class=comments>{}</div>", "<div id=nav>{}</div>", "<div class='related posts'>{}</div>", "<div class=sidebar>{}</div>", "<div role=complementary>{}</div>"])
+def test_an_article_in_another_part_does_not_count(part):
+    other = part.format("<article><p>Another article, with a teaser long enough to be taken for the text of the page.</p></article>")
+    assert main_text(PAGE.replace("{open}", other + "<article>").replace("{close}", "</article>")) == TEXT
+    assert main_text(PAGE.replace("{open}", "<article>").replace("{close}", f"<div class=widget>{other}</div>{other}</article>")) == TEXT
+
+
+@pytest.mark.parametrize("head", ["<header class='entry-header'>{}</header>", "<div class='article-header'>{}</div>", "<div class=header id=post-header>{}</div>", "<header class='page-header has-image' role=masthead>{}</header>"])
+def test_an_article_keeps_its_head(head):
+    for tag in ("article", "main"):
+        page = PAGE.replace("{open}<h1>Title &amp; more</h1>", f"<{tag}>" + head.format("<h1>Title &amp; more</h1>")).replace("{close}", f"</{tag}>")
+        assert main_text(page) == TEXT
+    assert "Site" not in main_text(PAGE.replace("<header>", "<div class=header>").replace("{open}", "<p>").replace("{close}", "</p>"))
+
+
 def test_broken_pages():
     assert main_text(None) == "" and main_text("") == "" and main_text("<p") == "" and main_text("<!-- open") == ""
     assert main_text("just text without any tags at all, but long enough to be an article of its own") != ""
