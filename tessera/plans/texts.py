@@ -84,6 +84,12 @@ def normalized_text(t):
     return t.documents.filter("lang = 'en'").select("doc_id", scalar.squeezed(F.col("text")).alias("clean"))
 
 
+@query("normalized_text_all", r"SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS clean FROM documents")
+def normalized_text_all(t):
+    """Documents of every language; `normalized_text` has the English ones, as its SQL."""
+    return t.documents.select("doc_id", scalar.squeezed(F.col("text")).alias("clean"))
+
+
 @query("csv_cells", "SELECT doc_id, CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@') THEN '''' || text ELSE text END AS cell FROM documents")
 def csv_cells(t):
     return t.documents.select("doc_id", scalar.csv_cell(F.col("text")).alias("cell"))
@@ -161,6 +167,32 @@ def retrieval(t):
     return asked.join(held, "token").select("conv_id", "doc_id").distinct()
 
 
+def holding(tokens, words, short=40):
+    """Pairs (token, word) of tokens in words: by equality of the parts of words up to `short` characters, else by search."""
+    n = F.length("word")
+    starts = F.sequence(F.lit(1), n - 2)
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(3), n - i + 1), lambda k: F.substring(F.col("word"), i, k))))
+    split = words.filter(n <= short).select("word", F.explode(F.array_distinct(parts)).alias("token"))
+    return tokens.join(split, "token").select("token", "word").unionByName(tokens.join(words.filter(n > short), F.contains("word", "token")).select("token", "word"))
+
+
+@query("retrieval_all")
+def retrieval_all(t):
+    """Documents that hold one of a question's first six tokens anywhere, in words too; all of them for a question without tokens.
+
+    A question is a user's turn. `retrieval` has equal tokens of nine or more characters of the first turn, as its SQL.
+    """
+    asked = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.coalesce(scalar.query_tokens(F.col("text"), 6), F.array().cast("array<string>")).alias("tokens"))
+    tokens = asked.select("conv_id", "turn", F.explode("tokens").alias("token")).distinct()
+    # Tokens are of a-z0-9, so a token in a text lies in one of its runs of these.
+    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{3,})"), 1))).alias("word"))
+    parts = holding(tokens.select("token").distinct(), words.select("word").distinct())
+    held = words.join(parts, "word").select("token", "doc_id").distinct()
+    found = tokens.join(held, "token").select("conv_id", "turn", "doc_id").distinct()
+    open_ = asked.filter("size(tokens) = 0").select("conv_id", "turn").distinct()
+    return found.unionByName(open_.crossJoin(t.documents.select("doc_id").distinct())).distinct()
+
+
 @query("post_search", "SELECT doc_id, source FROM documents WHERE lower(text) LIKE '%th_t%' AND source NOT IN ('src1', 'src2') AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND toxic = 1)")
 def post_search(t):
     visible = t.documents.filter(F.lower("text").like("%th_t%") & ~F.col("source").isin("src1", "src2"))
@@ -205,6 +237,17 @@ def policy_score(t):
     return t.documents.filter("lang = 'en'").select("doc_id", score.cast("long").alias("score"))
 
 
+@query(
+    "policy_score_all",
+    r"SELECT doc_id, CAST(CASE WHEN regexp_matches(text, '(?i)(\b[\w.+-]+@[\w-]+\.[\w.-]+\b|\b(password|passcode|otp|verification code)\b)') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)(https?://|www\.|bit\.ly|tinyurl\.com|t\.me/|discord\.gg/)') THEN 2 ELSE 0 END AS BIGINT) AS score FROM documents",
+)
+def policy_score_all(t):
+    """Documents of every language; `policy_score` has the English ones, as its SQL."""
+    text = F.col("text")
+    score = F.when(text.rlike(scalar.CONTACT), 5).otherwise(0) + F.when(text.rlike(scalar.LINK), 2).otherwise(0)
+    return t.documents.select("doc_id", score.cast("long").alias("score"))
+
+
 @query("policy_verdicts")
 def policy_verdicts(t):
     return t.documents.select("doc_id", scalar.policy_score(F.col("text")).cast("long").alias("score"), scalar.policy_verdict(F.col("text")).alias("verdict"))

@@ -1,11 +1,14 @@
 """Every registered query against its SQL in DuckDB, and the shape of some plans."""
 
 import math
+import re
 
 import duckdb
 import pytest
 
 from tessera import plans
+from tessera.functions import scalar
+from tessera.plans import texts
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -66,3 +69,35 @@ def test_explanations_and_progress_are_whole(spark, oracle):
     assert all(len([x for c in ("satisfied", "missing", "uncertain") for x in r[c].split("; ") if x]) == 6 for r in lists.collect())
     progress = plans.QUERIES["private_progress_all"](spark, DATA)
     assert progress.count() == count("SELECT count(*) FROM orders") and progress.filter("o_custkey > 50").count() > 0
+
+
+def brute_retrieval(questions, documents):
+    out = set()
+    for conv, turn, role, text in questions:
+        if role == "user":
+            tokens = [x for x in re.findall("[a-z0-9]{3,}", (text or "").lower()) if x not in scalar.STOP_WORDS][:6]
+            out |= {(conv, turn, d) for d, body in documents if not tokens or any(x in (body or "").lower() for x in tokens)}
+    return out
+
+
+def test_retrieval_takes_every_question_and_matches_in_words(spark):
+    tables = type("Tables", (), {})()
+    questions = [(1, 0, "user", "Is the ART of how funding"), (1, 2, "user", "Which deadline?"), (1, 1, "assistant", "zebra"), (2, 0, "system", "zebra"), (2, 1, "user", "to me, is a"), (3, 0, "user", None), (4, 0, "user", "one two three four five six zebra"), (5, 0, "user", "abcdef")]
+    documents = [(1, "A party of many"), (2, "zebra"), (3, None), (4, "Fundings"), (5, "x" * 50 + "abcdefg" + "y" * 500), (6, "ab cdef"), (7, "\u00e9deadlines!"), (8, "The art"), (8, "The art"), (9, "")]
+    tables.conversations = spark.createDataFrame(questions, "conv_id long, turn long, role string, text string")
+    tables.documents = spark.createDataFrame(documents, "doc_id long, text string")
+    got = [tuple(r) for r in texts.retrieval_all(tables).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_retrieval(questions, documents)
+    assert {(1, 0, 1), (1, 2, 7), (5, 0, 5), (2, 1, 2)} <= set(got) and (4, 0, 2) not in got
+
+
+def test_whole_text_queries_match_brute_force(spark, oracle):
+    documents = oracle.sql("SELECT doc_id, text FROM documents").fetchall()
+    questions = oracle.sql("SELECT conv_id, turn, role, text FROM conversations").fetchall()
+    got = [tuple(r) for r in plans.QUERIES["retrieval_all"](spark, DATA).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_retrieval(questions, documents)
+    clean = [(r.doc_id, r.clean) for r in plans.QUERIES["normalized_text_all"](spark, DATA).collect()]
+    assert sorted(clean) == sorted((d, re.sub(r"\s+", " ", x).strip(" ").lower()) for d, x in documents)
+    contact, link = (re.compile(p.replace("(?iU)", "(?i)")) for p in (scalar.CONTACT, scalar.LINK))
+    scores = [(r.doc_id, r.score) for r in plans.QUERIES["policy_score_all"](spark, DATA).collect()]
+    assert sorted(scores) == sorted((d, 5 * bool(contact.search(x)) + 2 * bool(link.search(x))) for d, x in documents)
