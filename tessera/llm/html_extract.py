@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one a block element. Lines of menus, headers, footers, sidebars, notices, adverts, forms
-and comments, and lines that are mostly links, weigh nothing, as does everything outside an article or main element
-where the page has one. An article or main element counts within a wrapper that only its class, id or role names so,
-unless that names a menu, footer, comment, advert or list of other articles. The weights are summed over sliding windows of lines; the text starts where the sum surges
-and ends where it dives to nothing, and the weighing lines of the stretches in between are kept.
+Markup is stripped to lines, one a block element, and every line gets a weight, its characters outside links. The
+weights are summed over sliding windows of lines; a text starts where the sum surges and ends where it dives to
+nothing. Markup only chooses weights: lines of menus, footers, sidebars, forms and reader comments weigh nothing, a
+line of an article or main element weighs at least a surge, and lines that may be no part of the article (those outside
+its element, those of parts named as adverts, notices and the like) are summed apart, at a discount, and stay only if
+their own sums rival the article's. Where names would leave a page without text they are not heeded.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ NAMED = re.compile(
 )
 #: A wrapper's word on what it has or lacks, as in no-sidebar, names no part.
 LAYOUT = re.compile(r"(?:(?<=[\s_-])|^)(?:no|has|with|without)[_-]\S*", re.I)
-#: Names of parts that hold an article only as a comment, a link or an advert. One in another named part is the page's.
-KEPT = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|contentinfo|complementary|comments?|commentlist|disqus|respond|reply|related|recommended|ads?|advert\w*|adsense|sponsor\w*|promo\w*)(?:$|[\s_-])"
+#: Names of parts that hold an article only as a comment or a link. One in another named part is the page's.
+APART = re.compile(
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|contentinfo|complementary|comments?|commentlist|disqus|respond|reply|related|recommended)(?:$|[\s_-])"
     r"|^\s*side-?bar\s*$",
     re.I,
 )
@@ -50,41 +51,47 @@ RAW = frozenset("script style textarea title noscript iframe svg template".split
 CLOSES_P = BLOCKS - {"br", "html", "body"}
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside): a line's text, its characters outside links or 0 for a part that is not the article,
-    and whether it lies in an article or main element."""
-    out: list[tuple[str, int, bool]] = []
+#: Kinds of lines: of elements that never hold the article, of parts named as such, of other named parts, of an article
+#: or main element, of none of these.
+DROPPED, NAMED_APART, NAMED_PART, ARTICLE, PLAIN = range(5)
+#: What divides the weight of lines outside the page's article element, and of named parts.
+OUTSIDE, PART = 4, 8
+
+
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, weight, kind) of each line: its weight is its characters, or 0 if most of them are links outside an article."""
+    out: list[tuple[str, int, int]] = []
     line: list[str] = []
     linked = 0
-    open_: list[tuple[str, bool, bool, bool, int]] = []  # name, drops its text, drops it by a name that an article resets, is an article, named drops that it reset
-    dropped = named = articles = links = 0
-    in_line = {"drop": False, "inside": False}
+    open_: list[tuple[str, bool, bool, bool, bool, int]] = []  # name, drops its text, named apart, named, is an article, named parts that it resets
+    dropped = apart = named = articles = links = 0
+    kind = PLAIN
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join("".join(line).split())
         if text:
-            weight = 0 if in_line["drop"] or (linked * 2 > len(text) and not in_line["inside"]) else len(text)
-            out.append((text, weight, in_line["inside"]))
+            out.append((text, 0 if linked * 2 > len(text) and kind != ARTICLE else len(text), kind))
         line.clear()
         linked = 0
 
     def add(text: str) -> None:
-        nonlocal linked
+        nonlocal linked, kind
         if not text:
             return
         if not line:
-            in_line["drop"], in_line["inside"] = dropped + named > 0, articles > 0
+            kind = DROPPED if dropped else NAMED_APART if apart else NAMED_PART if named else ARTICLE if articles else PLAIN
         text = html.unescape(text)
         line.append(text)
         if links:
             linked += len(" ".join(text.split()))
 
     def close(count: int) -> None:
-        nonlocal dropped, named, articles, links
+        nonlocal dropped, apart, named, articles, links
         for _ in range(count):
-            name, drops, by_name, article, reset = open_.pop()
+            name, drops, is_apart, by_name, article, reset = open_.pop()
             dropped -= drops
+            apart -= is_apart
             named += reset - by_name
             articles -= article
             links -= name == "a"
@@ -134,14 +141,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             names = [HEAD.sub("", v) for v in names]
         # A header inside the article may hold its title; only a page's own header is dropped.
         aside = name in ASIDE and not (name == "header" and articles)
-        drops = name in HIDDEN or aside or any(NAMED.search(v) and KEPT.search(v) for v in names)
-        by_name = not drops and any(NAMED.search(v) for v in names)
-        article = name in ("article", "main") and not dropped
+        drops = name in HIDDEN or aside
+        is_apart = any(APART.search(v) for v in names)
+        by_name = not is_apart and any(NAMED.search(v) for v in names)
+        article = name in ("article", "main") and not dropped and not apart
         # The page's article may lie in a named wrapper; one in a named part of an article is not the page's.
-        resets = named if article and (name == "main" or not any(o[0] == "article" and o[3] for o in open_)) else 0
+        resets = named if article and (name == "main" or not any(o[0] == "article" and o[4] for o in open_)) else 0
         article = article and named == resets
-        open_.append((name, drops, by_name, article, resets))
+        open_.append((name, drops, is_apart, by_name, article, resets))
         dropped += drops
+        apart += is_apart
         named += by_name - resets
         articles += article
         links += name == "a"
@@ -149,23 +158,24 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def stretches(weights: list[int], window: int = 3, surge: int = 60) -> list[tuple[int, int]]:
+def sums_of(weights: list[float], window: int) -> list[float]:
+    """The sum of each line's weight and those of the window - 1 lines after it."""
+    return [sum(weights[i : i + window]) for i in range(len(weights))]
+
+
+def stretches(weights: list[float], window: int, least: float) -> list[tuple[int, int]]:
     """Half-open stretches of lines between surge and dive points of the sliding sums.
 
     A stretch begins at a weighing line and ends where a whole window of lines has no weight; it counts if some
-    window in it reaches `surge` characters, or a fifth of the page's largest sum where no window does.
+    window in it reaches `least`.
     """
-    n = len(weights)
-    sums = [sum(weights[i : i + window]) for i in range(n)]
-    most = max(sums, default=0)
-    least = surge if most >= surge else max(1, most // 5)
-    out, i = [], 0
-    while i < n:
+    sums, out, i = sums_of(weights, window), [], 0
+    while i < len(weights):
         if not weights[i]:
             i += 1
             continue
         start, peak = i, 0
-        while i < n and sums[i]:
+        while i < len(weights) and sums[i]:
             peak = max(peak, sums[i])
             i += 1
         if peak >= least:
@@ -173,18 +183,26 @@ def stretches(weights: list[int], window: int = 3, surge: int = 60) -> list[tupl
     return out
 
 
-def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
-    """The kept lines joined by newlines; empty for a null page or one without text of its own.
+def chosen_lines(lines: list[tuple[str, int, int]], window: int, surge: int) -> list[int]:
+    """Numbers of the lines between surge and dive points, from the weights and kinds of lines_of()."""
+    layer = lambda *kinds: [w if k in kinds else 0 for _, w, k in lines]
+    main, outside, parts = layer(ARTICLE), layer(PLAIN), layer(NAMED_PART)
+    if not any(main):
+        main, outside = outside, main
+    if not any(main):
+        main, parts = layer(NAMED_PART, NAMED_APART), outside
+    most = max(sums_of(main, window), default=0)
+    # In the article's element every line is a surge by itself; elsewhere a window of lines has to be one.
+    floored = [max(w, surge) if w and k == ARTICLE else w for w, (_, _, k) in zip(main, lines, strict=True)]
+    rival = max(surge, most / 5)
+    layers = [(floored, surge if most >= surge else max(1, most // 5)), ([w / OUTSIDE for w in outside], rival), ([w / PART for w in parts], rival)]
+    return sorted(i for weights, least in layers for start, stop in stretches(weights, window, least) for i in range(start, stop) if weights[i])
 
-    In an article or main element every line of the article is kept, however short its stretch.
-    """
+
+def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
+    """The chosen lines joined by newlines; empty for a null page or one without text of its own."""
     lines = lines_of(page or "")
-    if any(inside and weight for _, weight, inside in lines):
-        lines = [(t, w if inside else 0, inside) for t, w, inside in lines]
-        surge = 1
-    weights = [w for _, w, _ in lines]
-    kept = [lines[i][0] for start, stop in stretches(weights, window, surge) for i in range(start, stop) if weights[i]]
-    return "\n".join(kept)
+    return "\n".join(lines[i][0] for i in chosen_lines(lines, window, surge))
 
 
 def extract_pages(df: DataFrame, html_col: str = "html", window: int = 3, surge: int = 60) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.chat_format import CONTROL, Formatter, escape, format_conversations, read_back, render, summarize_windows, unescape, unescape_role
 from tessera.llm.chat_format import escape_role
 from tessera.llm.hilbert_ann import hilbert_keys, nearest_neighbours
-from tessera.llm.html_extract import extract_pages, main_text, stretches
+from tessera.llm.html_extract import chosen_lines, extract_pages, lines_of, main_text, stretches
 
 
 def test_escape_round_trip():
@@ -106,7 +106,7 @@ def test_an_article_keeps_its_head(head):
     for tag in ("article", "main"):
         page = PAGE.replace("{open}<h1>Title &amp; more</h1>", f"<{tag}>" + head.format("<h1>Title &amp; more</h1>")).replace("{close}", f"</{tag}>")
         assert main_text(page) == TEXT
-    assert "Site" not in main_text(PAGE.replace("<header>", "<div class=header>").replace("{open}", "<p>").replace("{close}", "</p>"))
+    assert "Site" not in main_text(PAGE.replace("<header>", "<div class=header>").replace("</header>", "</div>").replace("{open}", "<p>").replace("{close}", "</p>"))
 
 
 def test_broken_pages():
@@ -122,6 +122,72 @@ def test_stretches():
     assert stretches([], 3, 60) == [] and stretches([0, 0], 3, 60) == []
 
 
+KINDS = {"text": ("<p>{}</p>", "{}"), "ad": ("<div class=ad>{}</div>", ""), "notice": ("<p class='cookie-notice'>{}</p>", ""), "link": ("<p><a href=x>{}</a></p>", ""), "nav": ("<nav>{}</nav>", ""), "comment": ("<div class=comments>{}</div>", "")}
+
+
+def brute_main(blocks, article):
+    """Kept blocks of a page of blocks (kind, characters, lies in the article), by sums over windows of three."""
+    def layer(weigh):
+        w = [weigh(*b) for b in blocks]
+        return w, [w[i] + (w[i + 1] if i + 1 < len(w) else 0) + (w[i + 2] if i + 2 < len(w) else 0) for i in range(len(w))]
+
+    def runs(w, s, least):
+        kept, at = set(), 0
+        while at < len(w):
+            stop = at
+            while w[at] and stop < len(w) and s[stop]:
+                stop += 1
+            if w[at] and max(s[at:stop]) >= least:
+                kept |= {i for i in range(at, stop) if w[i]}
+            at = max(stop, at + 1)
+        return kept
+
+    inside = lambda kind, n, own: n if own and kind in ("text", "link") else 0
+    plain = lambda kind, n, own: n if not own and kind == "text" else 0
+    part = lambda kind, n, own: n if kind in ("ad", "notice") else 0
+    has = any(layer(inside)[0])
+    main, other = (inside, plain) if has else (plain, inside)
+    if not any(layer(main)[0]):
+        main, part = (lambda kind, n, own: n if kind in ("ad", "notice", "comment") else 0), (lambda kind, n, own: 0)
+    most = max(layer(main)[1], default=0)
+    least = 60 if most >= 60 else max(1, most // 5)
+    w, s = layer(lambda *b: max(60, main(*b)) if main(*b) and has else main(*b))
+    kept = runs(w, s, least)
+    for weigh, share in ((other, 4), (part, 8)):
+        w, s = layer(lambda *b: weigh(*b) / share)
+        kept |= runs(w, s, max(60, most / 5))
+    return sorted(kept)
+
+
+def test_surge_and_dive_decide_on_random_pages():
+    draw, decided = random.Random(11), 0
+    for n in range(1500):
+        article = n % 2 == 0
+        blocks, parts = [], []
+        sizes = [draw.choice([3, 20, 70, 300, 900]) for _ in range(draw.randint(0, 14))]
+        begin, end = sorted((draw.randint(0, len(sizes)), draw.randint(0, len(sizes))))
+        for i, size in enumerate(sizes):
+            kind = draw.choice(["text", "text", "text", *KINDS])
+            blocks.append((kind, size, article and begin <= i < end))
+            parts.append(("<article>" if article and i == begin else "") + KINDS[kind][0].format("w" * size) + ("</article>" if article and i == end - 1 and begin < end else ""))
+        lines = lines_of("<html><body>" + "".join(parts) + "</body></html>")
+        assert [len(t) for t, _, _ in lines] == sizes
+        assert chosen_lines(lines, 3, 60) == brute_main(blocks, article), (blocks, n)
+        decided += {i for i, (k, _, _) in enumerate(blocks) if k in ("text", "ad", "notice")} != set(brute_main(blocks, article))
+    assert decided > 1000
+
+
+def test_leaving_out_the_surge_step_changes_pages():
+    """Text outside the article and adverts weigh something and go only by the sums; a long text outside stays."""
+    page = "<body><div class=ad>Buy now</div><p>A promise.</p><article><h1>Head</h1><p>" + "word " * 60 + "</p><p>End.</p></article><p>{}</p></body>"
+    assert main_text(page.replace("{}", "Small print.")) == "Head\n" + "word " * 59 + "word\nEnd."
+    assert main_text(page.replace("{}", "long " * 400)).endswith("End.\n" + "long " * 399 + "long")
+    assert main_text("<div class='post has-comments'><p>" + "word " * 30 + "</p></div>") == main_text("<div class='comments'><p>" + "word " * 30 + "</p></div>") == ("word " * 30).strip()
+    for wrapper in ("class='content no-sidebar'", "class='post has-comments'", "id='search-results-article'", "class='post-header'"):
+        assert main_text(f"<div {wrapper}><article><h1>Head</h1><p>{'word ' * 30}</p></article></div>") == "Head\n" + ("word " * 30).strip()
+    assert main_text("<article><div class='post-header'><h1>Head</h1></div><p>text</p></article>") == "Head\ntext"
+
+
 def test_extract_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old", 1), (2, None, None, None, 2), (2, None, "", None, 2)], "page_id long, url string, html string, text string, main int")
     rows = extract_pages(df).collect()
