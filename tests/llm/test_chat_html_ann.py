@@ -169,7 +169,7 @@ def test_surge_and_dive_decide_on_random_pages():
         for i, size in enumerate(sizes):
             kind = draw.choice(["text", "text", "text", *KINDS])
             blocks.append((kind, size, article and begin <= i < end))
-            parts.append(("<article>" if article and i == begin else "") + KINDS[kind][0].format("w" * size) + ("</article>" if article and i == end - 1 and begin < end else ""))
+            parts.append(("<article>" if article and i == begin < end else "") + KINDS[kind][0].format("w" * size) + ("</article>" if article and i == end - 1 and begin < end else ""))
         lines = lines_of("<html><body>" + "".join(parts) + "</body></html>")
         assert [len(t) for t, _, _ in lines] == sizes
         assert chosen_lines(lines, 3, 60) == brute_main(blocks, article), (blocks, n)
