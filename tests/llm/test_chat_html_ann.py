@@ -174,7 +174,7 @@ def test_surge_and_dive_decide_on_random_pages():
         assert [len(t) for t, _, _ in lines] == sizes
         assert chosen_lines(lines, 3, 60) == brute_main(blocks, article), (blocks, n)
         decided += {i for i, (k, _, _) in enumerate(blocks) if k in ("text", "ad", "notice")} != set(brute_main(blocks, article))
-    assert decided > 1000
+    assert decided > 300
 
 
 def test_leaving_out_the_surge_step_changes_pages():
