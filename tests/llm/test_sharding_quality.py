@@ -11,7 +11,7 @@ from .data import awkward, awkward_rows, none, prose
 
 
 def test_shards_hold_every_row_once_with_equal_counts(spark):
-    df = awkward(spark).drop("extra")
+    df = awkward(spark)
     for bucket in (1 << 20, 3000):
         rows = shuffle_into_shards(df, 7, bucket_bytes=bucket).collect()
         assert Counter((r.doc_id, r.text) for r in rows) == Counter((r[0], r[1]) for r in awkward_rows())
@@ -23,13 +23,36 @@ def test_shards_hold_every_row_once_with_equal_counts(spark):
 
 
 def test_shards_repeat_and_change_with_the_seed(spark):
-    df = awkward(spark).drop("extra")
+    df = awkward(spark)
     place = lambda seed: {(r.doc_id, r.text, r["shard"], r["slot"]) for r in shuffle_into_shards(df, 4, seed=seed, bucket_bytes=4000).collect()}
     assert place(1) == place(1) != place(2)
 
 
+def test_layout_does_not_depend_on_the_number_of_partitions(spark):
+    def layout(partitions, df):
+        before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", partitions == 13)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1 if partitions == 13 else 10 << 20)
+        try:
+            return Counter((r.doc_id, r.text, r["shard"], r["slot"]) for r in shuffle_into_shards(df, 5, bucket_bytes=2000).collect())
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+
+    assert layout(8, awkward(spark)) == layout(13, awkward(spark).repartition(11)) == layout(3, awkward(spark).coalesce(1))
+
+
+def test_every_bucket_has_its_own_permutation(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    rows = sorted(shuffle_into_shards(df, 1, bucket_bytes=1000).collect(), key=lambda r: r["slot"])
+    assert sorted(r.doc_id for r in rows) == list(range(3000))
+    first, second = shuffle_into_shards(df, 1, seed=1, bucket_bytes=10**9).collect(), shuffle_into_shards(df, 1, seed=2, bucket_bytes=10**9).collect()
+    assert {(r.doc_id, r["slot"]) for r in first} != {(r.doc_id, r["slot"]) for r in second}
+
+
 def test_shards_of_nothing(spark):
-    assert shuffle_into_shards(none(spark).drop("extra")).count() == 0
+    assert shuffle_into_shards(none(spark)).count() == 0
 
 
 def test_more_shards_than_rows(spark):
