@@ -5,30 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component.
 
     Large stars and small stars alternate until the edge table no longer changes, which takes about as many
-    rounds as the logarithm of the longest path. A node's neighbours only meet in a minimum, never in a list.
+    rounds as the logarithm of the longest path. A node's neighbours only meet in a minimum, never in a list, and the
+    edges of a hub are not shuffled to one task. Null nodes have no edges; an empty table gives no rows.
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = written(pairs, "edges")
-    before = None
+    state = _state(pairs)
     for _ in range(rounds):
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small_in = large.filter("a <> b").distinct()
-        lowest = small_in.groupBy("a").agg(F.min("b").alias("m"))
-        small = small_in.join(lowest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        pairs = written(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
-        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = spread_join(both, least, "a", "n", 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small_in = written(large.filter("a <> b").distinct(), "edges")
+        lowest = small_in.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = spread_join(small_in, lowest, "a", "n", small_in.count())
+        small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        pairs = written(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges", instead_of=pairs)
+        before, state = state, _state(pairs)
+        if state == before:
             break
-        before = tuple(state)
     else:
         raise RuntimeError("components did not settle")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(pairs.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+def _state(pairs: DataFrame) -> tuple:
+    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

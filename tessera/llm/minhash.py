@@ -4,9 +4,10 @@ Each permutation of the shingle hashes keeps its minimum and its maximum, so a s
 hash evaluations. Bands of two permutations (four values) name buckets; documents that share a bucket are
 candidates, and candidates are linked if their whole shingle sets agree. Documents with equal sets are one node
 from the start. A bucket of many nodes is first compared with a few pivots; components found that way leave few
-pairs across components, and those are then compared by an exact
-prefix filter, so no pair that shares a bucket stays untested unless it is connected already or cannot be linked. Band choice: at similarity 0.8 a pair misses all 24 buckets with probability
-(1 - 0.8**4)**24 = 3e-6.
+pairs across components, and those are then compared by an exact prefix filter, so no pair that shares a bucket
+stays untested unless it is connected already or cannot be linked. Band choice: at similarity 0.8 a pair misses all
+24 buckets with probability (1 - 0.8**4)**24 = 3e-6. Hot nodes, buckets and shingles are joined apart or split, so
+that no task gets a crowd.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, table, written
+from .common import packed, split_keys, spread_join, table, written
 from .components import connected_components
 
 WORD_CACHE = 400_000
 #: Counters of hash frequency that go to the driver and to each worker: 2 MB at any size.
 SLOTS = 1 << 18
+#: Nodes of one shingle that a task compares with the others of that shingle.
+SHINGLE_BLOCK = 512
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -132,7 +135,11 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     first = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a binary, b binary")
+    # A pivot is in as many pairs as its bucket has nodes.
+    pairs, firsts = split_keys(pairs, "a", "b", "part_a")
+    pairs, seconds = split_keys(written(pairs, "pairs"), "b", "a", "part_b")
+    joined = pairs.join(first.join(firsts, "a"), ["a", "part_a"]).join(second.join(seconds, "b"), ["b", "part_b"])
+    return joined.select("a", "b", "x", "y").mapInArrow(confirm, "a binary, b binary")
 
 
 def _possible(open_: DataFrame, percent: int) -> DataFrame:
@@ -167,12 +174,15 @@ def _possible(open_: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array([node] * n, pa.binary()), pa.array([root] * n, pa.binary()), pa.array([len(h)] * n, pa.int64()), pa.array(np.arange(n))], schema=schema)
 
     named = open_.select("node", "root", "set").mapInArrow(prefixes, "shingle long, node binary, root binary, size long, at long")
-    busy = named.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("shingle")
-    named = written(named.join(busy, "shingle"), "prefixes")
-    x, y = named.alias("x"), named.alias("y")
+    named = written(named, "prefixes")
+    busy = named.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 <> r1").select("shingle", "n")
+    # A shingle of many nodes is split: each part of its nodes meets all of them in a task of its own.
+    held = spread_join(named, busy, "shingle", "n", named.count()).withColumn("parts", F.ceil(F.col("n") / SHINGLE_BLOCK).cast("int"))
+    x = held.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
+    y = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     common = f"({percent} * (x.size + y.size) + {99 + percent}) div {100 + percent}"
-    across = x.join(y, F.expr(f"x.shingle = y.shingle AND x.root <> y.root AND x.node < y.node AND x.at + {common} <= x.size AND y.at + {common} <= y.size"))
-    return across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    on = f"x.shingle = y.shingle AND x.part = y.part AND x.root <> y.root AND x.node < y.node AND x.at + {common} <= x.size AND y.at + {common} <= y.size"
+    return x.join(y, F.expr(on)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -186,17 +196,21 @@ def near_duplicates(
     """
     signed = written(_signatures(df, id_col, text_col, width, permutations, per_band, seed), "signatures")
     whole = signed.filter("node IS NOT NULL")
-    nodes = whole.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    nodes = whole.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")
     banded = nodes.select(F.explode("bands").alias("bucket"), "node", "size")
+    n_nodes, n_docs = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    n_banded = n_nodes * (permutations // per_band)
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    crowded = written(banded.join(shared, "bucket"), "crowded")
+    crowded = written(spread_join(banded, shared, "bucket", "n", n_banded), "crowded")
+    n_crowded = crowded.count()
     # A node that meets many others is near the middle of its group, so it comes first as a pivot.
     degree = crowded.groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = crowded.select("bucket", "node", "size").join(degree, "node")
+    ranked = crowded.join(degree, "node")
     spread = [F.max(F.struct("degree", "node")).alias("p0"), *[F.min(F.struct(F.xxhash64("node", F.lit(k)), "node")).alias(f"p{k}") for k in range(1, pivots)]]
-    chosen = ranked.groupBy("bucket").agg(*spread).select("bucket", F.array_distinct(F.array(*[F.col(f"p{k}.node") for k in range(pivots)])).alias("pivot"))
-    members = written(crowded.join(chosen, "bucket").select("bucket", "node", "size", "pivot"), "members")
+    chosen = ranked.groupBy("bucket").agg(*spread, F.first("n").alias("n"))
+    chosen = chosen.select("bucket", "n", F.array_distinct(F.array(*[F.col(f"p{k}.node") for k in range(pivots)])).alias("pivot"))
+    members = written(spread_join(crowded.drop("n"), chosen, "bucket", "n", n_crowded), "members", instead_of=crowded)
     paired = members.select("node", F.explode("pivot").alias("other")).filter("node <> other")
     pairs = written(paired.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     touched = members.select("node").distinct().join(nodes.select("node", F.col("least").alias("wanted_id")), "node")
@@ -204,18 +218,22 @@ def near_duplicates(
     links = written(_links(pairs, sets, percent), "links")
     roots = connected_components(links)
     # Buckets of several components: their documents are compared across components, as far as a link is possible.
-    placed = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = placed.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("split")).filter("split").select("bucket")
-    open_ = placed.join(split, "bucket").select("node", "root").distinct()
+    placed = written(members.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed", instead_of=members)
+    split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.first("n").alias("of")).filter("r0 <> r1").select("bucket", "of")
+    open_ = spread_join(placed, split, "bucket", "of", n_crowded).select("node", "root").distinct()
     rest = _possible(written(open_.join(sets, "node"), "open"), percent).join(pairs, ["a", "b"], "left_anti")
-    more = written(_links(rest, sets, percent), "links")
+    more = written(_links(written(rest, "pairs"), sets, percent), "links")
     if not more.isEmpty():
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
-    named = roots.join(nodes.select("node", "least"), "node")
-    lowest = named.groupBy("root").agg(F.min("least").alias("component"))
-    component = named.join(lowest, "root").select("node", "component")
-    every = nodes.select("node", "least").join(component, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    joined = signed.select("doc_id", "n_shingles", "node").join(every, "node", "left")
+    # A root's members grow with its component; a root of many is joined apart.
+    named = written(roots.join(nodes.select("node", "least"), "node"), "roots")
+    lowest = named.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("of"))
+    component = spread_join(named, lowest, "root", "of", n_nodes).select("node", "component")
+    every = nodes.select("node", "least", "copies").join(component, "node", "left").select("node", "copies", F.coalesce("component", "least").alias("component"))
+    every = written(every, "classes")
+    all_ = signed.select("doc_id", "n_shingles", "node")
+    blank = all_.filter("node IS NULL").select("*", F.lit(0).cast("long").alias("copies"), F.lit(None).cast("long").alias("component"))
+    joined = spread_join(all_.filter("node IS NOT NULL"), every, "node", "copies", n_docs).unionByName(blank)
     out = joined.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
