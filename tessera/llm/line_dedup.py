@@ -1,11 +1,15 @@
 """Line dedup by pairwise alignment.
 
 A run is the shortest stretch of consecutive lines, from a given line on or up to a given line, that has `min_words`
-words: the least that may be deleted. Runs are hashed, and a run found in several documents pairs each later document
-with the first one that holds it (its owner), so the pairs grow with the repeated runs and not with their square. A
-pair is aligned by patience diff over its line hashes, and the aligned common blocks of `min_words` words or more are
-deleted from the later document, with the runs of the pair that no rising alignment holds. An owner keeps its run: a
-block that an earlier document shares has that document as its owner.
+words: the least that may be deleted. Runs are hashed, and the first document that holds a run is its owner. A rare run
+(up to `rare` times in all documents) pairs each later document that holds it with its owner; the pair is aligned by
+patience diff, and the aligned common blocks of `min_words` words or more are deleted from the later document, with the
+runs of the pair that no rising alignment holds. A common run names no pairs: it is deleted from every document but its
+owner, which is what its alignments would do, so no passage makes pairs beyond `rare`. An owner keeps its run: a block
+that an earlier document shares has that document as its owner.
+
+Every common block of a pair consists of their shared runs, so of the owner only these runs go to the alignment, in the
+later document's own lines, and no document's outline is copied to another.
 """
 
 from __future__ import annotations
@@ -21,9 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, table, unpacked, written
+from .common import packed, spread_join, table, unpacked, written
 
 Line = int
+#: Stands for the owner's lines outside the shared runs; no line hash is negative.
+GAP = -1
 
 
 def anchors(a: list[Line], b: list[Line]) -> list[tuple[int, int]]:
@@ -132,9 +138,26 @@ def common_blocks(later: list[Line], owner: list[Line], words: list[int], min_wo
     return removed
 
 
+def owner_of_runs(later: list[Line], shared: list[tuple[int, int, int]]) -> list[Line]:
+    """The owner's lines in its runs (start, end, owner's start) shared with `later`, with a gap wherever it has others."""
+    held: dict[int, Line] = {}
+    for start, end, at in shared:
+        for k in range(end - start):
+            held[at + k] = later[start + k]
+    out: list[Line] = []
+    before = None
+    for at in sorted(held):
+        if before is not None and at != before + 1:
+            out.append(GAP)
+        out.append(held[at])
+        before = at
+    return out
+
+
 def _outline(texts: DataFrame, min_words: int) -> DataFrame:
-    """id, h and of the lines with words: places, hashes, words (binary), and the hashes of the runs."""
-    fields = [("id", pa.int64()), ("h", pa.int64()), ("places", pa.binary()), ("lines", pa.binary()), ("words", pa.binary()), ("runs", pa.list_(pa.int64()))]
+    """id, h and of the lines with words: places, hashes, words (binary), and the runs (hash, first line, end)."""
+    run = pa.struct([("run", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    fields = [("id", pa.int64()), ("h", pa.int64()), ("places", pa.binary()), ("lines", pa.binary()), ("words", pa.binary()), ("runs", pa.list_(run))]
     schema = pa.schema(fields)
 
     def outline(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,64 +168,75 @@ def _outline(texts: DataFrame, min_words: int) -> DataFrame:
                 for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
                     if n := len(line.split()):
                         places.append(i)
-                        lines.append(xxhash.xxh64_intdigest(line.strip()))
+                        lines.append(xxhash.xxh64_intdigest(line.strip()) >> 1)
                         words.append(n)
-                hashed = np.array(lines, dtype=np.uint64)
-                runs = [xxhash.xxh64_intdigest(hashed[start:end].tobytes()) - 2**63 for start, end in runs_of(words, min_words)]
+                hashed = np.array(lines, dtype=np.int64)
+                runs = [{"run": xxhash.xxh64_intdigest(hashed[start:end].tobytes()) - 2**63, "start": start, "end": end} for start, end in runs_of(words, min_words)]
                 for column, value in zip(columns, (np.array(places, dtype=np.int32).tobytes(), hashed.tobytes(), np.array(words, dtype=np.int32).tobytes(), runs), strict=True):
                     column.append(value)
             kept = [batch["id"], batch["h"], *[pa.array(c, f[1]) for c, f in zip(columns, fields[2:], strict=True)]]
             yield pa.RecordBatch.from_arrays(kept, schema=schema)
 
-    return texts.mapInArrow(outline, "id long, h long, places binary, lines binary, words binary, runs array<long>")
+    return texts.mapInArrow(outline, "id long, h long, places binary, lines binary, words binary, runs array<struct<run:long,start:int,end:int>>")
 
 
-def _aligned(pairs: DataFrame, min_words: int) -> DataFrame:
+def _aligned(outlines: DataFrame, min_words: int) -> DataFrame:
+    """(id, h, removed places and their words) from outlines with `shared`: (owner, start, end, owner's start), owner -1 for a common run."""
     schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("removed", pa.list_(pa.int32())), ("removed_words", pa.list_(pa.int32()))])
 
     def align(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             removed, counted = [], []
-            for places, later, words, owner in zip(*[batch[c].to_pylist() for c in ("places", "lines", "words", "owner_lines")], strict=True):
-                words_, places_ = np.frombuffer(words, np.int32).tolist(), np.frombuffer(places, np.int32)
-                gone = sorted(common_blocks(np.frombuffer(later, np.uint64).tolist(), np.frombuffer(owner, np.uint64).tolist(), words_, min_words))
-                removed.append(places_[gone].tolist())
-                counted.append([words_[i] for i in gone])
+            for places, lines, words, shared in zip(*[batch[c].to_pylist() for c in ("places", "lines", "words", "shared")], strict=True):
+                places_, later, words_ = np.frombuffer(places, np.int32), np.frombuffer(lines, np.int64).tolist(), np.frombuffer(words, np.int32).tolist()
+                gone: set[int] = set()
+                pairs: dict[int, list[tuple[int, int, int]]] = {}
+                for x in shared:
+                    if x["owner"] is None:
+                        gone.update(range(x["start"], x["end"]))
+                    else:
+                        pairs.setdefault((x["owner"]["id"], x["owner"]["h"]), []).append((x["start"], x["end"], x["at"]))
+                for runs in pairs.values():
+                    gone |= common_blocks(later, owner_of_runs(later, runs), words_, min_words)
+                kept = sorted(gone)
+                removed.append(places_[kept].tolist())
+                counted.append([words_[i] for i in kept])
             yield pa.RecordBatch.from_arrays([batch["id"], batch["h"], pa.array(removed, schema.field(2).type), pa.array(counted, schema.field(3).type)], schema=schema)
 
-    return pairs.mapInArrow(align, "id long, h long, removed array<int>, removed_words array<int>")
+    return outlines.select("id", "h", "places", "lines", "words", "shared").mapInArrow(align, "id long, h long, removed array<int>, removed_words array<int>")
 
 
-def dedup_lines(df: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, min_words: int = 20, rare: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of df with the text rid of its repeated blocks, and n_lines, removed_lines, removed_words.
 
     Earlier means a smaller id, null ids last, then by a hash of the text. Rows that agree in id and text are one
     document and keep or lose the same lines. Lines agree if they are equal but for white space at their ends; lines
     without words match nothing and stay. A null text stays null and counts no lines; a text that loses every line
-    with words becomes what is left of it, at least the empty text. Input columns named like an added one are
-    replaced. An empty table gives no rows.
+    with words becomes what is left of it, at least the empty text. `rare` decides by which of two exact ways a run
+    is deleted and never what is. Input columns named like an added one are replaced. An empty table gives no rows.
     """
     rows = packed(df).withColumns({"id": F.coalesce(F.col("record").getField(id_col).cast("long"), F.lit(2**63 - 1)), "text": F.col("record").getField(text_col)}).withColumn("h", F.xxhash64("text"))
     outlines = written(_outline(rows.filter("text IS NOT NULL").select("id", "h", "text"), min_words).dropDuplicates(["id", "h"]), "outlines")
-    runs = outlines.select(F.explode(F.array_distinct("runs")).alias("run"), F.struct("id", "h").alias("doc"))
-    owners = runs.groupBy("run").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner <> last").select("run", "owner")
-    pairs = runs.join(owners, "run").filter("doc <> owner").select("doc.id", "doc.h", F.col("owner.id").alias("owner_id"), F.col("owner.h").alias("owner_h")).distinct()
-    lines = outlines.select("id", "h", "places", "lines", "words")
-    owner_lines = outlines.select(F.col("id").alias("owner_id"), F.col("h").alias("owner_h"), F.col("lines").alias("owner_lines"))
-    aligned = _aligned(pairs.join(lines, ["id", "h"]).join(owner_lines, ["owner_id", "owner_h"]), min_words)
-    places = F.flatten(F.collect_list(F.arrays_zip(F.col("removed").alias("place"), F.col("removed_words").alias("n"))))
-    gone = aligned.filter("size(removed) > 0").groupBy("id", "h").agg(F.array_distinct(places).alias("gone"))
-    gone = gone.select(F.col("id").alias("gone_id"), F.col("h").alias("gone_h"), F.map_from_entries("gone").alias("gone"))
+    runs = outlines.select("id", "h", F.explode("runs").alias("r")).select(F.col("r.run").alias("run"), F.struct("id", "h").alias("doc"), F.col("r.start").alias("start"), F.col("r.end").alias("end"))
+    first = F.min(F.struct("doc", "start"))
+    owners = runs.groupBy("run").agg(first.alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).filter("first.doc <> last")
+    owners = written(owners.select("run", F.col("first.doc").alias("owner"), F.col("first.start").alias("at"), "n"), "run-owners")
+    total = runs.count()
+    later = spread_join(runs, owners, "run", "n", total).filter("doc <> owner")
+    entry = F.struct(F.when(F.col("n") <= rare, F.col("owner")).alias("owner"), "start", "end", "at")
+    # A document's shared runs are bounded by its own lines.
+    shared = later.groupBy("doc").agg(F.collect_list(entry).alias("shared")).select("doc.*", "shared")
+    aligned = _aligned(shared.join(outlines.drop("runs"), ["id", "h"]), min_words)
+    gone = aligned.filter("size(removed) > 0").select(F.col("id").alias("gone_id"), F.col("h").alias("gone_h"), F.map_from_arrays("removed", "removed_words").alias("gone"))
     joined = rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.map_contains_key("gone", i)), "\n")
     added = {
         "new_text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(left),
-        "n_lines": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"),
-        "removed_lines": F.coalesce(F.size(F.map_keys("gone")), F.lit(0)).cast("long"),
+        "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long"),
+        "removed_lines": F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(F.map_keys("gone"))).cast("long"),
         "removed_words": F.coalesce(F.aggregate(F.map_values("gone"), F.lit(0), lambda a, n: a + n), F.lit(0)).cast("long"),
     }
-    out = joined.withColumns({**added, "n_lines": F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(added["n_lines"])})
-    out = out.withColumn("removed_lines", F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("removed_lines")))
+    out = joined.withColumns(added)
     record = F.col("record").withField(text_col, F.col("new_text"))
     return unpacked(out.withColumn("record", record), ["n_lines", "removed_lines", "removed_words"])
 

@@ -159,7 +159,9 @@ def test_line_dedup_with_short_lines_matches_brute_force(spark):
     pieces = [*[prose(400 + k, n) for k, n in enumerate((12, 12, 24, 50))], licence, notice, "a", "b c"]
     rows += [(20 + i, "\n".join(draw.choice(pieces) for _ in range(draw.randint(1, 9)))) for i in range(60)]
     expected = brute_lines(rows, 20)
-    for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(dedup_lines(df, rare=1).collect()) == sorted(dedup_lines(df, rare=3).collect()) == sorted(dedup_lines(df, rare=10**9).collect())
+    for r in dedup_lines(df).collect():
         lines = dict(rows)[r.doc_id].split("\n")
         assert r.text == "\n".join(x for i, x in enumerate(lines) if i not in expected[r.doc_id]), r.doc_id
         assert r.removed_lines == len(expected[r.doc_id])
