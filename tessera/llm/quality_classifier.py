@@ -1,10 +1,14 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-A logistic model of whole-text statistics, fitted on a bounded sample of labelled rows, gives each document's
-evidence. Its scores are summed by host (the source) and by path (language within the source) and give each site's
-posterior quality: a host shrinks towards the global prior and a path towards its host, by pseudo-counts estimated
-by moments from the spread between sites (empirical Bayes), so sparse sites stay near their parents. A document's
-posterior odds are its evidence times its path's odds. All sums are grouped aggregates over all documents.
+A document's evidence is a logistic model of whole-text statistics and of its words, whose log likelihood ratios under
+good and bad labels are counted in hashed slots. Both are fitted on a bounded sample of labelled rows; the ratios that
+the logistic model is fitted on come from the other half of the sample, so no document scores itself.
+
+The labels of all rows give each site's quality: counts of good labels are summed by host (the source) and by path
+(language within the source); a host shrinks towards the global share and a path towards its host by pseudo-counts
+estimated by moments from the spread between sites (empirical Bayes), so sparse sites stay near their parents. A
+labelled document is left out of its own sites. A document's posterior odds are its evidence's odds times its path's
+odds over the global ones. All sums are grouped aggregates over all documents.
 """
 
 from __future__ import annotations
@@ -13,13 +17,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, table, unpacked, written
+from .common import let, packed, sampled, spread_join, table, unpacked, words, written
 from .textstats import statistics, without
 
 #: At most this many labelled rows train the model, the first by a seeded hash of the id.
 SAMPLE_ROWS = 20_000
 #: Estimates of up to this many sites are broadcast (under 10 MB); more are joined by shuffling.
 BROADCAST_SITES = 50_000
+#: Labels of up to this many documents are broadcast (under 4 MB); more are joined by shuffling.
+BROADCAST_LABELS = 200_000
+#: Slots of hashed words: two tables of this size are all that the words' ratios take, whatever the vocabulary.
+WORD_SLOTS = 4096
 PUNCTUATION = "!?.,;:|*&%$#"
 DIGITS = "0123456789"
 
@@ -43,6 +51,23 @@ def features(text: Column, s: Column) -> list[Column]:
     ]
 
 
+def slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(WORD_SLOTS)).cast("int")
+
+
+def word_ratios(counts: np.ndarray) -> np.ndarray:
+    """Log likelihood ratio of each slot, good against bad, from counts (2, slots) of bad and good words."""
+    smoothed = counts + 1.0
+    shares = smoothed / smoothed.sum(axis=1, keepdims=True)
+    return np.log(shares[1]) - np.log(shares[0])
+
+
+def ratio_sum(ratios: np.ndarray):
+    """The sum of the ratios of a list of words, as a function of its column; the table is one constant of the plan."""
+    held = F.split(F.lit(" ".join(f"{r:.6g}" for r in ratios)), " ").cast("array<double>")
+    return lambda tokens: F.aggregate(tokens, F.lit(0.0), lambda a, w: a + F.get(held, slot(w)))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, scale and weights (bias last) of a ridge-penalised logistic regression, by Newton steps."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
@@ -83,59 +108,97 @@ def _strength(sites: DataFrame, parent: str) -> float:
     return float(min(max(base / between - 1, 1.0), 1e4)) if between > 0 else 1e4
 
 
+def _keyed(value: Column) -> Column:
+    """A key that is never null, so that a null joins as a value of its own."""
+    return F.to_json(F.struct(value.cast("string").alias("k")))
+
+
+def _evidence(rows: DataFrame, labelled: int, sample_rows: int) -> tuple[Column, float]:
+    """The evidence of rows (id, label, body) as an expression of `body`, and the share of good labels in the sample."""
+    sample = sampled(rows.filter("label IS NOT NULL"), F.xxhash64(F.lit(10), "id"), sample_rows, labelled)
+    sample = written(sample.select("label", "body", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(2)).cast("int").alias("half")), "classifier-sample")
+    found = sample.select("half", "label", F.explode(words(F.col("body"))).alias("w")).groupBy("half", "label", slot(F.col("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    counts = np.zeros((2, 2, WORD_SLOTS))
+    for r in found.collect():  # 4 * WORD_SLOTS rows at most
+        counts[r["half"], r["label"], r["slot"]] = r["n"]
+    n_good, n = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
+    if not 0 < n_good < n:
+        return F.lit(n_good / n if n else 1.0), n_good / n if n else 1.0
+    stats = statistics(F.col("body"), first=ratio_sum(word_ratios(counts[1])), second=ratio_sum(word_ratios(counts[0])))
+    vector = lambda s, ratios: F.array(*features(F.col("body"), s), ratios / (s.n_words + 10))
+    crossed = sample.select("label", "half", "body", stats.alias("s"))
+    crossed = crossed.select("label", vector(F.col("s"), F.when(F.col("half") == 0, F.col("s.first")).otherwise(F.col("s.second"))).alias("x")).toPandas()
+    mean, scale, w = fit_logistic(np.array(crossed["x"].tolist(), dtype=float), crossed["label"].to_numpy(dtype=float))
+
+    def scored(s: Column) -> Column:
+        score = F.lit(float(w[-1] - (mean / scale * w[:-1]).sum()))
+        for c, x in zip(w[:-1] / scale, [*features(F.col("body"), s), s.ratios / (s.n_words + 10)], strict=True):
+            score = score + F.lit(float(c)) * x
+        return 1 / (1 + F.exp(-score))
+
+    return let(statistics(F.col("body"), ratios=ratio_sum(word_ratios(counts.sum(axis=0)))), scored), n_good / n
+
+
+def _sites(rows: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """(site, labels and good ones of path and host, rows) of every path, the global prior, and the strengths of prior and host.
+
+    rows has site (host, path) and label (null, 0 or 1).
+    """
+    paths = written(rows.groupBy("site").agg(F.count(F.lit(1)).alias("rows"), F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("good")), "sites")
+    n, good = paths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    prior = min(max(good / n if n else 1.0, 1e-6), 1 - 1e-6)
+    hosts = written(paths.groupBy(F.col("site.host").alias("host")).agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"), F.count(F.lit(1)).alias("paths")), "hosts")
+    known = hosts.filter("host_n > 0").select(F.col("host_n").alias("n"), (F.col("host_good") / F.col("host_n")).alias("mean"), F.lit(prior).alias("global"))
+    m0 = _strength(known, "global")
+    placed = written(spread_join(paths.withColumn("host", F.col("site.host")), hosts, "host", "paths", paths.count()), "placed")
+    host_mean = (F.col("host_good") + F.lit(m0 * prior)) / (F.col("host_n") + F.lit(m0))
+    m1 = _strength(placed.filter("n > 0").select("n", (F.col("good") / F.col("n")).alias("mean"), host_mean.alias("host_mean")), "host_mean")
+    return placed.select("site", "rows", "n", "good", "host_n", "host_good"), prior, m0, m1
+
+
 def classify_quality(
     df: DataFrame, labels: DataFrame, carry: list[str] | None = None, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang"
 ) -> DataFrame:
     """The columns `carry` of df (all by default) with evidence, site_quality, p_quality and kept.
 
-    `evidence` is the model's own probability, `site_quality` the path's posterior mean, `p_quality` their
-    combination; kept if it reaches `threshold`. Null and empty texts are judged by their statistics like others;
-    null hosts and paths are sites of their own. A labelled id with several rows trains with each; rows with null
-    labels or ids train nothing. Without labels of both kinds the evidence is the share of good labels (1 without
-    any). An empty table gives no rows. Input columns named like an added one are replaced.
+    `evidence` is the model's own probability, `site_quality` the path's posterior mean without the document's own
+    label, `p_quality` their combination; kept if it reaches `threshold`. Null and empty texts are judged by their
+    statistics like others; null hosts and paths are sites of their own. A labelled id with several rows counts with
+    each; rows with null labels or ids have no label, and of unlike labels of an id the worse counts. Without labels of
+    both kinds the evidence is the share of good labels (1 without any). An empty table gives no rows. Input columns
+    named like an added one are replaced.
     """
     added = ["evidence", "site_quality", "p_quality", "kept"]
-    text = F.col("record").getField(text_col)
-    rows = packed(df).select(
-        F.col("record").getField(id_col).alias("id"),
-        F.to_json(F.struct(F.col("record").getField(host_col).cast("string").alias("h"))).alias("host"),
-        F.to_json(F.struct(F.col("record").getField(path_col).cast("string").alias("p"))).alias("path"),
-        text.alias("body"),
-        statistics(text).alias("s"),
-        F.struct(*[F.col("record").getField(c).alias(c) for c in (carry if carry is not None else df.columns)]).alias("record"),
-    )
-    rows = rows.select("record", "id", "host", "path", F.array(*features(F.col("body"), F.col("s"))).alias("x"))
-    rows = written(rows, "classifier-features")
-    known = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality"))
-    sample = rows.select("id", "x").join(known, F.col("id") == F.col("label_id")).orderBy(F.xxhash64(F.lit(10), "id"), "id").limit(sample_rows).select("x", "quality").toPandas()
-    y = sample["quality"].to_numpy(dtype=float)
-    if len(y) and 0 < y.mean() < 1:
-        mean, scale, w = fit_logistic(np.array(sample["x"].tolist(), dtype=float), y)
-        score = F.lit(float(w[-1] - (mean / scale * w[:-1]).sum()))
-        for i, c in enumerate(w[:-1] / scale):
-            score = score + F.lit(float(c)) * F.get("x", i)
-        evidence = _clamped(1 / (1 + F.exp(-score)))
-    else:
-        evidence = _clamped(F.lit(float(y.mean()) if len(y) else 1.0))
-    scored = rows.withColumn("evidence", evidence)
-    paths = written(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.avg("evidence").alias("mean")), "sites")
-    total = paths.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("p")).first()["p"]
-    prior = float(min(max(total if total is not None else 0.5, 1e-6), 1 - 1e-6))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean")).withColumn("global", F.lit(prior))
-    hosts = written(hosts, "hosts")
-    m0 = _strength(hosts, "global")
-    shrunk = hosts.select(F.col("host").alias("of"), ((F.col("n") * F.col("mean") + F.lit(m0 * prior)) / (F.col("n") + F.lit(m0))).alias("host_mean"))
-    placed = paths.join(shrunk, F.col("host") == F.col("of"))
-    m1 = _strength(placed, "host_mean")
-    sites = placed.select(F.col("host").alias("of"), F.col("path").alias("of_path"), ((F.col("n") * F.col("mean") + F.lit(m1) * F.col("host_mean")) / (F.col("n") + F.lit(m1))).alias("site_quality"))
-    sites = written(sites, "site-posteriors")
-    few = sites.count() <= BROADCAST_SITES
-    joined = scored.join(F.broadcast(sites) if few else sites, (F.col("host") == F.col("of")) & (F.col("path") == F.col("of_path")))
+    of = F.col("record").getField
+    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("label_id")).agg((F.min("quality") > 0).cast("int").alias("label"))
+    known = written(known, "labels")
+    few_labels = known.count() <= BROADCAST_LABELS
+    rows = packed(df).join(F.broadcast(known) if few_labels else known, of(id_col) == F.col("label_id"), "left")
+    rows = rows.select(
+        of(id_col).alias("id"), "label", of(text_col).alias("body"), F.struct(_keyed(of(host_col)).alias("host"), _keyed(of(path_col)).alias("path")).alias("site"),
+        F.struct(*[of(c).alias(c) for c in (carry if carry is not None else df.columns)]).alias("record"),
+    )
+    sites, prior, m0, m1 = _sites(rows.select("site", "label"))
+    labelled, total, n_sites = sites.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
+    evidence, _ = _evidence(rows.select("id", "label", "body"), labelled, sample_rows)
+    scored = rows.select("record", "label", "site", _clamped(evidence).alias("evidence"))
+    joined = _with_sites(scored, sites, n_sites, total)
+    own, one = F.coalesce("label", F.lit(0)), F.col("label").isNotNull().cast("int")
+    host = (F.col("host_good") - own + F.lit(m0 * prior)) / (F.col("host_n") - one + F.lit(m0))
+    path = (F.col("good") - own + F.lit(m1) * host) / (F.col("n") - one + F.lit(m1))
+    out = joined.withColumn("site_quality", path)
     odds = _logit(F.col("evidence")) - F.lit(float(np.log(prior / (1 - prior)))) + _logit(_clamped(F.col("site_quality")))
-    out = joined.withColumn("p_quality", 1 / (1 + F.exp(-odds)))
+    out = out.withColumn("p_quality", 1 / (1 + F.exp(-odds)))
     return unpacked(out.withColumn("kept", F.col("p_quality") >= F.lit(threshold)), added)
 
 
+def _with_sites(scored: DataFrame, sites: DataFrame, n_sites: int, total: int) -> DataFrame:
+    """scored joined to its site's counts: broadcast where the sites are few, else with hot sites apart."""
+    key = F.to_json("site")
+    scored, sites = scored.withColumn("of", key), sites.withColumn("of", key).drop("site")
+    return scored.join(F.broadcast(sites), "of") if n_sites <= BROADCAST_SITES else spread_join(scored, sites, "of", "rows", total)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
 

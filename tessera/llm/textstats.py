@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,8 +55,8 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def statistics(text: Column) -> Column:
-    """A struct of counts over the whole text; a null text has none of anything."""
+def statistics(text: Column, **more: Callable[[Column], Column]) -> Column:
+    """A struct of counts over the whole text, with a field for each of `more`, computed from the words; a null text has none of anything."""
     body = F.coalesce(text, F.lit(""))
 
     def of(tokens: Column) -> Column:
@@ -65,6 +67,7 @@ def statistics(text: Column) -> Column:
             duplicate_lines(body).alias("n_dup_lines"),
             repeated_words(tokens).alias("n_repeat_words"),
             (F.length(body) - F.length(without(body, CAPITALS))).cast("long").alias("n_capitals"),
+            *[f(tokens).alias(name) for name, f in more.items()],
         )
 
     return let(words(text), of)

@@ -64,3 +64,67 @@ def test_run_keeps_clean_documents_and_one_of_each_group(spark):
     total = out.agg(F.sum("length")).first()[0]
     used = out.select("sequence_id").distinct().count()
     assert total / (used * 4096) > 0.95 and out.select("doc_id").distinct().count() > 0.4 * docs.count()
+
+
+def brute_classes(rows, labels, sample):
+    """Site qualities and decisions from the operator's own evidence, by sums over plain lists."""
+    known = {}
+    for i, q, _ in labels:
+        if i is not None and q is not None:
+            known[i] = min(known.get(i, 1), int(q > 0))
+    site, host = {}, {}
+    for i, _, path, source in rows:
+        if i in known:
+            for of, key in ((site, (source, path)), (host, source)):
+                n, g = of.get(key, (0, 0))
+                of[key] = (n + 1, g + known[i])
+    total = sum(n for n, _ in host.values())
+    prior = sum(g for _, g in host.values()) / total
+
+    def strength(cells):
+        cells = [(n, g / n, p) for n, g, p in cells if n]
+        if len(cells) < 2:
+            return 1000.0
+        all_n = sum(n for n, _, _ in cells)
+        within = sum(n * p * (1 - p) for n, _, p in cells)
+        spread, noise = sum(n * (m - p) ** 2 for n, m, p in cells), sum(p * (1 - p) for _, _, p in cells)
+        between = (spread - noise) / max(all_n - sum(n * n for n, _, _ in cells) / all_n, 1e-9)
+        return min(max(within / all_n / between - 1, 1.0), 1e4) if between > 0 else 1e4
+
+    m0 = strength([(n, g, prior) for n, g in host.values()])
+    mean = {k: (g + m0 * prior) / (n + m0) for k, (n, g) in host.items()}
+    m1 = strength([(n, g, mean[k[0]]) for k, (n, g) in site.items()])
+    out = {}
+    for i, _, path, source in rows:
+        own, one = known.get(i, 0), int(i in known)
+        hn, hg = host.get(source, (0, 0))
+        n, g = site.get((source, path), (0, 0))
+        h = (hg - own + m0 * prior) / (hn - one + m0)
+        out[i] = (g - own + m1 * h) / (n - one + m1)
+    odds = lambda p: np.log(p / (1 - p))
+    return {i: (q, 1 / (1 + np.exp(-(odds(sample[i]) - odds(prior) + odds(q))))) for i, q in out.items()}
+
+
+def test_site_posteriors_match_brute_force_without_the_own_label(spark):
+    draw = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(600):
+        source, path = [None, "a", "b", "c"][i % 4], ["en", None, "de"][i % 3]
+        good = draw.random() < {"a": 0.9, "b": 0.2, None: 0.6, "c": 0.5}[source]
+        rows.append((i, "good plain words in order " * 6 if draw.random() < (0.8 if good else 0.3) else "BAD!! ### $$$ 123 " * 9, path, source))
+        if i % 2 == 0 or i < 50:
+            labels.append((i, int(good), 0))
+    labels += [(0, 0, 0), (None, 1, 0), (3, None, 0)]
+    out = classify_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    expected = brute_classes(rows, labels, {r.doc_id: r.evidence for r in out})
+    for r in out:
+        assert np.allclose((r.site_quality, r.p_quality), expected[r.doc_id], atol=1e-9) and r.kept == (r.p_quality >= 0.5)
+    assert {r.doc_id for r in out} == set(range(600)) and len({round(r.evidence, 6) for r in out}) == 2
+
+
+def test_the_sample_is_cut_before_it_is_gathered(spark):
+    from tessera.llm.common import sampled
+
+    df = spark.range(100_000)
+    cut = sampled(df, F.xxhash64("id"), 2000, 100_000)
+    assert 1000 < cut.count() <= 2000 and sampled(df, F.xxhash64("id"), 10**6, 100_000).count() == 100_000
