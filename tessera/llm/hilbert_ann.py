@@ -4,12 +4,12 @@ Each of several curves projects the vectors at random, shifts them and orders th
 cut into ranges of equal share, and Spark deals the vectors out by (curve, range). A query joins the ranges around
 its own on every curve; each range returns its best by exact inner product, and the results merge. For the largest
 inner product, vectors get one more coordinate that lifts them to equal length, and queries are scaled to that
-length, so the nearest by angle is the largest by product. Equal vectors are one node with its smallest ids.
+length, so the nearest by angle is the largest by product. Equal vectors are one node with its smallest ids. A query
+whose windows hold fewer than k others, as in tables of few vectors, is compared with every vector, in blocks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import sampled, table, written
 
 #: At most this many vectors, by a hash of the node, fit the scales of the projections and the range bounds.
 SAMPLE_ROWS = 20_000
@@ -92,27 +92,34 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _best(queries: np.ndarray, vectors: np.ndarray, ids: list[list[int]], k: int) -> list[list[tuple[float, int]]]:
-    """The k best (score, id) for each query; scores are left-to-right sums of products in double precision."""
+    """The k best (score, id) for each query, ties to the smaller id; scores are left-to-right sums of products.
+
+    The matrix product rounds otherwise, so every vector within a rounding margin of the k-th best is scored exactly:
+    none that could be among the k best, or tie with them, is lost.
+    """
     out = []
+    lengths = np.linalg.norm(vectors, axis=1).max(initial=0.0)
     for at in range(0, len(queries), 256):
         part = queries[at : at + 256]
         scores = part @ vectors.T
-        few = min(k + 4, len(vectors))
-        near = np.argpartition(-scores, few - 1, axis=1)[:, :few]
-        exact = np.cumsum(part[:, None, :] * vectors[near], axis=2)[:, :, -1]
-        for row, score in zip(near, exact, strict=True):
-            out.append(sorted(((float(s), i) for n, s in zip(row, score, strict=True) for i in ids[n]), key=lambda x: (-x[0], x[1]))[:k])
+        last = len(vectors) - min(k, len(vectors))
+        least = np.partition(scores, last, axis=1)[:, last] - 1e-12 * vectors.shape[1] * lengths * np.linalg.norm(part, axis=1)
+        for query, row, bound in zip(part, scores, least, strict=True):
+            near = np.flatnonzero(row >= bound)
+            exact = np.cumsum(query * vectors[near], axis=1)[:, -1]
+            out.append(sorted(((float(s), i) for n, s in zip(near, exact, strict=True) for i in ids[n]), key=lambda x: (-x[0], x[1]))[:k])
     return out
 
 
 def nearest_neighbours(
-    df: DataFrame, is_query, k: int = 20, curves: int = 12, projected: int = 6, bits: int = 5, ranges: int = 32, around: int = 2, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding"
+    df: DataFrame, is_query, k: int = 20, curves: int = 24, projected: int = 6, bits: int = 5, ranges: int = 128, around: int = 2, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of largest inner product found for each row of is_query.
 
     Every row but the query's own is a candidate. Vectors that are null, zero, of another length than most, or
     hold nulls or non-finite values take no part, nor do null ids. Ties go to the smaller id; rows that agree in id
-    and vector are one row. Fewer than k other rows give as many as there are. An empty table gives no rows.
+    and vector are one row. Fewer than k other rows give as many as there are. An empty table gives no rows. A query
+    is scored against a share of (2 around + 1) / ranges of the table on each curve, whatever the table's size.
     """
     vector = F.col(vector_col).cast("array<double>")
     valid = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v"), is_query.alias("asks")).filter("vec_id IS NOT NULL AND size(v) > 0")
@@ -130,39 +137,53 @@ def nearest_neighbours(
     nodes = written(nodes, "nodes")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     longest, distinct = nodes.agg(F.max(norm), F.count(F.lit(1))).first()
-    ranges = max(1, min(ranges, distinct // (4 * k)))  # a range of a small table must hold enough to choose from
     index = Curves(common["dims"], curves, projected, bits, ranges, longest, seed)
-    sample = nodes.orderBy(F.xxhash64(F.lit(seed), "node")).limit(SAMPLE_ROWS).select("v").toPandas()["v"].tolist()
+    sample = sampled(nodes, F.xxhash64(F.lit(seed), "node"), SAMPLE_ROWS, distinct).select("v").toPandas()["v"].tolist()
     index.fit(np.array(sample, dtype=np.float64))
+    width = 2 * around + 1
 
-    def place(stream: Iterator[pa.RecordBatch], as_query: bool) -> Iterator[pa.RecordBatch]:
+    def place(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors as bytes, their range on each curve, and the first range of the window of those that ask."""
         for batch in stream:
-            m = np.array(batch["v"].to_pylist(), dtype=np.float64)
+            m = np.array(batch["v"].to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
             if not len(m):
                 continue
-            at = index.ranges_of(m, as_query)
+            # A window is shifted inwards at the ends, so that each has as many ranges.
+            held, sought = index.ranges_of(m, False), np.clip(index.ranges_of(m, True) - around, 0, max(ranges - width, 0))
             raw = pa.array([r.tobytes() for r in m], pa.binary())
-            for c in range(curves):
-                steps = range(-around, around + 1) if as_query else (0,)
-                for step in steps:
-                    to = at[c] + step
-                    held = pa.array(np.flatnonzero((to >= 0) & (to < ranges)))
-                    columns = {"curve": pa.array([c] * len(held), pa.int32()), "part": pa.array(to, pa.int32()).take(held), "node": batch["node"].take(held), "raw": raw.take(held)}
-                    yield pa.RecordBatch.from_pydict(columns if as_query else columns | {"ids": batch["ids"].take(held)})
-
-    cell = "curve int, part int, node string, raw binary"
-    vectors = nodes.select("node", "v", "ids").mapInArrow(lambda s: place(s, False), f"{cell}, ids array<long>")
-    queries = nodes.filter("asks").select("node", "v").mapInArrow(lambda s: place(s, True), cell)
-    # A range with many vectors or queries is split into blocks; every pair of blocks of a range meets.
-    sizes = {(r["curve"], r["part"]): r["n"] for r in vectors.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    asked = {(r["curve"], r["part"]): r["n"] for r in queries.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = F.create_map(*[F.lit(x) for c in range(curves) for p in range(ranges) for x in (c * ranges + p, max(1, math.ceil(sizes.get((c, p), 0) / BLOCK_ROWS)))])
-    groups = F.create_map(*[F.lit(x) for c in range(curves) for p in range(ranges) for x in (c * ranges + p, max(1, math.ceil(asked.get((c, p), 0) / BLOCK_ROWS)))])
-    place_of = F.col("curve") * ranges + F.col("part")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.element_at(n, place_of) - 1))
-    own = lambda n: F.pmod(F.xxhash64("node"), F.element_at(n, place_of)).cast("int")
-    vectors = vectors.select("*", own(blocks).alias("block"), spread(groups).alias("team"))
-    queries = queries.select("*", own(groups).alias("team"), spread(blocks).alias("block"))
+            lists = [pa.array(x.T.astype(np.int32).tolist(), pa.list_(pa.int32())) for x in (held, sought)]
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["asks"], batch["ids"], raw, *lists], names=["node", "asks", "ids", "raw", "held", "sought"])
+
+    placed = written(nodes.select("node", "asks", "ids", "v").mapInArrow(place, "node string, asks boolean, ids array<long>, raw binary, held array<int>, sought array<int>"), "placed", instead_of=nodes)
+    vectors = placed.select(F.posexplode("held").alias("curve", "part"), "node", "raw", "ids")
+    queries = placed.filter("asks").select(F.posexplode("sought").alias("curve", "first"), "node", "raw")
+    queries = queries.select("curve", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + width, F.lit(ranges)) - 1)).alias("part"), "node", "raw")
+    found = written(_searched(vectors, queries, k), "found")
+    # Few vectors in the windows: the query meets all, as a curve of one range.
+    enough = found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k).select("node")
+    one = lambda df, *more: df.select(F.lit(0).alias("curve"), F.lit(0).alias("part"), "node", "raw", *more)
+    short = written(one(placed.filter("asks").join(enough, "node", "left_anti")), "short")
+    if not short.isEmpty():
+        found = found.join(short.select("node"), "node", "left_anti").unionByName(_searched(one(placed, "ids"), short, k))
+    asking = valid.filter("asks").select(F.col("vec_id").alias("query_id"), "node")
+    answers = asking.join(found, "node").filter("query_id <> vec_id")
+    ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "node").orderBy(F.desc("score"), "vec_id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _searched(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(node, vec_id, score): the k + 1 best of each query among the vectors of its (curve, part) cells.
+
+    A cell with many vectors or queries is split into blocks; every pair of blocks of a cell meets.
+    """
+    counted = [df.groupBy("curve", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name)) for df, name in ((vectors, "blocks"), (queries, "teams"))]
+    # One row a cell: curves times ranges at most, whatever the table.
+    split = F.broadcast(counted[0].join(counted[1], ["curve", "part"]).coalesce(1))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    vectors = vectors.join(split, ["curve", "part"]).select("curve", "part", "node", "raw", "ids", own("blocks").alias("block"), spread("teams").alias("team"))
+    # Renamed, since both tables may come from one and cogroup() tells their columns apart by origin.
+    queries = queries.join(split, ["curve", "part"]).select("curve", "part", F.col("node").alias("node"), F.col("raw").alias("raw"), own("teams").alias("team"), spread("blocks").alias("block"))
 
     def search(asks: pa.Table, held: pa.Table) -> pa.Table:
         found = _best(_matrix(asks["raw"]), _matrix(held["raw"]), held["ids"].to_pylist(), k + 1) if len(held) and len(asks) else []
@@ -175,11 +196,7 @@ def nearest_neighbours(
     found = queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(search, "node string, score double, vec_id long")
     found = found.groupBy("node", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("node").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1).drop("at")
-    asking = valid.filter("asks").select(F.col("vec_id").alias("query_id"), "node")
-    answers = asking.join(found, "node").filter("query_id <> vec_id")
-    ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "node").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1).select("node", "vec_id", "score")
 
 
 def op7_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
