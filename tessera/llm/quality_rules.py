@@ -90,23 +90,20 @@ def _moments(rows: DataFrame, ridge: float = 0.5) -> DataFrame:
 
 
 def _pools(points: DataFrame, min_rows: int) -> DataFrame:
-    """cell -> pool: the cell itself, else its language's rest, else the rest of all; null where that is too small."""
+    """cell -> pool: the cell itself, else the rest of its language, else the rest of all, whatever the size of that."""
     cells = points.groupBy("cell", "language").agg(F.count(F.lit(1)).alias("rows"))
     small = F.col("rows") < min_rows
     of_language = F.sum(F.when(small, F.col("rows"))).over(Window.partitionBy("language"))
     staged = cells.withColumn("rest", of_language)
     pool = F.when(~small, F.concat(F.lit("c"), F.col("cell"))).when(F.col("rest") >= min_rows, F.concat(F.lit("l"), F.col("language"))).otherwise("r")
-    pooled = staged.withColumn("pool", pool)
-    sizes = pooled.groupBy("pool").agg(F.sum("rows").alias("pool_rows")).filter(F.col("pool_rows") >= min_rows)
-    return pooled.join(sizes, "pool").select("cell", "pool")
+    return staged.select("cell", pool.alias("pool"))
 
 
 def robust_outliers(points: DataFrame, min_rows: int = 60, support: float = 0.75, steps: int = 4) -> DataFrame:
     """Estimates per cell (columns cell, centre c*, scale s*, m*, l*, spread) from points (cell, language, x0..).
 
-    Every row takes part. Cells with fewer than `min_rows` rows are pooled by language, then overall; those left
-    have no estimate. `spread` scales
-    squared distances down where their median exceeds that of chi-squared.
+    Every row takes part and every cell has an estimate: cells with fewer than `min_rows` rows are pooled by language,
+    then overall. `spread` scales squared distances down where their median exceeds that of chi-squared.
     """
     cells = written(_pools(points, min_rows), "mcd-pools")
     n_cells = cells.count()
@@ -139,8 +136,8 @@ def quality_verdicts(
     """The columns `carry` of df (all by default) with the six statistics, base_failed, distance and kept.
 
     A null or empty text has no words and fails the base rules; null languages and sources form groups of their
-    own. Ties and repeated rows count each. Rows whose group and wider pools stay under `min_rows` rows have a
-    null distance and pass on the base rules alone. Input columns named like an added one are replaced. `cut`
+    own. Ties and repeated rows count each. Groups under `min_rows` rows are judged by the estimate of what is left of
+    their language or of all; only rows that the base rules fail have a null distance. Input columns named like an added one are replaced. `cut`
     bounds the squared distance; the default is the chi-squared quantile of 0.9999 for five statistics.
     """
     added = [*STATISTICS, "base_failed", "distance", "kept"]
