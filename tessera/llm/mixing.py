@@ -73,8 +73,11 @@ def solve_duals(histogram: DataFrame, targets: DataFrame, limit: int = 3, steps:
         dual = F.when((F.col("next") > F.col("low")) & (F.col("next") < F.col("high")), F.col("next")).otherwise((F.col("low") + F.col("high")) / 2)
         miss = F.abs(F.col("gap")) / F.col("target")
         state = written(bracket.select("source", "target", "mean", F.when(miss < tolerance, F.col("dual")).otherwise(dual).alias("dual"), "low", "high", miss.alias("miss")), "duals")
-        if (state.agg(F.max("miss")).first()[0] or 0.0) < tolerance:
+        miss_left = state.agg(F.max("miss")).first()[0] or 0.0
+        if miss_left < tolerance:
             break
+    else:
+        raise RuntimeError(f"the duals did not settle within {steps} steps: a source still misses its target by {miss_left:.3g} of it")
     return state.select("source", "mean", "dual")
 
 
