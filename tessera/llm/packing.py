@@ -11,8 +11,6 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from functools import cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,24 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .tokens import Tokenizers, tokenizer_path
 
+#: Batches that a task packs at most; it reads about as many times batch_bytes, more where texts have many tokens.
+TASK_BATCHES = 8
 #: Words up to this many characters are remembered with their ids, up to this many words in a worker.
 REMEMBERED_CHARS, REMEMBERED_WORDS = 40, 600_000
 
 
-def tokenizer_path(name: str) -> str:
-    import sys
-
-    if "/opt/tokenizers" not in sys.path and Path("/opt/tokenizers").is_dir():
-        sys.path.append("/opt/tokenizers")
-    try:
-        import public_tokenizers
-
-        return public_tokenizers.path(name)
-    except ImportError:
-        return f"/opt/tokenizers/{name}"
-
-
 def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
     """Item numbers of k near-equal parts. Deterministic: ties fall to the earlier partition."""
     if k == 1:
@@ -100,10 +88,10 @@ class WordTokenizer:
     its lower-case body and its tail of punctuation first.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, file: bytes):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(file)
         self.known: dict[str, bytes] = {}
         self.bodies: dict[str, bytes] = {}
 
@@ -137,12 +125,6 @@ class WordTokenizer:
         return out
 
 
-@cache
-def _tokenizer(path: str) -> WordTokenizer:
-    """One a Python worker, kept from task to task."""
-    return WordTokenizer(path)
-
-
 def cuts(n: int, capacity: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full windows, then near-equal pieces of at most `most` tokens."""
     full = n // capacity
@@ -169,11 +151,11 @@ def pack_documents(
     """
     volume = df.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 1)).first()[0] or 0
     batches = max(1, math.ceil(volume / batch_bytes))
-    path = tokenizer_path(tokenizer)
+    tokenizers = Tokenizers(df.sparkSession, tokenizer_path(tokenizer), WordTokenizer)
     cut_schema = "batch long, doc_id long, start long, length long, ids binary, doc_tokens long"
 
     def tokenize(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _tokenizer(path), np.uint32(end_id).astype("<u4").tobytes()
+        words, end = tokenizers.get(), np.uint32(end_id).astype("<u4").tobytes()
         for batch in stream:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -200,7 +182,8 @@ def pack_documents(
         offset = np.concatenate([np.cumsum(lengths[p]) - lengths[p] for p in parts])
         return group.take(pa.array(order)).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).drop(["batch"])
 
-    packed = pieces.groupBy("batch").applyInArrow(pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    tasks = max(math.ceil(batches / TASK_BATCHES), 1)
+    packed = pieces.repartition(tasks, "batch").groupBy("batch").applyInArrow(pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return packed
 
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.mixing import mix_sources, source_targets
-from tessera.llm.packing import WordTokenizer, cuts, karmarkar_karp, pack_documents, pack_windows, tokenizer_path
+from tessera.llm.packing import WordTokenizer, cuts, karmarkar_karp, pack_documents, pack_windows
+from tessera.llm.tokens import tokenizer_path
 
 from .data import awkward, awkward_rows, none, prose
 
@@ -93,7 +94,8 @@ def test_word_cache_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     path = tokenizer_path("word_bpe_49k.json")
-    plain, cached = Tokenizer.from_file(path), WordTokenizer(path)
+    with open(path, "rb") as file:
+        plain, cached = Tokenizer.from_file(path), WordTokenizer(file.read())
     texts = [r[1] or "" for r in awkward_rows()] + ["it's we'll 3.5% *** áb  x  y", "ﬁne Ǆ ΑΣ, ΑΣ", "a\x1cb", "<|startoftext|>hi.<|endoftext|>."]
     for _ in range(2):
         for text, ids in zip(texts, cached.encode(texts), strict=True):
