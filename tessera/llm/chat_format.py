@@ -1,9 +1,11 @@
 """Chat formatting in budgeted windows.
 
-A conversation's turns are read in order. Prefix sums of their tokens cut it greedily into turn-aligned windows of at
-most `budget` tokens; a window opens with the conversation's system turn and a limited history of turns repeated from
-the window before. Only new assistant turns are under the loss mask, so every target trains once. Turns are marked by
-control strings, and control strings inside a role or text are escaped reversibly.
+Every formatted turn is counted in tokens of a public tokenizer. Prefix sums of these tokens over a conversation's
+turns, in order, choose turn-aligned spans greedily: a window takes the turns up to the last one whose prefix sum,
+less that of the window's start, leaves room in `budget` for what the window repeats. It opens with the conversation's
+system turn and a limited history of turns of the window before. Only new assistant turns are under the loss mask, so
+every target trains once. Turns are marked by control strings, and control strings inside a role or text are escaped
+reversibly.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import packed, table
+from .tokens import Tokenizers, tokenizer_path
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Control strings of this template and of other common ones.
@@ -54,43 +58,59 @@ def read_back(window: str) -> list[tuple[str, str, int, int]]:
     return [(unescape_role(m[1]), unescape(m[2]), m.start(2), m.end(2)) for m in _TURN.finditer(window)]
 
 
+class TokenCounter:
+    """Tokens of formatted turns; a control string of the tokenizer's own counts as ordinary text."""
+
+    def __init__(self, file: bytes):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_buffer(file)
+        self.tokenizer.encode_special_tokens = True
+
+    def __call__(self, turns: list[tuple[str, str]]) -> list[int]:
+        out: list[int] = []
+        for at in range(0, len(turns), 128):
+            out += [len(e) for e in self.tokenizer.encode_batch_fast([render(*t)[0] for t in turns[at : at + 128]], add_special_tokens=False)]
+        return out
+
+
 class Formatter:
     """The windows of one conversation whose turns are fed in order; it holds one window and the history."""
 
     def __init__(self, budget: int, history: int):
         self.budget, self.history = budget, history
-        self.system: tuple[str, str] | None = None
+        self.system: tuple[str, str, int] | None = None
         self.past: list[tuple[str, str, int]] = []
         self.parts: list[tuple[str, str, bool]] = []
-        self.tokens = self.number = self.new = 0
+        #: The prefix sum before the window's first new turn, and the tokens of what the window repeats.
+        self.base = self.repeated = 0
+        self.number = self.new = 0
 
-    @staticmethod
-    def cost(role: str, text: str) -> int:
-        """Tokens of a turn, counted as words of role and text and two marks."""
-        return len(role.split()) + len(text.split()) + 2
+    def feed(self, role: str, text: str, tokens: int, through: int) -> dict | None:
+        """Takes the next turn, with its tokens and their prefix sum; returns the window that it closes, if any.
 
-    def feed(self, role: str, text: str) -> dict | None:
-        """Takes the next turn; returns the window that it closes, if any. A turn over the budget has its own."""
-        cost, closed = self.cost(role, text), None
-        if self.new and self.tokens + cost > self.budget:
+        A turn over the budget has a window of its own.
+        """
+        closed = None
+        if self.new and self.repeated + through - self.base > self.budget:
             closed = self.close()
-            room = self.budget - cost - (self.cost(*self.system) if self.system else 0)
-            repeated: list[tuple[str, str, int]] = []
+            self.base = through - tokens
+            system = [self.system] if self.system else []
+            room = self.budget - tokens - sum(t for _, _, t in system)
+            again: list[tuple[str, str, int]] = []
             for turn in reversed(self.past[-self.history :] if self.history else []):
                 if turn[2] > room:
                     break
                 room -= turn[2]
-                repeated.insert(0, turn)
-            start = ([(*self.system, False)] if self.system else []) + [(r, t, False) for r, t, _ in repeated]
-            self.parts, self.new = start, 0
-            self.tokens = sum(self.cost(r, t) for r, t, _ in start)
+                again.insert(0, turn)
+            self.parts = [(r, x, False) for r, x, _ in [*system, *again]]
+            self.repeated = sum(t for _, _, t in [*system, *again])
         self.parts.append((role, text, True))
-        self.tokens += cost
         self.new += 1
         if role == "system" and self.system is None:
-            self.system = (role, text)
+            self.system = (role, text, tokens)
         else:
-            self.past = [*self.past, (role, text, cost)][-max(self.history, 1) :]
+            self.past = [*self.past, (role, text, tokens)][-max(self.history, 1) :]
         return closed
 
     def close(self) -> dict | None:
@@ -115,13 +135,15 @@ _WINDOWS = pa.schema(
 )
 
 
-def format_conversations(df: DataFrame, budget: int = 1024, history: int = 2, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_conversations(
+    df: DataFrame, budget: int = 1024, history: int = 2, tokenizer: str = "byte_bpe_50k.json", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+) -> DataFrame:
     """One row a window: conv_id, window (from 0), formatted, new_turns (per turn: not repeated), loss spans.
 
     Turns are ordered by turn (null first), role and text; repeated rows are turns each. Null role and text are
     empty. A null conv_id is a conversation. Only the first system turn is retained in later windows; others count
     as plain turns. Spans are code points of `formatted`. Conversations stream through sorted partitions, so one of
-    any length needs the memory of a window. Other columns are not used. An empty table gives no rows.
+    any length needs the memory of a window. `budget` counts tokens of `tokenizer`. Other columns are not used. An empty table gives no rows.
     """
     turns = packed(df).select(
         F.col("record").getField(conv_col).cast("long").alias("conv_id"),
@@ -130,24 +152,35 @@ def format_conversations(df: DataFrame, budget: int = 1024, history: int = 2, co
         F.coalesce(F.col("record").getField(text_col), F.lit("")).alias("text"),
     )
 
+    counters = Tokenizers(df.sparkSession, tokenizer_path(tokenizer), TokenCounter)
+
+    @F.arrow_udf("long")
+    def counted(roles: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array(counters.get()(list(zip(roles.to_pylist(), texts.to_pylist(), strict=True))), pa.int64())
+
+    order = ["turn", "role", "text"]
+    dealt = turns.withColumn("tokens", counted("role", "text")).repartition("conv_id")
+    through = F.sum("tokens").over(Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    summed = dealt.withColumn("through", through).sortWithinPartitions("conv_id", *order)
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: object = stream  # no conversation yet
         formatter = Formatter(budget, history)
         rows: list[dict] = []
         for batch in batches:
-            for conv, role, text in zip(batch["conv_id"].to_pylist(), batch["role"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for conv, *turn in zip(*[batch[c].to_pylist() for c in ("conv_id", "role", "text", "tokens", "through")], strict=True):
                 if conv != current:
                     if last := formatter.close():
                         rows.append({"conv_id": current, **last})
                     current, formatter = conv, Formatter(budget, history)
-                if closed := formatter.feed(role, text):
+                if closed := formatter.feed(*turn):
                     rows.append({"conv_id": conv, **closed})
             yield pa.RecordBatch.from_pylist(rows, schema=_WINDOWS)
             rows = []
         if last := formatter.close():
             yield pa.RecordBatch.from_pylist([{"conv_id": current, **last}], schema=_WINDOWS)
 
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(stream, WINDOWS)
+    return summed.select("conv_id", "role", "text", "tokens", "through").mapInArrow(stream, WINDOWS)
 
 
 SUMMARY = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"

@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.chat_format import CONTROL, Formatter, escape, format_conversations, read_back, render, summarize_windows, unescape, unescape_role
-from tessera.llm.chat_format import escape_role
+from tessera.llm.chat_format import CONTROL, TokenCounter, escape, escape_role, format_conversations, read_back, render, summarize_windows, unescape, unescape_role
 from tessera.llm.hilbert_ann import hilbert_keys, nearest_neighbours
+from tessera.llm.tokens import tokenizer_path
 from tessera.llm.html_extract import chosen_lines, extract_pages, lines_of, main_text, stretches
 
 
@@ -37,7 +37,9 @@ def test_windows_keep_budget_system_history_and_mask(spark):
     df = spark.createDataFrame(conversations(), "conv_id long, turn long, role string, text string").withColumn("record", F.lit(1))
     windows = format_conversations(df, budget=100, history=2)
     rows = windows.collect()
-    cost = Formatter.cost
+    with open(tokenizer_path("byte_bpe_50k.json"), "rb") as file:
+        counter = TokenCounter(file.read())
+    cost = lambda r, t: counter([(r, t)])[0]
     for w in rows:
         turns = read_back(w.formatted)
         assert len(turns) == len(w.new_turns)
@@ -61,6 +63,50 @@ def test_windows_keep_budget_system_history_and_mask(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def brute_windows(turns, cost, budget, history):
+    """Windows as lists of (turn number, new), choosing each span by trying every end against prefix sums."""
+    prefix = [0]
+    for t in turns:
+        prefix.append(prefix[-1] + cost(*t))
+    system = next((i for i, (r, _) in enumerate(turns) if r == "system"), None)
+    out, start = [], 0
+    while start < len(turns):
+        repeated = []
+        if start:
+            told = [system] if system is not None and system < start else []
+            room = budget - (prefix[start + 1] - prefix[start]) - sum(cost(*turns[i]) for i in told)
+            for i in [i for i in range(start - 1, -1, -1) if i != system][:history]:
+                if cost(*turns[i]) > room:
+                    break
+                room -= cost(*turns[i])
+                repeated.insert(0, i)
+            repeated = told + repeated
+        spent = sum(cost(*turns[i]) for i in repeated)
+        end = start + 1
+        while end < len(turns) and spent + prefix[end + 1] - prefix[start] <= budget:
+            end += 1
+        out.append([(i, False) for i in repeated] + [(i, True) for i in range(start, end)])
+        start = end
+    return out
+
+
+def test_windows_match_brute_force(spark):
+    with open(tokenizer_path("byte_bpe_50k.json"), "rb") as file:
+        counter = TokenCounter(file.read())
+    by = {}
+    for c, t, r, x in conversations():
+        if c is not None and c < 98:
+            by.setdefault(c, []).append((t, r, x))
+    df = spark.createDataFrame([(c, *t) for c, ts in by.items() for t in ts], "conv_id long, turn long, role string, text string")
+    for budget, history in ((100, 2), (60, 0), (160, 3)):
+        got = {}
+        for w in sorted(format_conversations(df, budget=budget, history=history).collect(), key=lambda w: (w.conv_id, w.window)):
+            got.setdefault(w.conv_id, []).append([((r, x), new) for (r, x, _, _), new in zip(read_back(w.formatted), w.new_turns, strict=True)])
+        for c, turns in by.items():
+            plain = [(r, x) for _, r, x in sorted(turns)]
+            assert got[c] == [[(plain[i], new) for i, new in w] for w in brute_windows(plain, lambda r, x: counter([(r, x)])[0], budget, history)]
+
+
 def test_no_conversations(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert format_conversations(df).count() == 0 and summarize_windows(format_conversations(df)).count() == 0
