@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import packed, split_keys, spread_join, table, written
 from .components import connected_components
 
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
 #: Counters of hash frequency that go to the driver and to each worker: 2 MB at any size.
 SLOTS = 1 << 18
 #: Nodes of one shingle that a task compares with the others of that shingle.

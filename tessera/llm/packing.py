@@ -23,7 +23,7 @@ from .tokens import Tokenizers, tokenizer_path
 #: Batches that a task packs at most; it reads about as many times batch_bytes, more where texts have many tokens.
 TASK_BATCHES = 8
 #: Words up to this many characters are remembered with their ids, up to this many words in a worker.
-REMEMBERED_CHARS, REMEMBERED_WORDS = 40, 600_000
+REMEMBERED_CHARS, REMEMBERED_WORDS = 40, 200_000
 
 
 def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:

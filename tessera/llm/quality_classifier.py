@@ -13,12 +13,16 @@ odds over the global ones. All sums are grouped aggregates over all documents.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, packed, sampled, spread_join, table, unpacked, words, written
-from .textstats import statistics, without
+from .common import packed, sampled, spread_join, table, unpacked, written
 
 #: At most this many labelled rows train the model, the first by a seeded hash of the id.
 SAMPLE_ROWS = 20_000
@@ -28,31 +32,70 @@ BROADCAST_SITES = 50_000
 BROADCAST_LABELS = 200_000
 #: Slots of hashed words: two tables of this size are all that the words' ratios take, whatever the vocabulary.
 WORD_SLOTS = 4096
-PUNCTUATION = "!?.,;:|*&%$#"
-DIGITS = "0123456789"
-
-
-def features(text: Column, s: Column) -> list[Column]:
-    """Statistics on bounded scales; s is the struct of statistics()."""
-    n, chars = s.n_words + F.lit(10), s.word_chars + F.lit(50)
-    body = F.coalesce(text, F.lit(""))
-    length = F.length(body)
-    punctuation = (length - F.length(without(body, PUNCTUATION))).cast("double")
-    digits = (length - F.length(without(body, DIGITS))).cast("double")
-    return [
-        F.log(chars / n),
-        F.sqrt(s.n_symbols / chars),
-        F.sqrt(s.n_dup_lines / n),
-        F.sqrt(s.n_repeat_words / n),
-        F.sqrt(s.n_capitals / chars),
-        F.sqrt(punctuation / chars),
-        F.sqrt(digits / chars),
-        F.log(n.cast("double")) / 5,
-    ]
-
-
-def slot(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(WORD_SLOTS)).cast("int")
+PUNCTUATION, SYMBOLS, DIGITS, CAPITALS = b"!?.,;:|*&%$#", b"#*$%&|<>", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Word hashes that a worker remembers.
+WORD_CACHE = 150_000
+#: Words in a repeated window.
+SPAN = 5
+
+
+class TextStatistics:
+    """Eight statistics of a whole text on bounded scales, and the slots of its words."""
+
+    def __init__(self):
+        self.cache: dict[bytes, int] = {}
+
+    def __call__(self, text: str) -> tuple[list[float], np.ndarray]:
+        body = text.encode("utf-8", "surrogatepass")
+        tokens = body.split()
+        cache = self.cache
+        if len(cache) > WORD_CACHE:
+            cache.clear()
+        for w in set(tokens).difference(cache):
+            cache[w] = xxhash.xxh64_intdigest(w)
+        hashes = np.fromiter(map(cache.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+        counts = np.bincount(np.frombuffer(body, dtype=np.uint8), minlength=256)
+        of = lambda letters: float(counts[list(letters)].sum())
+        word_chars = float(len(text)) - of(b" \t\n\x0b\f\r")
+        lines = [x for x in body.split(b"\n") if x.strip()]
+        n, chars = len(tokens) + 10.0, word_chars + 50.0
+        found = [
+            math.log(chars / n),
+            math.sqrt(of(SYMBOLS) / chars),
+            math.sqrt((len(lines) - len(set(lines))) / n),
+            math.sqrt(repeated_words(hashes) / n),
+            math.sqrt(of(CAPITALS) / chars),
+            math.sqrt(of(PUNCTUATION) / chars),
+            math.sqrt(of(DIGITS) / chars),
+            math.log(n) / 5,
+        ]
+        return found, (hashes % np.uint64(WORD_SLOTS)).astype(np.int64)
+
+
+def repeated_words(hashes: np.ndarray) -> int:
+    """Words in windows of SPAN words that occur twice or more, the first time included."""
+    places = len(hashes) - SPAN + 1
+    if places < 2:
+        return 0
+    windows = np.zeros(places, dtype=np.uint64)
+    for k in range(SPAN):
+        windows = (windows ^ hashes[k : k + places]) * np.uint64(0x9E3779B97F4A7C15)
+        windows ^= windows >> np.uint64(29)
+    _, which, times = np.unique(windows, return_inverse=True, return_counts=True)
+    covered = np.zeros(len(hashes) + 1, dtype=np.int64)
+    starts = np.flatnonzero(times[which] > 1)
+    np.add.at(covered, starts, 1)
+    np.add.at(covered, starts + SPAN, -1)
+    return int((np.cumsum(covered[:-1]) > 0).sum())
+
+
+def vectors_of(texts: list[str], ratios: list[np.ndarray], stats: TextStatistics) -> list[list[float]]:
+    """The statistics of each text and the mean ratio of its words, by each text's own table."""
+    out = []
+    for text, table_ in zip(texts, ratios, strict=True):
+        found, slots = stats(text)
+        out.append([*found, float(table_[slots].sum()) / (len(slots) + 10)])
+    return out
 
 
 def word_ratios(counts: np.ndarray) -> np.ndarray:
@@ -62,12 +105,6 @@ def word_ratios(counts: np.ndarray) -> np.ndarray:
     return np.log(shares[1]) - np.log(shares[0])
 
 
-def ratio_sum(ratios: np.ndarray):
-    """The sum of the ratios of a list of words, as a function of its column; the table is one constant of the plan."""
-    held = F.split(F.lit(" ".join(f"{r:.6g}" for r in ratios)), " ").cast("array<double>")
-    return lambda tokens: F.aggregate(tokens, F.lit(0.0), lambda a, w: a + F.get(held, slot(w)))
-
-
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, scale and weights (bias last) of a ridge-penalised logistic regression, by Newton steps."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
@@ -113,30 +150,49 @@ def _keyed(value: Column) -> Column:
     return F.to_json(F.struct(value.cast("string").alias("k")))
 
 
-def _evidence(rows: DataFrame, labelled: int, sample_rows: int) -> tuple[Column, float]:
-    """The evidence of rows (id, label, body) as an expression of `body`, and the share of good labels in the sample."""
+def _evidence(rows: DataFrame, labelled: int, sample_rows: int) -> Column:
+    """The evidence of rows (id, label, body) as an expression of `body`."""
     sample = sampled(rows.filter("label IS NOT NULL"), F.xxhash64(F.lit(10), "id"), sample_rows, labelled)
-    sample = written(sample.select("label", "body", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(2)).cast("int").alias("half")), "classifier-sample")
-    found = sample.select("half", "label", F.explode(words(F.col("body"))).alias("w")).groupBy("half", "label", slot(F.col("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    half = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(2)).cast("int")
+    sample = written(sample.select("label", F.coalesce("body", F.lit("")).alias("body"), half.alias("half")), "classifier-sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats, counts = TextStatistics(), np.zeros((2, 2, WORD_SLOTS), dtype=np.int64)
+        for batch in batches:
+            for text, label, half in zip(*[batch[c].to_pylist() for c in ("body", "label", "half")], strict=True):
+                counts[half, label] += np.bincount(stats(text)[1], minlength=WORD_SLOTS)
+        at = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int64)) for x in at], pa.array(counts[at])], names=["half", "label", "slot", "n"])
+
+    found = sample.mapInArrow(count, "half long, label long, slot long, n long").groupBy("half", "label", "slot").agg(F.sum("n").alias("n"))
     counts = np.zeros((2, 2, WORD_SLOTS))
     for r in found.collect():  # 4 * WORD_SLOTS rows at most
         counts[r["half"], r["label"], r["slot"]] = r["n"]
     n_good, n = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
     if not 0 < n_good < n:
-        return F.lit(n_good / n if n else 1.0), n_good / n if n else 1.0
-    stats = statistics(F.col("body"), first=ratio_sum(word_ratios(counts[1])), second=ratio_sum(word_ratios(counts[0])))
-    vector = lambda s, ratios: F.array(*features(F.col("body"), s), ratios / (s.n_words + 10))
-    crossed = sample.select("label", "half", "body", stats.alias("s"))
-    crossed = crossed.select("label", vector(F.col("s"), F.when(F.col("half") == 0, F.col("s.first")).otherwise(F.col("s.second"))).alias("x")).toPandas()
-    mean, scale, w = fit_logistic(np.array(crossed["x"].tolist(), dtype=float), crossed["label"].to_numpy(dtype=float))
+        return F.lit(n_good / n if n else 1.0)
+    other = [word_ratios(counts[1]), word_ratios(counts[0])]
+    whole = word_ratios(counts.sum(axis=0))
+
+    @F.arrow_udf("array<double>")
+    def crossed(texts: pa.Array, halves: pa.Array) -> pa.Array:
+        return pa.array(vectors_of(texts.to_pylist(), [other[h] for h in halves.to_pylist()], TextStatistics()), pa.list_(pa.float64()))
+
+    held = sample.select("label", crossed("body", "half").alias("x")).toPandas()
+    mean, scale, w = fit_logistic(np.array(held["x"].tolist(), dtype=float), held["label"].to_numpy(dtype=float))
 
-    def scored(s: Column) -> Column:
-        score = F.lit(float(w[-1] - (mean / scale * w[:-1]).sum()))
-        for c, x in zip(w[:-1] / scale, [*features(F.col("body"), s), s.ratios / (s.n_words + 10)], strict=True):
-            score = score + F.lit(float(c)) * x
-        return 1 / (1 + F.exp(-score))
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        stats = TextStatistics()
+        for texts in batches:
+            parts = []
+            for at in range(0, len(texts), 512):
+                part = texts.slice(at, 512).to_pylist()
+                z = (np.array(vectors_of(part, [whole] * len(part), stats)) - mean) / scale
+                parts.append(1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -40, 40))))
+            yield pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
 
-    return let(statistics(F.col("body"), ratios=ratio_sum(word_ratios(counts.sum(axis=0)))), scored), n_good / n
+    return scored(F.coalesce("body", F.lit("")))
 
 
 def _sites(rows: DataFrame) -> tuple[DataFrame, float, float, float]:
@@ -180,7 +236,7 @@ def classify_quality(
     )
     sites, prior, m0, m1 = _sites(rows.select("site", "label"))
     labelled, total, n_sites = sites.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
-    evidence, _ = _evidence(rows.select("id", "label", "body"), labelled, sample_rows)
+    evidence = _evidence(rows.select("id", "label", "body"), labelled, sample_rows)
     scored = rows.select("record", "label", "site", _clamped(evidence).alias("evidence"))
     joined = _with_sites(scored, sites, n_sites, total)
     own, one = F.coalesce("label", F.lit(0)), F.col("label").isNotNull().cast("int")

@@ -1,8 +1,12 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm.quality_classifier import classify_quality, fit_logistic
+from tessera.llm.quality_classifier import TextStatistics, classify_quality, fit_logistic
 
 from .data import awkward, awkward_rows, none
 
@@ -35,6 +39,19 @@ def test_classifier_of_awkward_tables(spark):
     assert all(r.kept for r in classify_quality(awkward(spark), labels.limit(0)).collect())
 
 
+def test_text_statistics_match_brute_force():
+    for text in [r[1] or "" for r in awkward_rows()] + ["a b c d e a b c d e a b c d e", "x x x x x x x", "#a $b %% |\n#a $b %% |\n \n "]:
+        tokens = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = Counter(tuple(tokens[i : i + 5]) for i in range(len(tokens) - 4))
+        covered = {i + k for i in range(len(tokens) - 4) if windows[tuple(tokens[i : i + 5])] > 1 for k in range(5)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        n, chars = len(tokens) + 10, sum(map(len, tokens)) + 50
+        share = lambda letters: math.sqrt(sum(c in letters for c in text) / chars)
+        expected = [math.log(chars / n), share("#*$%&|<>"), math.sqrt((len(lines) - len(set(lines))) / n), math.sqrt(len(covered) / n), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("!?.,;:|*&%$#"), share("0123456789"), math.log(n) / 5]
+        found, slots = TextStatistics()(text)
+        assert np.allclose(found, expected) and len(slots) == len(tokens)
+
+
 def test_logistic_fit_separates():
     draw = np.random.default_rng(0)
     x = draw.normal(size=(400, 3))
