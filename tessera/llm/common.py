@@ -83,9 +83,9 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, count: str, total: in
     """
     limit = max(total // HOT_PARTS, 1)
     names = [c for c in one.columns if c != key]
-    hot = one.filter(F.col(count) > limit).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in names])
-    # A row that matches nothing keeps one plan at every size: without it the join goes where no key is hot.
-    hot = hot.unionByName(one.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in hot.schema.fields]))
+    # The largest key is joined apart too, hot or not: the plan is then one at every size.
+    largest = one.orderBy(F.desc(count), key).limit(1).filter(F.col(count) <= limit)
+    hot = one.filter(F.col(count) > limit).unionByName(largest).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in names])
     marked = many.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     settled = marked.filter("_hot IS NOT NULL").select(*many.columns, *[F.col(f"_hot_{c}").alias(c) for c in names])
     cold = marked.filter("_hot IS NULL").select(*many.columns).join(one.filter(F.col(count) <= limit), key, how)
