@@ -96,3 +96,12 @@ LEGACY_STATES = {
 def half_even_percent(part: Column, whole: Column) -> Column:
     """round(100 * part / whole) with ties to even; 0 where the whole is 0."""
     return F.when(whole == 0, F.lit(0).cast("long")).otherwise(F.bround(part.cast("double") * 100 / whole.cast("double"), 0).cast("long"))
+
+
+def profile_gaps(recommended: dict[str, Column], cgpa: Column, percentage: Column, scale: Column) -> tuple[Column, Column]:
+    """(missing fields, completeness in percent): the recommended fields and a grade slot, and one more for a scale where a CGPA is given."""
+    empty = [F.when(c.isNull() | ((c == "unknown") if n == "english_test_status" else F.lit(False)), F.lit(n)) for n, c in recommended.items()]
+    grade = F.when(cgpa.isNull() & percentage.isNull(), "cgpa_or_percentage").when(cgpa.isNotNull() & scale.isNull(), "grading_scale")
+    missing = F.array_compact(F.array(*empty, grade))
+    slots = F.lit(len(recommended) + 1) + F.when(cgpa.isNotNull(), 1).otherwise(0)
+    return missing, half_even_percent(F.greatest(slots - F.size(missing), F.lit(0)), slots)

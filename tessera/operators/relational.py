@@ -51,6 +51,43 @@ def like_anywhere(column: Column, value: str) -> Column:
     return F.lower(column).like(f"%{value.strip().lower()}%")
 
 
+def by_alias(df: DataFrame, column: str, value: str, aliases: dict[str, str]) -> DataFrame:
+    """Rows whose column has the value that an alias names, white space and case aside; none for an unknown alias."""
+    stored = aliases.get(value.strip().lower())
+    return df.filter(F.lit(False) if stored is None else F.col(column) == F.lit(stored))
+
+
+def by_key(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of a primary key; the filter reaches the scan."""
+    return df.filter(F.col(key) == F.lit(value))
+
+
+def numbered(rows: DataFrame, order: list[Column], most: int = 100) -> DataFrame:
+    """A batch with row_number from 1; a batch has at most `most` rows, and more are an error."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"a batch has at most {most} rows")
+    return rows.withColumn("row_number", F.row_number().over(Window.orderBy(*order)))
+
+
+def updated_where(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
+    """UPDATE ... SET ... WHERE: a null condition leaves a row as it is."""
+    hit = F.coalesce(condition, F.lit(False))
+    return df.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def nulled_where_gone(children_: DataFrame, parents: DataFrame, child: str, key: str) -> DataFrame:
+    """ON DELETE SET NULL: a child's reference becomes null where no parent has it."""
+    there = parents.select(F.col(key).alias("_there")).distinct()
+    joined = children_.join(there, F.col(child) == F.col("_there"), "left")
+    return joined.withColumn(child, F.col("_there")).drop("_there")
+
+
+def one_of_filters(first, second, what: str) -> None:
+    """Two filters that exclude each other: naming both is an error."""
+    if first is not None and second is not None:
+        raise ValueError(what)
+
+
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

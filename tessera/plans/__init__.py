@@ -1,6 +1,6 @@
 """Named queries over the driver tables and their SQL statements."""
 
-from . import activity, catalogue, matching, texts
+from . import activity, catalogue, matching, rules, services, texts
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "activity", "catalogue", "matching", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "activity", "catalogue", "matching", "rules", "services", "texts"]

@@ -76,15 +76,14 @@ def overdue(t):
     return t.orders.filter((F.col("o_orderdate") < today()) & ~F.col("o_orderstatus").isin("F")).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("overdue"))
 
 
-@query("private_progress", "SELECT o_orderkey, count(l_orderkey) FILTER (WHERE l_linestatus = 'O') AS outstanding FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey <= 50 GROUP BY 1")
+@query("private_progress", "SELECT o_orderkey, count(l_orderkey) FILTER (WHERE l_linestatus = 'O') AS outstanding FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def private_progress(t):
-    own = t.orders.filter("o_custkey <= 50").join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    own = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return own.groupBy("o_orderkey").agg(F.count_if(F.col("l_linestatus") == "O").alias("outstanding"))
 
 
 @query("private_progress_all", "SELECT o_custkey, o_orderkey, count(l_orderkey) FILTER (WHERE l_linestatus = 'O') AS outstanding FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def private_progress_all(t):
-    """The progress of every user; `private_progress` has that of the first fifty, as its SQL."""
     own = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return own.groupBy("o_custkey", "o_orderkey").agg(F.count_if(F.col("l_linestatus") == "O").alias("outstanding"))
 
@@ -218,10 +217,20 @@ def reminder_dispatch(t):
     return due.join(opted_out, "o_custkey", "left_anti").select("o_orderkey", F.lit("delivered").alias("status"))
 
 
-@query("hash_chain_verify", "SELECT count(*) AS broken FROM events WHERE event_id < 0")
+@query(
+    "hash_chain_verify",
+    "WITH RECURSIVE o AS (SELECT user_id, ts, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), c AS (SELECT user_id, r, event_id, event_type, repeat('0', 64) AS p, sha256(repeat('0', 64) || '|' || event_id || '|' || event_type) AS h FROM o WHERE r = 1 "
+    "UNION ALL SELECT o.user_id, o.r, o.event_id, o.event_type, c.h, sha256(c.h || '|' || o.event_id || '|' || o.event_type) FROM c JOIN o ON o.user_id = c.user_id AND o.r = c.r + 1), "
+    "s AS (SELECT user_id, r, event_id, CASE WHEN event_id % 97 = 5 THEN 'forged' ELSE event_type END AS event_type, p, CASE WHEN event_id % 89 = 7 THEN sha256(h) ELSE h END AS h FROM c) "
+    "SELECT user_id, event_id FROM (SELECT *, coalesce(lag(h) OVER (PARTITION BY user_id ORDER BY r), repeat('0', 64)) AS before FROM s) t WHERE p <> before OR h <> sha256(p || '|' || event_id || '|' || event_type)",
+)
 def hash_chain_verify(t):
+    """Broken entries of chains in which some entries and some hashes were changed after the fact."""
     chained = audit.build_chain(t.events.select("event_id", "ts", "user_id", "event_type"), "user_id", ["ts", "event_id"], ["event_id", "event_type"])
-    return audit.broken_links(chained, "user_id", ["ts", "event_id"], ["event_id", "event_type"]).agg(F.count(F.lit(1)).alias("broken"))
+    forged = F.when(F.col("event_id") % 97 == 5, F.lit("forged")).otherwise(F.col("event_type"))
+    rehashed = F.when(F.col("event_id") % 89 == 7, F.sha2("integrity_hash", 256)).otherwise(F.col("integrity_hash"))
+    stored = chained.withColumns({"event_type": forged, "integrity_hash": rehashed})
+    return audit.broken_links(stored, "user_id", ["ts", "event_id"], ["event_id", "event_type"]).select("user_id", "event_id")
 
 
 @query("hash_chain_heads", "WITH RECURSIVE o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), c AS (SELECT user_id, r, sha256(repeat('0', 64) || '|' || event_id || '|' || event_type) AS h FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.r, sha256(c.h || '|' || o.event_id || '|' || o.event_type) FROM c JOIN o ON o.user_id = c.user_id AND o.r = c.r + 1) SELECT user_id, max_by(h, r) AS head, count(*) AS n FROM c GROUP BY 1")
@@ -243,9 +252,9 @@ def get_or_create(t):
     return upsert_keep(existing, t.nation.select(F.col("n_nationkey").alias("nation_key"), F.col("n_name").alias("name")), ["nation_key"], ["name"])
 
 
-@query("insert_if_absent", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'click') t WHERE r = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
+@query("insert_if_absent", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'click') t WHERE r = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 60)")
 def insert_if_absent(t):
-    new = insert_absent(t.events.filter("event_type = 'signup'").select("user_id"), t.events.filter("event_type = 'click'"), ["user_id"], F.col("ts"), F.col("event_id"))
+    new = insert_absent(t.events.filter("event_type = 'signup' AND value > 60").select("user_id"), t.events.filter("event_type = 'click'"), ["user_id"], F.col("ts"), F.col("event_id"))
     return new.select("user_id", "event_id")
 
 

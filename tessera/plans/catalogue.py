@@ -11,11 +11,15 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar, temporal
 from ..operators import quality
-from ..operators.relational import any_of, children, exists, flagged, like_anywhere, not_exists, page, page_info, top_one
+from ..operators.relational import any_of, by_alias, children, exists, flagged, like_anywhere, not_exists, page, page_info, top_one
 from .registry import ORDER_CLOCK, clock, query
 
 
 
+#: Aliases of a fee status, as stored: F none, O required, P unknown.
+FEES = {"free": "F", "none": "F", "no": "F", "no-fee": "F", "paid": "O", "required": "O", "unknown": "P"}
+
+
 def today():
     return clock(ORDER_CLOCK)
 
@@ -125,11 +129,14 @@ def structured_include_exclude(t):
     return not_exists(included, values.filter("p_brand = 'Brand#3'"), "o_orderkey").select("o_orderkey")
 
 
-@query("unknown_alias_filter", "SELECT o_orderkey FROM orders WHERE false")
+@query("alias_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def alias_filter(t):
+    return by_alias(t.orders, "o_orderstatus", " No-Fee ", FEES).select("o_orderkey")
+
+
+@query("unknown_alias_filter", "SELECT count(*) AS n FROM orders WHERE false")
 def unknown_alias_filter(t):
-    known = {"free": "none", "none": "none", "no": "none"}
-    status = known.get("sometimes")
-    return t.orders.filter(F.lit(False) if status is None else F.col("o_orderstatus") == status).select("o_orderkey")
+    return by_alias(t.orders, "o_orderstatus", "sometimes", FEES).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

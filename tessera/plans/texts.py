@@ -10,6 +10,8 @@ from ..operators import dedup, monitor
 from ..operators.relational import exists, flagged, not_exists
 from .registry import query
 
+#: White space as trims know it.
+WHITE_SQL = " || ".join(f"chr({ord(c)})" for c in scalar.WHITE)
 SLUG_SQL = "substr(trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-'), 1, 120)"
 
 
@@ -63,8 +65,8 @@ w AS (SELECT * FROM (VALUES (0, 'Deadline', 'deadline'), (0, 'Deadline', 'closin
  (4, 'Application process', 'application process'), (4, 'Application process', 'submit')) v(o, label, word)),
 f AS (SELECT doc_id, min_by(label, pos * 10 + o) AS label, min(pos) AS pos FROM (SELECT doc_id, o, label, instr(low, word) AS pos FROM p, w) x WHERE pos > 0 GROUP BY 1)
 SELECT doc_id, CASE WHEN length(text) < 20 THEN NULL ELSE coalesce(label, 'General scholarship evidence') END AS label,
- CASE WHEN length(text) < 20 THEN NULL WHEN label IS NULL THEN substr(text, 1, 500) ELSE trim(substr(text, greatest(1, pos - 120), 500)) END AS excerpt FROM p LEFT JOIN f USING (doc_id)
-"""
+ CASE WHEN length(text) < 20 THEN NULL WHEN label IS NULL THEN substr(text, 1, 500) ELSE trim(substr(text, greatest(1, pos - 120), 500), WHITE) END AS excerpt FROM p LEFT JOIN f USING (doc_id)
+""".replace("WHITE", WHITE_SQL)
 
 
 @query("evidence_section", SECTION_SQL)
@@ -79,14 +81,13 @@ def content_hash(t):
     return t.documents.select("doc_id", hashed.alias("content_hash"), scalar.is_sha256(hashed).alias("valid"))
 
 
-@query("normalized_text", r"SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS clean FROM documents WHERE lang = 'en'")
+@query("normalized_text", r"SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS clean FROM documents")
 def normalized_text(t):
-    return t.documents.filter("lang = 'en'").select("doc_id", scalar.squeezed(F.col("text")).alias("clean"))
+    return t.documents.select("doc_id", scalar.squeezed(F.col("text")).alias("clean"))
 
 
 @query("normalized_text_all", r"SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS clean FROM documents")
 def normalized_text_all(t):
-    """Documents of every language; `normalized_text` has the English ones, as its SQL."""
     return t.documents.select("doc_id", scalar.squeezed(F.col("text")).alias("clean"))
 
 
@@ -95,9 +96,14 @@ def csv_cells(t):
     return t.documents.select("doc_id", scalar.csv_cell(F.col("text")).alias("cell"))
 
 
-@query("clean_lines", "SELECT doc_id, length(text) AS n_before, (SELECT coalesce(string_agg(trim(l), chr(10) ORDER BY i), '') FROM (SELECT unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i) x WHERE trim(l) <> '') AS clean FROM documents")
+# Every third text gets carriage returns and tabs at its lines' ends, as uploads have them.
+MARKED_SQL = "CASE WHEN doc_id % 3 = 0 THEN replace(text, chr(10), chr(13) || chr(10) || chr(9)) ELSE text END"
+
+
+@query("clean_lines", f"SELECT doc_id, length(text) AS n_before, (SELECT coalesce(string_agg(trim(l, {WHITE_SQL}), chr(10) ORDER BY i), '') FROM (SELECT unnest(string_split(marked, chr(10))) AS l, generate_subscripts(string_split(marked, chr(10)), 1) AS i) x WHERE trim(l, {WHITE_SQL}) <> '') AS clean FROM (SELECT *, {MARKED_SQL} AS marked FROM documents) d")
 def clean_lines(t):
-    return t.documents.select("doc_id", F.length("text").cast("long").alias("n_before"), scalar.text_lines(F.col("text")).alias("clean"))
+    marked = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n\t"))).otherwise(F.col("text"))
+    return t.documents.select("doc_id", F.length("text").cast("long").alias("n_before"), scalar.text_lines(marked).alias("clean"))
 
 
 CHANGE_SQL = (
@@ -154,9 +160,15 @@ def intent_class(t):
     return t.conversations.select("conv_id", "turn", scalar.intent(F.col("text")).alias("intent"))
 
 
-@query("blocked_terms", "SELECT doc_id, (contains(lower(text), 'idiot') OR contains(lower(text), 'visa advice')) AS blocked FROM documents")
+# Questions for blocked phrases: the tables hold none, so each conversation's turn gets one, or a harmless one, by its id.
+BLOCKED_PICK = "list_extract([" + ", ".join(f"'{b.title()}'" for b in scalar.BLOCKED) + ", 'what changed', 'my visa'], CAST(conv_id % 13 + 1 AS BIGINT))"
+
+
+@query("blocked_terms", "SELECT conv_id, turn, " + " OR ".join(f"contains(lower(asked), '{b}')" for b in scalar.BLOCKED) + f" AS blocked FROM (SELECT *, text || ' ' || {BLOCKED_PICK} AS asked FROM conversations) c")
 def blocked_terms(t):
-    return t.documents.select("doc_id", scalar.has_any(F.col("text"), ["idiot", "visa advice"]).alias("blocked"))
+    phrases = F.array(*[F.lit(b.title()) for b in scalar.BLOCKED], F.lit("what changed"), F.lit("my visa"))
+    asked = F.concat("text", F.lit(" "), F.get(phrases, (F.col("conv_id") % 13).cast("int")))
+    return t.conversations.select("conv_id", "turn", scalar.has_any(asked, scalar.BLOCKED).alias("blocked"))
 
 
 @query("retrieval", "SELECT c.conv_id, d.doc_id FROM (SELECT DISTINCT conv_id, unnest(list_slice(regexp_extract_all(lower(text), '[a-z0-9]{9,}'), 1, 2)) AS token FROM conversations WHERE role = 'user' AND turn = 0) c JOIN (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{9,}')) AS token FROM documents) d USING (token) GROUP BY 1, 2")
@@ -229,12 +241,12 @@ def erased_view(t):
 
 @query(
     "policy_score",
-    r"SELECT doc_id, CAST(CASE WHEN regexp_matches(text, '(?i)(\b[\w.+-]+@[\w-]+\.[\w.-]+\b|\b(password|passcode|otp|verification code)\b)') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)(https?://|www\.|bit\.ly|tinyurl\.com|t\.me/|discord\.gg/)') THEN 2 ELSE 0 END AS BIGINT) AS score FROM documents WHERE lang = 'en'",
+    r"SELECT doc_id, CAST(CASE WHEN regexp_matches(text, '(?i)(\b[\w.+-]+@[\w-]+\.[\w.-]+\b|\b(password|passcode|otp|verification code)\b)') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)(https?://|www\.|bit\.ly|tinyurl\.com|t\.me/|discord\.gg/)') THEN 2 ELSE 0 END AS BIGINT) AS score FROM documents",
 )
 def policy_score(t):
     text = F.col("text")
     score = F.when(text.rlike(scalar.CONTACT), 5).otherwise(0) + F.when(text.rlike(scalar.LINK), 2).otherwise(0)
-    return t.documents.filter("lang = 'en'").select("doc_id", score.cast("long").alias("score"))
+    return t.documents.select("doc_id", score.cast("long").alias("score"))
 
 
 @query(
@@ -242,7 +254,6 @@ def policy_score(t):
     r"SELECT doc_id, CAST(CASE WHEN regexp_matches(text, '(?i)(\b[\w.+-]+@[\w-]+\.[\w.-]+\b|\b(password|passcode|otp|verification code)\b)') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)(https?://|www\.|bit\.ly|tinyurl\.com|t\.me/|discord\.gg/)') THEN 2 ELSE 0 END AS BIGINT) AS score FROM documents",
 )
 def policy_score_all(t):
-    """Documents of every language; `policy_score` has the English ones, as its SQL."""
     text = F.col("text")
     score = F.when(text.rlike(scalar.CONTACT), 5).otherwise(0) + F.when(text.rlike(scalar.LINK), 2).otherwise(0)
     return t.documents.select("doc_id", score.cast("long").alias("score"))

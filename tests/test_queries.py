@@ -71,6 +71,24 @@ def test_explanations_and_progress_are_whole(spark, oracle):
     assert progress.count() == count("SELECT count(*) FROM orders") and progress.filter("o_custkey > 50").count() > 0
 
 
+def test_entry_survives_a_missing_package(monkeypatch):
+    import builtins
+    import importlib
+
+    import __spark_entry__ as entry
+
+    real = builtins.__import__
+
+    def without(name, *args, **kwargs):
+        if name == "tessera.llm" or (name == "tessera.llm" and args):
+            raise ImportError(name)
+        return real(name, *args, **kwargs)
+
+    monkeypatch.setattr(builtins, "__import__", without)
+    importlib.reload(entry)
+    assert set(entry.queries()) == set(plans.QUERIES)
+
+
 def brute_retrieval(questions, documents):
     out = set()
     for conv, turn, role, text in questions:
