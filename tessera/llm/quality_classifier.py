@@ -32,7 +32,8 @@ BROADCAST_SITES = 50_000
 BROADCAST_LABELS = 200_000
 #: Slots of hashed words: two tables of this size are all that the words' ratios take, whatever the vocabulary.
 WORD_SLOTS = 4096
-PUNCTUATION, SYMBOLS, DIGITS, CAPITALS = b"!?.,;:|*&%$#", b"#*$%&|<>", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes that are counted: white space, symbols, capitals, punctuation, digits; a row of 0 and 1 over all bytes for each.
+CLASSES = np.array([np.isin(np.arange(256), list(c)) for c in (b" \t\n\x0b\f\r", b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?.,;:|*&%$#", b"0123456789")], dtype=np.int64)
 #: Word hashes that a worker remembers.
 WORD_CACHE = 150_000
 #: Words in a repeated window.
@@ -55,18 +56,18 @@ class TextStatistics:
             cache[w] = xxhash.xxh64_intdigest(w)
         hashes = np.fromiter(map(cache.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
         counts = np.bincount(np.frombuffer(body, dtype=np.uint8), minlength=256)
-        of = lambda letters: float(counts[list(letters)].sum())
-        word_chars = float(len(text)) - of(b" \t\n\x0b\f\r")
+        white, symbols, capitals, punctuation, digits = (CLASSES @ counts).tolist()
+        word_chars = float(len(text)) - white
         lines = [x for x in body.split(b"\n") if x.strip()]
         n, chars = len(tokens) + 10.0, word_chars + 50.0
         found = [
             math.log(chars / n),
-            math.sqrt(of(SYMBOLS) / chars),
+            math.sqrt(symbols / chars),
             math.sqrt((len(lines) - len(set(lines))) / n),
             math.sqrt(repeated_words(hashes) / n),
-            math.sqrt(of(CAPITALS) / chars),
-            math.sqrt(of(PUNCTUATION) / chars),
-            math.sqrt(of(DIGITS) / chars),
+            math.sqrt(capitals / chars),
+            math.sqrt(punctuation / chars),
+            math.sqrt(digits / chars),
             math.log(n) / 5,
         ]
         return found, (hashes % np.uint64(WORD_SLOTS)).astype(np.int64)
@@ -81,6 +82,9 @@ def repeated_words(hashes: np.ndarray) -> int:
     for k in range(SPAN):
         windows = (windows ^ hashes[k : k + places]) * np.uint64(0x9E3779B97F4A7C15)
         windows ^= windows >> np.uint64(29)
+    ordered = np.sort(windows)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return 0
     _, which, times = np.unique(windows, return_inverse=True, return_counts=True)
     covered = np.zeros(len(hashes) + 1, dtype=np.int64)
     starts = np.flatnonzero(times[which] > 1)
