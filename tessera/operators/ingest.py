@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalar import is_sha256, trimmed
 from ..sources.readers import COMPONENTS
 
-#: Fixed values: (column, least, most) lengths of text fields.
-LENGTHS = [("name", 3, 255), ("provider_name", 2, 255), ("country", 2, 100), ("field_eligibility", 0, 2000), ("nationality_eligibility", 0, 2000), ("notes", 0, 8000)]
+# Fixed values: (column, least, most) lengths of text fields, of lists, and the columns that hold web addresses.
+LENGTHS = [
+    ("name", 3, 255), ("provider_name", 2, 255), ("provider_canonical_id", 2, 120), ("programme_family_id", 2, 120), ("cycle_id", 2, 120), ("university_name", 2, 255), ("country", 2, 100),
+    ("field_eligibility", 0, 2000), ("nationality_eligibility", 0, 2000), ("funding_policy", 20, 2000), ("tuition_coverage", 0, 2000), ("accommodation_coverage", 0, 2000), ("travel_allowance", 0, 2000),
+    ("health_insurance", 0, 2000), ("application_fee_info", 0, 2000), ("english_language_requirement", 0, 2000), ("standardized_test_requirement", 0, 2000), ("minimum_academic_requirement", 0, 2000),
+    ("application_method", 0, 1000), ("notes", 0, 8000), ("monthly_stipend_currency", 3, 3), ("source_title", 3, 255), ("source_excerpt", 20, 12000),
+]
+LISTS = [("required_documents", 30), ("eligibility_warnings", 30), ("eligibility_rules", 20)]
+ADDRESSES = ["provider_website_url", "university_website_url", "application_url", "source_url"]
 REQUIRED = ["name", "provider_name", "country", "degree_level"]
 
 
@@ -23,8 +31,14 @@ def validation_errors(df: DataFrame) -> Column:
     checks = [(c, f"{c}: Field required", F.col(c).isNull()) for c in REQUIRED if c in df.columns]
     for c, least, most in LENGTHS:
         if c in df.columns:
-            size = F.length(F.btrim(F.col(c)))
+            size = F.length(trimmed(F.col(c)))
             checks.append((c, f"{c}: Text must have {least} to {most} characters", (size < least) | (size > most)))
+    checks += [(c, f"{c}: List must have at most {most} items", F.size(c) > most) for c, most in LISTS if c in df.columns]
+    checks += [(c, f"{c}: Input should be a valid URL", ~F.col(c).rlike(r"(?i)^https?://[^\s/?#]+\S*$")) for c in ADDRESSES if c in df.columns]
+    if "monthly_stipend_amount" in df.columns:
+        checks.append(("monthly_stipend_amount", "monthly_stipend_amount: Input should be greater than or equal to 0", F.col("monthly_stipend_amount").try_cast("double") < 0))
+    if "source_hash" in df.columns:
+        checks.append(("source_hash", "Content hash must be a lowercase SHA-256 hexadecimal digest", ~is_sha256(F.col("source_hash"))))
     if "intake_year" in df.columns:
         year = F.col("intake_year").try_cast("int")
         checks.append(("intake_year", "intake_year: Year must be 2000 to 2100", F.col("intake_year").isNotNull() & (year.isNull() | (year < 2000) | (year > 2100))))
@@ -45,25 +59,22 @@ def validation_errors(df: DataFrame) -> Column:
 
 
 def quality_warnings(df: DataFrame) -> Column:
-    return _messages(
-        df,
-        [
-            (c, m, bad)
-            for c, m, bad in [
-                ("application_deadline", "Missing application deadline", F.col("application_deadline").isNull() if "application_deadline" in df.columns else F.lit(True)),
-                ("funding_type", "Funding type is unknown", F.coalesce(F.col("funding_type"), F.lit("unknown")) == "unknown" if "funding_type" in df.columns else F.lit(True)),
-                ("required_documents", "No required documents listed", F.coalesce(F.size("required_documents"), F.lit(0)) <= 0 if "required_documents" in df.columns else F.lit(True)),
-                ("english_language_requirement", "English-language requirement is missing", F.col("english_language_requirement").isNull() if "english_language_requirement" in df.columns else F.lit(True)),
-                ("minimum_academic_requirement", "Minimum academic requirement is missing", F.col("minimum_academic_requirement").isNull() if "minimum_academic_requirement" in df.columns else F.lit(True)),
-                ("data_confidence", "Data confidence is low; curator review is important", F.coalesce(F.col("data_confidence"), F.lit("low")) == "low" if "data_confidence" in df.columns else F.lit(True)),
-            ]
-        ],
-    )
+    """Messages of what a valid row still lacks; an absent column is lacking."""
+    of = lambda c, kind="string": F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    checks = [
+        (of("application_deadline").isNull(), "Missing application deadline"),
+        (F.coalesce(of("funding_type"), F.lit("unknown")) == "unknown", "Funding type is unknown"),
+        (F.coalesce(F.size(of("required_documents", "array<string>")), F.lit(0)) <= 0, "No required documents listed"),
+        (of("english_language_requirement").isNull(), "English-language requirement is missing"),
+        (of("minimum_academic_requirement").isNull(), "Minimum academic requirement is missing"),
+        (F.coalesce(of("data_confidence"), F.lit("low")) == "low", "Data confidence is low; curator review is important"),
+    ]
+    return F.array_compact(F.array(*[F.when(bad, F.lit(m)) for bad, m in checks]))
 
 
 def duplicate_key(df: DataFrame) -> Column:
     """Lower-case provider, name, country and the intake year; null years agree."""
-    clean = lambda c: F.lower(F.btrim(F.coalesce(F.col(c), F.lit(""))))
+    clean = lambda c: F.lower(trimmed(F.coalesce(F.col(c), F.lit(""))))
     year = F.coalesce(F.col("intake_year").cast("string"), F.lit("")) if "intake_year" in df.columns else F.lit("")
     return F.struct(clean("provider_name").alias("provider"), clean("name").alias("name"), clean("country").alias("country"), year.alias("year"))
 

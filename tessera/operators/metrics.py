@@ -24,13 +24,21 @@ def histogram(df: DataFrame, by: str, value: str) -> DataFrame:
     return counted.select(by, F.explode(F.array(*[F.struct(F.lit(label).alias("bucket"), F.col(label).alias("n")) for label in LABELS])).alias("x")).select(by, "x.*")
 
 
-def nearest_rank(df: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
+def nearest_rank(df: DataFrame, by: str, value: str, shares: list[float], blocks: int = 64) -> DataFrame:
     """(by, share columns p50 and so on): the value at place round((n - 1) * share), ties to even, from 0.
 
-    Rows are ranked by a window and picked by place, so no group is collected into an array.
+    Equal values are counted first. A sketch of each group's quantiles cuts its values into blocks; places run on from
+    block to block, so a group is ranked by as many tasks as it has blocks, and exactly, however rough the sketch.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1
-    ranked = df.select(by, value, n.alias("n"), place.alias("place"))
-    at = lambda s: F.max(F.when(F.col("place") == F.bround((F.col("n") - 1) * F.lit(s), 0), F.col(value)))
-    return ranked.groupBy(by).agg(*[at(s).alias(f"p{round(s * 100)}") for s in shares], F.max(value).alias("max"), F.count(F.lit(1)).alias("n"))
+    counted = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = df.groupBy(by).agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 1000).alias("_cuts"))
+    placed = counted.join(cuts, by).withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = placed.groupBy(by, "_block").agg(F.sum("_n").alias("_rows"))
+    whole, ahead = Window.partitionBy(by), Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(by, "_block", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_start"), F.sum("_rows").over(whole).alias("_all"))
+    inner = Window.partitionBy(by, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(starts, [by, "_block"]).withColumn("_end", F.col("_start") + F.sum("_n").over(inner))
+    # A value holds the places from _end - _n to _end - 1.
+    place = lambda s: F.bround((F.col("_all") - 1) * F.lit(s), 0)
+    at = lambda s: F.max(F.when((place(s) < F.col("_end")) & (place(s) >= F.col("_end") - F.col("_n")), F.col(value)))
+    return ranked.groupBy(by).agg(*[at(s).alias(f"p{round(s * 100)}") for s in shares], F.max(value).alias("max"), F.sum("_n").alias("n"))

@@ -265,7 +265,12 @@ def optimistic_update(t):
     return versioned_update(stored, updates, "o_custkey", ["c_name"]).groupBy("o_custkey", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rate_limiter")
+@query(
+    "rate_limiter",
+    "WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), c AS (SELECT user_id, r, event_id, [t] AS times, true AS allowed, 0::BIGINT AS wait FROM o WHERE r = 1 "
+    "UNION ALL SELECT user_id, r, event_id, CASE WHEN len(held) < 3 THEN list_append(held, t) ELSE held END, len(held) < 3, CASE WHEN len(held) < 3 THEN 0 ELSE greatest(1, (held[1] + 3600000000 - t) // 1000000) END "
+    "FROM (SELECT o.*, list_filter(c.times, lambda x: x > o.t - 3600000000) AS held FROM c JOIN o ON o.user_id = c.user_id AND o.r = c.r + 1) j) SELECT user_id::VARCHAR AS key, event_id, allowed, wait AS retry_after FROM c",
+)
 def rate_limiter(t):
     """Sliding-window decisions per user: at most 3 requests an hour."""
     return stateful.sliding_limits(t.events.select(F.col("user_id").cast("string").alias("key"), "ts", "event_id"), 3, 3600)

@@ -259,6 +259,13 @@ def policy_score_all(t):
     return t.documents.select("doc_id", score.cast("long").alias("score"))
 
 
-@query("policy_verdicts")
+def _re2(pattern: str) -> str:
+    return pattern.replace("(?iU)", "(?i)").replace("'", "''")
+
+
+POINTS_SQL = f"CASE WHEN regexp_matches(text, '{_re2(scalar.CONTACT)}') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(text, '{_re2(scalar.OBFUSCATED)}') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(text, '{_re2(scalar.LINK)}') THEN 2 ELSE 0 END"
+
+
+@query("policy_verdicts", f"SELECT doc_id, CAST(score AS BIGINT) AS score, CASE WHEN score >= 5 THEN 'contact' WHEN regexp_matches(text, '{_re2(scalar.PROHIBITED)}') THEN 'prohibited' ELSE 'ok' END AS verdict FROM (SELECT doc_id, text, {POINTS_SQL} AS score FROM documents) d")
 def policy_verdicts(t):
     return t.documents.select("doc_id", scalar.policy_score(F.col("text")).cast("long").alias("score"), scalar.policy_verdict(F.col("text")).alias("verdict"))
