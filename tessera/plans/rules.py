@@ -187,6 +187,17 @@ def hard_failures(t):
     return evaluated(t).groupBy(F.size("failures").cast("long").alias("n_failures")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "rule_explanations",
+    f"{ENGINE_SQL} SELECT opportunity_id, count(*) FILTER (WHERE outcome = 'satisfied') AS satisfied, count(*) FILTER (WHERE outcome = 'failed') AS missing, count(*) FILTER (WHERE outcome = 'unknown') AS uncertain, count(DISTINCT user_id) AS profiles FROM results GROUP BY 1",
+)
+def rule_explanations(t):
+    """How many messages of each kind an opportunity's candidates get."""
+    counts = {"satisfied": "satisfied", "missing": "failed", "uncertain": "unknown"}
+    sized = evaluated(t).select("opportunity_id", *[F.size(matching.messages_of(F.col("results"), o)).alias(n) for n, o in counts.items()])
+    return sized.groupBy("opportunity_id").agg(*[F.sum(n).alias(n) for n in counts], F.count(F.lit(1)).alias("profiles"))
+
+
 @query("rule_profile_fields", "SELECT name, fields FROM (VALUES " + ", ".join(f"('{n}', '{','.join(f)}')" for n, f in matching.PROFILE_FIELDS.items()) + ", ('deadline', '')) v(name, fields)")
 def rule_profile_fields(t):
     names = t.spark.createDataFrame([(n,) for n in [*matching.PROFILE_FIELDS, "deadline"]], "name string")
