@@ -127,13 +127,13 @@ def profiles(t):
         "nationality": F.col("nationality"), "cgpa": F.col("cgpa"), "study_mode": F.col("study_mode"), "field": fields, "work_experience_months": F.col("months"),
         "english_test_status": F.col("test_status"), "gre_status": F.col("test_status"), "target_degree": F.col("target_degree"), "residence": F.lit(None).cast("string"),
     }
-    return p.withColumns({"profile_values": matching.profile_values(**kinds), "preferred": F.array_compact(F.array("country_one"))})
+    return p.withColumns({"profile_values": F.transform_values(matching.profile_values(**kinds), lambda _, v: matching.normal(v)), "preferred": F.array_compact(F.array("country_one"))})
 
 
 def opportunities(t):
     o = t.part.selectExpr(*[f"{e} AS {n}" for n, e in OPPORTUNITY.items()])
     schema = "rule_kind long, rule_type string, operator string, required_values array<string>, required boolean, grading_scale int"
-    rules = t.spark.createDataFrame([(k, *r) for k, *r in RULES], schema).coalesce(1)
+    rules = t.spark.createDataFrame([(k, *r) for k, *r in RULES], schema).coalesce(1).withColumn("required_values", matching.normal(F.col("required_values")))
     listed = rules.groupBy("rule_kind").agg(F.collect_list(F.struct("rule_type", "operator", "required_values", "required", "grading_scale")).alias("rules"))
     deadline = clock(ORDER_CLOCK) + F.make_dt_interval(F.col("days"))
     return o.join(F.broadcast(listed), "rule_kind", "left").withColumn("deadline", F.when(F.col("days").isNotNull(), deadline))
@@ -146,7 +146,7 @@ def evaluated(t):
     wanted = F.when(F.col("target_degree").isNull(), F.array(*[F.lit(x) for x in LEVELS])).otherwise(F.array("target_degree"))
     pairs = p.withColumn("degree_level", F.explode(wanted)).join(o, "degree_level")
     structured = F.col("rules").isNotNull()
-    own = matching.structured_results(F.col("rules"), F.col("profile_values"), F.col("scale"), F.col("window_state"))
+    own = matching.structured_results(F.col("rules"), F.col("profile_values"), F.col("scale"), F.col("window_state"), normalized=True)
     rest = F.array(
         matching.deadline_result(F.col("deadline"), clock(ORDER_CLOCK)), matching.location_result(F.col("preferred"), F.col("country")), matching.funding_result(F.col("need"), F.col("funding"))
     )
