@@ -105,3 +105,9 @@ def profile_gaps(recommended: dict[str, Column], cgpa: Column, percentage: Colum
     missing = F.array_compact(F.array(*empty, grade))
     slots = F.lit(len(recommended) + 1) + F.when(cgpa.isNotNull(), 1).otherwise(0)
     return missing, half_even_percent(F.greatest(slots - F.size(missing), F.lit(0)), slots)
+
+
+def slots_filled(slots: dict[str, Column], unknown: tuple[str, ...] = ()) -> Column:
+    """Percent of a profile's slots that are neither null nor empty; those in `unknown` must not say so either."""
+    filled = [F.coalesce(c != "", F.lit(False)) & ((c != "unknown") if n in unknown else F.lit(True)) for n, c in slots.items()]
+    return half_even_percent(sum((F.when(x, 1).otherwise(0) for x in filled), F.lit(0)), F.lit(len(slots)))

@@ -294,10 +294,11 @@ def archive_checks(t):
     return entries.select("l_orderkey", scalar.archive_ok(F.col("sizes"), F.col("packed"), 300_000, 1500).alias("ok"))
 
 
+# Addresses for each host of the pages; the first and the seventh are safe.
 URLS = ["https://{}/x", "http://{}/x", "https://user:pass@{}/", "https://localhost/a", "https://10.0.0.1/", "https://{}:8443/", "https://{}:443/y", "ftp://{}/"]
 
 
-@query("url_checks", f"SELECT page_id, page_id % 8 IN (0, 6) AS safe FROM pages")
+@query("url_checks", "SELECT page_id, page_id % 8 IN (0, 6) AS safe FROM pages")
 def url_checks(t):
     made = F.get(F.array(*[F.lit(u) for u in URLS]), (F.col("page_id") % 8).cast("int"))
     host = F.try_parse_url("url", F.lit("HOST"))
@@ -341,3 +342,29 @@ def job_totals(t):
 def change_records(t):
     host = F.regexp_extract("url", "^[a-z]+://[^/]+", 0)
     return t.pages.select("page_id", F.lag("page_id").over(Window.partitionBy(host).orderBy("page_id")).alias("previous"))
+
+
+@query(
+    "canonical_identity_classes",
+    "SELECT p_partkey, min(p_partkey) OVER w AS first_id, count(*) OVER w AS copies FROM part WINDOW w AS (PARTITION BY p_brand, p_type, p_size)",
+)
+def canonical_identity_classes(t):
+    """Records of one canonical identity as classes: each with the first of its class and the number of members, not all pairs."""
+    return dedup.exact_groups(t.part, "p_partkey", F.struct("p_brand", "p_type", "p_size"))
+
+
+SLOTS = {
+    "nationality": "c_name", "residence": "CASE WHEN c_nationkey % 2 = 0 THEN 'land' ELSE '' END", "education": "CASE WHEN c_nationkey % 3 > 0 THEN 'bachelor' END", "degree": "c_mktsegment", "field": "CASE WHEN c_acctbal > 0 THEN 'f' END",
+    "grade": "CASE WHEN c_acctbal > 5000 THEN '3.1' END", "english": "CASE WHEN c_nationkey % 5 > 1 THEN 'taken' ELSE 'unknown' END", "countries": "CASE WHEN c_nationkey % 7 > 2 THEN 'x' END", "need": "CASE WHEN c_nationkey % 4 = 1 THEN 'yes' ELSE '' END", "intake": "CASE WHEN c_custkey % 3 = 0 THEN '2025' END",
+}
+
+
+def _filled_sql(name: str, expression: str) -> str:
+    known = f" AND ({expression}) <> 'unknown'" if name == "english" else ""
+    return f"CAST(coalesce(({expression}) <> '', false){known} AS INT)"
+
+
+@query("matching_completeness", f"SELECT c_custkey, CAST(round_even(({' + '.join(_filled_sql(n, e) for n, e in SLOTS.items())}) * 100.0 / 10, 0) AS BIGINT) AS completeness FROM customer")
+def matching_completeness(t):
+    made = t.customer.selectExpr("c_custkey", *[f"{e} AS {n}" for n, e in SLOTS.items()])
+    return made.select("c_custkey", temporal.slots_filled({n: F.col(n) for n in SLOTS}, unknown=("english",)).alias("completeness"))
