@@ -63,12 +63,13 @@ def answer_citations(t):
 
 @query(
     "response_confidence",
-    "SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'low' WHEN bool_or(value > 99) OR bool_or(event_type = 'view') THEN 'medium' WHEN bool_or(event_type = 'purchase') THEN 'high' ELSE 'medium' END AS confidence FROM events WHERE event_id % 150 = user_id % 150 GROUP BY 1",
+    "SELECT user_id, date_trunc('hour', ts) AS asked_at, CASE WHEN bool_or(event_type = 'error') THEN 'low' WHEN bool_or(value > 99) OR bool_or(event_type = 'view') THEN 'medium' WHEN bool_or(event_type = 'purchase') THEN 'high' ELSE 'medium' END AS confidence FROM events GROUP BY 1, 2",
 )
 def response_confidence(t):
+    """An answer is what a user was shown in one hour; its evidence decides how sure it is."""
     level = F.when(F.col("event_type") == "error", "low").when(F.col("event_type") == "view", "medium").when(F.col("event_type") == "purchase", "high")
-    said = t.events.filter("event_id % 150 = user_id % 150").groupBy("user_id").agg(F.collect_set(level).alias("levels"), F.bool_or(F.col("value") > 99).alias("warned"))
-    return said.select("user_id", scalar.response_confidence(F.col("levels"), F.col("warned")).alias("confidence"))
+    said = t.events.groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("asked_at")).agg(F.collect_set(level).alias("levels"), F.bool_or(F.col("value") > 99).alias("warned"))
+    return said.select("user_id", "asked_at", scalar.response_confidence(F.col("levels"), F.col("warned")).alias("confidence"))
 
 
 ANSWER_SQL = (

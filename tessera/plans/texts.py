@@ -219,11 +219,12 @@ def reply_counts(t):
 
 @query("moderation_queue", "SELECT l.doc_id, coalesce(d.source, 'conversation') AS target, CASE WHEN d.doc_id IS NULL THEN c.text ELSE substr(d.text, 1, 180) END AS excerpt FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND l.doc_id % 2 = 0 LEFT JOIN conversations c ON c.conv_id = l.doc_id AND c.turn = 0 AND l.doc_id % 2 = 1 WHERE l.quality = 0 AND (d.doc_id IS NOT NULL OR c.conv_id IS NOT NULL)")
 def moderation_queue(t):
-    reports = t.labels.filter("quality = 0").select("doc_id")
-    posts = t.documents.filter("doc_id % 2 = 0").select("doc_id", "source", F.substring("text", 1, 180).alias("post"))
-    replies = t.conversations.filter("turn = 0 AND conv_id % 2 = 1").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("reply"), F.lit(True).alias("has_reply"))
-    joined = reports.join(posts, "doc_id", "left").join(replies, "doc_id", "left").filter("source IS NOT NULL OR has_reply")
-    return joined.select("doc_id", F.coalesce("source", F.lit("conversation")).alias("target"), F.when(F.col("source").isNull(), F.col("reply")).otherwise(F.col("post")).alias("excerpt"))
+    """Reports with what they report: a post or a reply, by the type that the report names, whatever else has that id."""
+    kind = F.when(F.col("doc_id") % 2 == 0, "post").otherwise("reply")
+    reports = t.labels.filter("quality = 0").select("doc_id", kind.alias("kind"))
+    posts = t.documents.select("doc_id", F.lit("post").alias("kind"), F.col("source").alias("target"), F.substring("text", 1, 180).alias("excerpt"))
+    replies = t.conversations.filter("turn = 0").select(F.col("conv_id").alias("doc_id"), F.lit("reply").alias("kind"), F.lit("conversation").alias("target"), F.col("text").alias("excerpt"))
+    return reports.join(posts.unionByName(replies), ["doc_id", "kind"]).select("doc_id", F.coalesce("target", F.lit("conversation")).alias("target"), "excerpt")
 
 
 @query("safe_erasure", "SELECT doc_id, CASE WHEN reported THEN 'anonymised' ELSE 'deleted' END AS action FROM (SELECT doc_id, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) AS reported FROM documents d WHERE source = 'src3') t")
