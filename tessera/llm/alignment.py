@@ -6,7 +6,9 @@ import hashlib
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,10 @@ BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 WIDE = re.compile(r"[^\u0000-ͯ]|\s{10000}")
 #: Transitions that a worker remembers before it starts anew.
 REMEMBERED_MOVES = 400_000
+#: Segments that a worker remembers before it starts anew, the longest of them, and documents that are looked up together.
+REMEMBERED_SEGMENTS, LONGEST_SEGMENT, TOGETHER = 120_000, 64, 256
+#: Where a text may be cut: no token of either side spans the place before a single space between other characters.
+CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Distinct links of its documents, and documents, that a block holds before it gets its dictionary.
 BLOCK_LINKS, BLOCK_DOCS = 3_000_000, 20_000
 
@@ -66,6 +72,11 @@ class ByteLevel:
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.quick.encode_ordinary(text)
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        if WIDE.search("".join(texts)):
+            return [self.encode(t) for t in texts]
+        return [self.quick.encode_ordinary(t) for t in texts]
+
 
 class Pieces:
     """Ids of a sentencepiece model, which puts a space ahead of the text, and the bytes of each id."""
@@ -80,6 +91,14 @@ class Pieces:
     def encode(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1) if texts else []
+
+    @property
+    def spans_words(self) -> bool:
+        """Whether a piece has a space after another character."""
+        return any(" " in piece.lstrip(b" ").decode(errors="ignore") for piece in self.bytes)
+
 
 class Transducer:
     """Walks two token sequences over the same bytes, always feeding the side that is behind.
@@ -98,7 +117,7 @@ class Transducer:
         self.residuals: list[bytes] = [b""]
         self.numbers: dict[bytes, int] = {b"": 0}
         self.moves: dict[int, int] = {}
-        self.opened: dict[int, int] = {}
+        self.opened: dict[int, int] = {}  # by the first link of a group
 
     def _number(self, residual: bytes) -> int:
         at = self.numbers.setdefault(residual, len(self.residuals))
@@ -115,47 +134,122 @@ class Transducer:
         left = self._number(residual[shared:] or fed[shared:])
         return left if (len(residual) > shared) == (state > 0) else -left
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
-        """(links as first id * 2^32 + second id, in order; ends of groups on both sides)."""
-        if len(self.moves) > REMEMBERED_MOVES:
+    def _opened(self, x: int, y: int) -> int:
+        """The state after the first tokens of a group, one of each side."""
+        return self._move(self._number(self.first[x]), y)
+
+    def align(self, a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
+        """Links as first id * 2^32 + second id, in order, and the ends of groups on either side."""
+        if len(self.moves) + len(self.opened) > REMEMBERED_MOVES:
             self._forget()
         moves, opened, width = self.moves, self.opened, self.width
         links: list[int] = []
-        ends: list[tuple[int, int]] = []
-        i = j = x = y = state = 0
-        for _ in range(len(a) + len(b)):
-            if not state:
-                x = a[i]
-                i += 1
-                state = opened.get(x, 0)
-                if not state:
-                    state = opened[x] = self._number(self.first[x])
-                continue
-            if state > 0:
-                token = y = b[j]
-                j += 1
-            else:
-                token = x = a[i]
-                i += 1
-            links.append(x << 32 | y)
-            move = state * width + token
-            found = moves.get(move)
-            if found is None:
-                found = moves[move] = self._move(state, token)
-            state = found
-            if not state:
-                ends.append((i, j))
-        return links, ends
-
-
-def group_text(a: list[int], b: list[int], ends: list[tuple[int, int]]) -> str:
-    """`a1,a2|b1;a3|b2,b3`: decimal ids of each group's sides."""
-    left, right = [str(x) for x in a], [str(x) for x in b]
+        ends_a: list[int] = []
+        ends_b: list[int] = []
+        i, j, n = 0, 0, len(a)
+        while i < n:
+            x, y = a[i], b[j]
+            i, j = i + 1, j + 1
+            link = x << 32 | y
+            links.append(link)
+            state = opened.get(link)
+            if state is None:
+                state = opened[link] = self._opened(x, y)
+            while state:
+                if state > 0:
+                    y = b[j]
+                    j += 1
+                    move = state * width + y
+                else:
+                    x = a[i]
+                    i += 1
+                    move = state * width + x
+                links.append(x << 32 | y)
+                after = moves.get(move)
+                if after is None:
+                    after = moves[move] = self._move(state, y if state > 0 else x)
+                state = after
+            ends_a.append(i)
+            ends_b.append(j)
+        if j < len(b):
+            raise ValueError("the two sides have different bytes")
+        return links, ends_a, ends_b
+
+
+def group_texts(left: list[str], right: list[str], ends_a: list[int], ends_b: list[int]) -> list[str]:
+    """`a1,a2|b1` for each group, of the ids of both sides as text."""
     out, p, q = [], 0, 0
-    for i, j in ends:
-        out.append((left[p] if i == p + 1 else ",".join(left[p:i])) + "|" + (right[q] if j == q + 1 else ",".join(right[q:j])))
+    for i, j in zip(ends_a, ends_b, strict=True):
+        if i == p + 1 and j == q + 1:
+            out.append(f"{left[p]}|{right[q]}")
+        else:
+            out.append(f"{','.join(left[p:i])}|{','.join(right[q:j])}")
         p, q = i, j
-    return ";".join(out)
+    return out
+
+
+class Segments:
+    """Alignments of segments, cut where no token spans and so every group closes, remembered like the moves within them."""
+
+    def __init__(self, first: ByteLevel, second: Pieces):
+        self.first, self.second = first, second
+        self.transducer = Transducer(first.bytes, second.bytes)
+        self.names = [str(i) for i in range(max(len(first.bytes), len(second.bytes)))]
+        self.cut = (lambda text: [text]) if second.spans_words else CUT.split
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.sizes, self.links, self.starts = array("q"), array("q"), array("q", [0])
+
+    def _learn(self, new: list[str]) -> None:
+        """Aligns new segments in one walk: every group closes at a segment's end."""
+        a, b = self.first.encode_all([" " + s for s in new]), self.second.encode_all(new)
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        bytes_of = lambda side, ids: b"".join(map(side.bytes.__getitem__, ids))
+        if not bytes_of(self.first, flat_a) == bytes_of(self.second, flat_b) == " ".join(["", *new]).encode():
+            for k, segment in enumerate(new):
+                if not bytes_of(self.first, a[k]) == bytes_of(self.second, b[k]) == (" " + segment).encode():
+                    a[k], b[k] = [], []
+            flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        links, ends_a, ends_b = self.transducer.align(flat_a, flat_b)
+        groups = group_texts(list(map(self.names.__getitem__, flat_a)), list(map(self.names.__getitem__, flat_b)), ends_a, ends_b)
+        n_a, n_b = (np.fromiter(map(len, side), dtype=np.int64, count=len(side)) for side in (a, b))
+        upto = np.searchsorted(np.array(ends_a, dtype=np.int64), np.cumsum(n_a), side="right")
+        n_groups = np.diff(upto, prepend=0)
+        n_links = n_a + n_b - n_groups
+        at = len(self.texts)
+        self.places.update(zip(new, range(at, at + len(new)), strict=True))
+        since = 0
+        for end in upto.tolist():
+            self.texts.append(groups[since] if end == since + 1 else ";".join(groups[since:end]))
+            since = end
+        self.sizes.frombytes(np.stack([n_a, n_b, n_groups, n_links], axis=1).tobytes())
+        self.starts.frombytes((np.cumsum(n_links) + len(self.links)).tobytes())
+        self.links.frombytes(np.array(links, dtype=np.int64).tobytes())
+
+    def align(self, texts: list[str | None]) -> Iterator[tuple[list[int], str, np.ndarray]]:
+        """For each text: n_a, n_b, n_groups and n_links, its groups, and its links in order."""
+        if len(self.texts) > REMEMBERED_SEGMENTS:
+            self._forget()
+        cut = [self.cut(t) if t else [] for t in texts]
+        new = {s for s in set().union(*cut) if s not in self.places}
+        kept = len(self.texts) + sum(len(s) <= LONGEST_SEGMENT for s in new)
+        self._learn(sorted(new, key=lambda s: len(s) > LONGEST_SEGMENT))  # long ones last: they go again below
+        sizes, links, starts = np.array(self.sizes).reshape(-1, 4), np.array(self.links), np.array(self.starts)
+        for segments in cut:
+            at = [self.places[s] for s in segments]
+            own = sizes[at]
+            if not at or not own[:, 0].all():  # a segment that a side does not give back
+                yield [0, 0, 0, 0], "", links[:0]
+                continue
+            shift = starts[at] - np.cumsum(own[:, 3]) + own[:, 3]
+            total = own.sum(axis=0)
+            yield total.tolist(), ";".join([self.texts[i] for i in at]), links[np.repeat(shift, own[:, 3]) + np.arange(total[3])]
+        if kept < len(self.texts):
+            self.places = {s: i for s, i in self.places.items() if i < kept}
+            del self.texts[kept:], self.sizes[4 * kept :], self.links[self.starts[kept] :], self.starts[kept + 1 :]
 
 
 def _block(docs: list[tuple], block: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -186,27 +280,19 @@ def aligned(df: DataFrame, first: str, second: str, digest: bool, id_col: str, t
     arrow = pa.schema([(c, kinds[k]) for c, k in names.items()])
 
     def walk(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side_a, side_b = of_a.get(), of_b.get()
-        transducer = Transducer(side_a.bytes, side_b.bytes)
+        segments = Segments(of_a.get(), of_b.get())
         docs: list[tuple] = []
         block, held = TaskContext.get().partitionId() << 20, 0
         for batch in stream:
-            for doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                a, b, groups, links, ends = [], [], "", [], []
-                if text:
-                    a, b, whole = side_a.encode(" " + text), side_b.encode(text), (" " + text).encode()
-                    if b"".join([side_a.bytes[i] for i in a]) != whole or b"".join([side_b.bytes[i] for i in b]) != whole:
-                        a, b = [], []
-                if a:
-                    links, ends = transducer.align(a, b)
-                    groups = group_text(a, b, ends)
-                    groups = hashlib.sha256(groups.encode()).hexdigest() if digest else groups
-                codes, n = np.unique(np.array(links, dtype=np.int64), return_counts=True)
-                docs.append((doc, len(a), len(b), len(ends), len(links), groups, codes, n))
-                held += len(codes)
-                if held >= BLOCK_LINKS or len(docs) >= BLOCK_DOCS:
-                    yield from _block(docs, block, arrow)
-                    docs, held, block = [], 0, block + 1
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                for doc, (sizes, groups, links) in zip(part["doc_id"].to_pylist(), segments.align(part["text"].to_pylist()), strict=True):
+                    codes, n = np.unique(links, return_counts=True)
+                    docs.append((doc, *sizes, hashlib.sha256(groups.encode()).hexdigest() if digest and groups else groups, codes, n))
+                    held += len(codes)
+                    if held >= BLOCK_LINKS or len(docs) >= BLOCK_DOCS:
+                        yield from _block(docs, block, arrow)
+                        docs, held, block = [], 0, block + 1
         if docs:
             yield from _block(docs, block, arrow)
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import alignment
-from tessera.llm.alignment import ByteLevel, Pieces, Transducer, align_tokens, group_text
+from tessera.llm.alignment import ByteLevel, Pieces, Transducer, align_tokens, group_texts
 from tessera.llm.divergence import audit_sources, shares
 from tessera.llm.tokens import tokenizer_path
 
@@ -51,23 +51,25 @@ def test_transducer_matches_offsets():
         whole = bytes(draw.choices(b"ab", k=draw.randint(1, 40)))
         a, b = cut(whole), cut(whole)
         ids_a, ids_b = [of[w] for w in a], [of[w] for w in b]
-        links, ends = transducer.align(ids_a, ids_b)
+        links, *ends = transducer.align(ids_a, ids_b)
         expected, groups = by_offsets(a, b)
-        assert links == [ids_a[i] << 32 | ids_b[j] for i, j in expected] and ends == groups
+        assert links == [ids_a[i] << 32 | ids_b[j] for i, j in expected] and list(zip(*ends, strict=True)) == groups
 
 
 def test_transducer_refuses_unlike_bytes():
     with pytest.raises(ValueError, match="different bytes"):
         Transducer([b"ab"], [b"ac"]).align([0], [0])
+    with pytest.raises(ValueError, match="different bytes"):
+        Transducer([b"ab"], [b"ab"]).align([0], [0, 0])
 
 
 def test_memory_of_moves_is_bounded(monkeypatch):
     monkeypatch.setattr(alignment, "REMEMBERED_MOVES", 2)
     transducer = Transducer([b"ab", b"c"], [b"a", b"bc", b"b"])
     for _ in range(3):
-        assert transducer.align([0, 1], [0, 1]) == ([0, 1, 1 << 32 | 1], [(2, 2)])
-        assert transducer.align([0], [0, 2]) == ([0, 2], [(1, 2)])
-    assert group_text([0, 1, 0], [0, 1, 0, 2], [(2, 2), (3, 4)]) == "0,1|0,1;0|0,2"
+        assert transducer.align([0, 1], [0, 1]) == ([0, 1, 1 << 32 | 1], [2], [2])
+        assert transducer.align([0], [0, 2]) == ([0, 2], [1], [2])
+    assert group_texts(list("010"), list("0102"), [2, 3], [2, 4]) == ["0,1|0,1", "0|0,2"]
 
 
 def test_byte_level_equals_its_library(sides):
