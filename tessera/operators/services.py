@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .relational import flagged
+from .search import first_matches
 
 # What a verification status makes of its record, and what a moderation action makes of its target.
 VERIFICATION_STATUS = {"expired": "expired", "needs_review": "draft", "unverified": "draft", "conflicting_information": "draft"}
@@ -28,27 +29,26 @@ def evidence_state(records: DataFrame, sources: DataFrame, key: str, fresh: Colu
     return records.join(facts, key, "left").withColumn("evidence", state).drop("_bad", "_good", "_fresh")
 
 
+def candidates(questions: DataFrame, records: DataFrame, keys: list[str], seen: int) -> DataFrame:
+    """keys and held: the first `seen` records by id, as structs (id, evidence), whose text holds a token of the question.
+
+    questions has keys and tokens (at most a handful each); records has id, text (lower case) and evidence. Any record
+    is a candidate of a question without tokens. A token's candidates are found once, through a trigram index.
+    """
+    asked = questions.select(*keys, F.explode("tokens").alias("pattern")).distinct()
+    by_token = first_matches(asked.select("pattern"), records, seen)
+    merged = asked.join(by_token, "pattern").groupBy(*keys).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))), 1, seen).alias("held"))
+    any_ = records.select("id", "evidence").orderBy("id").limit(seen).agg(F.sort_array(F.collect_list(F.struct("id", "evidence"))).alias("any"))
+    out = questions.select(*keys, (F.size("tokens") == 0).alias("open")).distinct().join(merged, keys, "left").join(F.broadcast(any_))  # one row
+    return out.select(*keys, F.when(F.col("open"), F.col("any")).otherwise(F.coalesce("held", F.slice("any", 1, 0))).alias("held"))
+
+
 def retrieved(questions: DataFrame, records: DataFrame, keys: list[str], most: int = 8) -> DataFrame:
     """keys, accepted (ids, at most `most`), and the numbers rejected as unverified, stale or conflicting.
 
-    questions has keys and tokens; records has id, text (lower case) and evidence. A record is a candidate if its text
-    holds a token anywhere; the first 4 * most candidates by id are looked at, and any record is a candidate of a
-    question without tokens. Records are first gathered by text, each text with its first candidates only, so the work
-    grows with the distinct texts, not with questions times records.
+    The first 4 * most candidates() of a question are looked at.
     """
-    seen = 4 * most
-    firsts = records.groupBy("text").agg(F.slice(F.array_sort(F.collect_set(F.struct("id", "evidence"))), 1, seen).alias("held"))
-    length = F.length("text")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(length - 2, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(3), F.greatest(length - i + 1, F.lit(3))), lambda k: F.substring(F.col("text"), i, k))))
-    pieces = firsts.select("held", F.explode(F.array_distinct(parts)).alias("token"))
-    asked = questions.select(*keys, F.explode("tokens").alias("token")).distinct()
-    by_token = pieces.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))), 1, seen).alias("held"))
-    merged = asked.join(by_token, "token").groupBy(*keys).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))), 1, seen).alias("held"))
-    first = F.slice(F.array_sort(F.collect_list(F.struct("id", "evidence"))), 1, seen)
-    any_ = records.orderBy("id").limit(seen).agg(first.alias("any"))
-    out = questions.select(*keys, (F.size("tokens") == 0).alias("open")).distinct().join(merged, keys, "left").join(F.broadcast(any_))
-    held = F.when(F.col("open"), F.col("any")).otherwise(F.coalesce("held", F.array().cast("array<struct<id:long,evidence:string>>")))
-    out = out.withColumn("held", held)
+    out = candidates(questions, records, keys, 4 * most)
     count = lambda s: F.size(F.filter("held", lambda x: x.evidence == s)).cast("long").alias(s)
     accepted = F.slice(F.transform(F.filter("held", lambda x: x.evidence == "accepted"), lambda x: x.id), 1, most)
     return out.select(*keys, accepted.alias("accepted"), count("unverified"), count("stale"), count("conflicting"))

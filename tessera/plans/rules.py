@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar
-from ..operators import matching
+from ..operators import classes, matching
 from .registry import ORDER_CLOCK, clock, query
 
 #: A customer's profile; values are text, as rules compare text or numbers written as text.
@@ -37,7 +37,6 @@ OPPORTUNITY = {
     "funding": "CASE p_partkey % 3 WHEN 0 THEN 'fully_funded' WHEN 1 THEN 'partial' ELSE 'unknown' END",
     "rule_kind": "p_partkey % 9",
 }
-LEVELS = ["building", "machinery", "household", "furniture", "automobile"]
 #: Rules by kind: type, operator, values, required, grading scale. Kind 8 has none.
 RULES = [
     (0, "nationality", "in", ["land 1", "Land 2"], True, None),
@@ -62,6 +61,10 @@ VALUES_SQL = {
 }
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 def _columns(expressions: dict[str, str]) -> str:
     return ", ".join(f"{e} AS {n}" for n, e in expressions.items())
 
@@ -85,7 +88,20 @@ def _structured_sql() -> str:
         "CASE WHEN rule_type = 'application_window' AND window_state = 'deadline_unknown' OR len(have) = 0 OR rule_type = 'cgpa' AND (scale IS NULL OR rule_scale IS NULL OR scale <> rule_scale) "
         "OR rule_type IN ('english_test_status', 'gre_status') AND list_contains(have, 'not_required') AND NOT passed THEN 'unknown' WHEN passed THEN 'satisfied' ELSE 'failed' END"
     )
-    return f"SELECT user_id, opportunity_id, place, replace(rule_type, '_', ' ') AS name, operator, 'eligibility' AS category, 15 AS weight, {outcome} AS outcome, required AND {outcome} = 'failed' AS hard FROM (SELECT *, {passed} AS passed FROM ({base}) b) c"
+    label = "replace(rule_type, '_', ' ')"
+    title = "array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(replace(rule_type, '_', ' '), ' ')], ' ')"
+    reasons = [
+        ("rule_type = 'application_window' AND window_state = 'deadline_unknown'", _text(matching.WINDOW_UNKNOWN), _text(matching.STEP_WINDOW)),
+        ("len(have) = 0", f"'Your ' || {label} || ' is missing, so this rule is unknown.'", f"'Add your ' || {label} || ' to evaluate this requirement.'"),
+        ("rule_type = 'cgpa' AND (scale IS NULL OR rule_scale IS NULL)", _text(matching.SCALE_MISSING), _text(matching.STEP_SCALE)),
+        ("rule_type = 'cgpa'", _text(matching.SCALES_DIFFER), _text(matching.STEP_SCALES)),
+    ]
+    unknown, step = (f"CASE {' '.join(f'WHEN {r[0]} THEN {r[k]}' for r in reasons)} ELSE {_text(last)} END" for k, last in ((1, matching.WAIVER), (2, matching.STEP_WAIVER)))
+    message = f"CASE outcome WHEN 'unknown' THEN {unknown} WHEN 'satisfied' THEN {title} || ' requirement is satisfied.' ELSE {title} || ' requirement is not satisfied.' END"
+    return (
+        f"SELECT user_id, opportunity_id, place, {label} AS name, operator, 'eligibility' AS category, 15 AS weight, outcome, required AND outcome = 'failed' AS hard, {message} AS message, CASE WHEN outcome = 'unknown' THEN {step} END AS next_step "
+        f"FROM (SELECT *, {outcome} AS outcome FROM (SELECT *, {passed} AS passed FROM ({base}) b) c) d"
+    )
 
 
 DEGREE_SQL = "CASE WHEN target_degree IS NULL THEN 'unknown' WHEN target_degree = degree_level THEN 'satisfied' ELSE 'failed' END"
@@ -94,12 +110,32 @@ FUNDING_SQL = "CASE WHEN coalesce(trim(need), '') = '' THEN 'unknown' WHEN fundi
 
 
 def _engine_sql() -> str:
-    own = lambda place, name, category, weight, outcome, where="true": f"SELECT user_id, opportunity_id, {place}, '{name}', NULL, '{category}', {weight}, {outcome}, false FROM candidates WHERE {where}"
-    fallback = [own(100, "degree", "eligibility", 20, DEGREE_SQL, "rule_kind = 8"), *[own(101 + i, n, "eligibility", 15, "'unknown'", "rule_kind = 8") for i, n in enumerate(matching.UNSTRUCTURED)]]
+    def own(place, name, category, weight, outcome, message, step="NULL", where="true"):
+        return f"SELECT user_id, opportunity_id, {place}, '{name}', NULL, '{category}', {weight}, {outcome}, false, {message}, {step} FROM candidates WHERE {where}"
+
+    degree = (
+        f"CASE WHEN target_degree IS NULL THEN {_text(matching.DEGREE_MISSING)} WHEN target_degree = degree_level THEN 'Target degree matches: ' || degree_level || '.' "
+        "ELSE 'Your target degree is ' || target_degree || ', but this opportunity is for ' || degree_level || '.' END"
+    )
+    deadline = (
+        f"CASE WHEN days IS NULL THEN {_text(matching.DEADLINE_MISSING)} WHEN days < 0 THEN {_text(matching.DEADLINE_PASSED)} WHEN days <= 30 THEN 'Deadline is upcoming in ' || days || ' days.' "
+        "ELSE 'Deadline is open with ' || days || ' days remaining.' END"
+    )
+    location = (
+        f"CASE WHEN country_one IS NULL THEN {_text(matching.COUNTRIES_MISSING)} WHEN {SQUEEZED.format('country_one')} = {SQUEEZED.format('country')} "
+        "THEN 'Opportunity country matches your preferences: ' || country || '.' ELSE country || ' is not in your preferred destination countries.' END"
+    )
+    needy = "coalesce(trim(need), '') = ''"
+    funding = f"CASE WHEN {needy} THEN {_text(matching.NEED_MISSING)} WHEN funding = 'fully_funded' THEN {_text(matching.FUNDING_FULL)} WHEN funding = 'partial' THEN {_text(matching.FUNDING_PART)} ELSE {_text(matching.FUNDING_UNKNOWN)} END"
+    fallback = [own(100, "degree", "eligibility", 20, DEGREE_SQL, degree, f"CASE WHEN target_degree IS NULL THEN {_text(matching.STEP_DEGREE)} END", "rule_kind = 8")]
+    for i, n in enumerate(matching.UNSTRUCTURED):
+        fallback.append(own(101 + i, n, "eligibility", 15, "'unknown'", _text(f"{n.title()} eligibility is not yet structured for this opportunity."), _text(matching.STEP_UNSTRUCTURED), "rule_kind = 8"))
+    soon = f"CASE WHEN days IS NULL THEN {_text(matching.STEP_DEADLINE)} WHEN days BETWEEN 0 AND 30 THEN {_text(matching.STEP_SOON)} END"
+    costs = f"CASE WHEN {needy} OR funding = 'fully_funded' THEN NULL WHEN funding = 'partial' THEN {_text(matching.STEP_COSTS)} ELSE {_text(matching.STEP_COVERAGE)} END"
     rest = [
-        own(200, "deadline", "freshness", 10, "CASE WHEN days IS NULL THEN 'unknown' WHEN days < 0 THEN 'failed' ELSE 'satisfied' END"),
-        own(201, "location", "preference", 10, LOCATION_SQL),
-        own(202, "funding", "preference", 5, FUNDING_SQL),
+        own(200, "deadline", "freshness", 10, "CASE WHEN days IS NULL THEN 'unknown' WHEN days < 0 THEN 'failed' ELSE 'satisfied' END", deadline, soon),
+        own(201, "location", "preference", 10, LOCATION_SQL, location, f"CASE WHEN country_one IS NULL THEN {_text(matching.STEP_COUNTRIES)} END"),
+        own(202, "funding", "preference", 5, FUNDING_SQL, funding, costs),
     ]
     joined = "SELECT * FROM profiles JOIN opportunities ON target_degree IS NULL OR target_degree = degree_level"
     return (
@@ -139,44 +175,37 @@ def opportunities(t):
     return o.join(F.broadcast(listed), "rule_kind", "left").withColumn("deadline", F.when(F.col("days").isNotNull(), deadline))
 
 
-def evaluated(t):
-    """Candidates of the profile's degree, or of any where it names none, each with its results and what excludes it."""
+def classed(t):
+    """(pairs of classes, members of profile classes, members of opportunity classes, opportunities)."""
     p, o = profiles(t), opportunities(t)
-    # A profile that names no degree asks for each.
-    wanted = F.when(F.col("target_degree").isNull(), F.array(*[F.lit(x) for x in LEVELS])).otherwise(F.array("target_degree"))
-    pairs = p.withColumn("degree_level", F.explode(wanted)).join(o, "degree_level")
-    structured = F.col("rules").isNotNull()
-    own = matching.structured_results(F.col("rules"), F.col("profile_values"), F.col("scale"), F.col("window_state"), normalized=True)
-    rest = F.array(
-        matching.deadline_result(F.col("deadline"), clock(ORDER_CLOCK)), matching.location_result(F.col("preferred"), F.col("country")), matching.funding_result(F.col("need"), F.col("funding"))
-    )
-    eligible = F.when(structured, own).otherwise(matching.fallback_results(F.col("target_degree"), F.col("degree_level")))
-    out = pairs.select("user_id", "opportunity_id", "rules", structured.alias("structured"), F.concat(eligible, rest).alias("results"), "window_state", "target_degree", "degree_level")
-    failures = matching.hard_failures(F.col("window_state"), F.col("target_degree"), F.col("degree_level"), F.col("results"))
-    scored = out.withColumn("failures", failures)
-    return scored.withColumn("s", matching.score_of(F.col("results"), F.col("structured"), F.size("failures") > 0))
+    p_members, p_classes = classes.profile_classes(p, o)
+    o_members, o_classes = classes.opportunity_classes(o, clock(ORDER_CLOCK))
+    return classes.evaluated_classes(p_classes, o_classes), p_members, o_members, o
+
+
+PAIRS = "sum(profiles * opportunities)"
 
 
 @query("rule_outcomes", f"{ENGINE_SQL} SELECT name, operator, outcome, hard, count(*) AS n FROM results GROUP BY 1, 2, 3, 4")
 def rule_outcomes(t):
     """How often each rule, with each operator, has each outcome over all candidates."""
     operators = F.coalesce(F.transform("rules", lambda r: r.operator), F.array().cast("array<string>"))
-    placed = evaluated(t).select(operators.alias("operators"), F.posexplode("results").alias("at", "r"))
-    return placed.groupBy(F.col("r.name").alias("name"), F.get("operators", F.col("at")).alias("operator"), F.col("r.outcome").alias("outcome"), F.col("r.hard").alias("hard")).agg(F.count(F.lit(1)).alias("n"))
+    placed = classed(t)[0].select("profiles", "opportunities", operators.alias("operators"), F.posexplode("results").alias("at", "r"))
+    return placed.groupBy(F.col("r.name").alias("name"), F.get("operators", F.col("at")).alias("operator"), F.col("r.outcome").alias("outcome"), F.col("r.hard").alias("hard")).agg(F.expr(PAIRS).alias("n"))
 
 
 @query("rule_scores", f"{SCORED_SQL} SELECT status, score, preference_fit, completeness, count(*) AS n FROM scored GROUP BY 1, 2, 3, 4")
 def rule_scores(t):
-    return evaluated(t).select("s.*").groupBy("status", "score", "preference_fit", "completeness").agg(F.count(F.lit(1)).alias("n"))
+    return classed(t)[0].select("profiles", "opportunities", "s.*").groupBy("status", "score", "preference_fit", "completeness").agg(F.expr(PAIRS).alias("n"))
 
 
-@query(
-    "rule_ranking",
-    f"{SCORED_SQL} SELECT user_id, opportunity_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, coalesce(preference_fit, -1) DESC, completeness DESC, opportunity_id) AS rank FROM scored) t WHERE rank <= 10",
-)
+RANKED_SQL = f"{SCORED_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, coalesce(preference_fit, -1) DESC, completeness DESC, opportunity_id) AS rank FROM scored)"
+
+
+@query("rule_ranking", f"{RANKED_SQL} SELECT user_id, opportunity_id, score, rank FROM ranked WHERE rank <= 10")
 def rule_ranking(t):
-    scores = evaluated(t).select("user_id", "opportunity_id", "s.*")
-    return matching.ranked(scores, "user_id", F.col("opportunity_id")).filter("rank <= 10").select("user_id", "opportunity_id", "score", "rank")
+    pairs, p_members, o_members, _ = classed(t)
+    return classes.ranked_by_classes(pairs, p_members, o_members, 10).select("user_id", "opportunity_id", "score", "rank")
 
 
 @query(
@@ -184,7 +213,7 @@ def rule_ranking(t):
     f"{SCORED_SQL} SELECT (window_state IN ('closed', 'archived'))::INT + coalesce(target_degree <> degree_level, false)::INT + n_hard AS n_failures, count(*) AS n FROM candidates JOIN (SELECT user_id, opportunity_id, count(*) FILTER (WHERE hard) AS n_hard FROM results GROUP BY 1, 2) h USING (user_id, opportunity_id) GROUP BY 1",
 )
 def hard_failures(t):
-    return evaluated(t).groupBy(F.size("failures").cast("long").alias("n_failures")).agg(F.count(F.lit(1)).alias("n"))
+    return classed(t)[0].groupBy(F.size("failures").cast("long").alias("n_failures")).agg(F.expr(PAIRS).alias("n"))
 
 
 @query(
@@ -193,15 +222,52 @@ def hard_failures(t):
 )
 def rule_explanations(t):
     """How many messages of each kind an opportunity's candidates get."""
+    pairs, _, o_members, _ = classed(t)
     counts = {"satisfied": "satisfied", "missing": "failed", "uncertain": "unknown"}
-    sized = evaluated(t).select("opportunity_id", *[F.size(matching.messages_of(F.col("results"), o)).alias(n) for n, o in counts.items()])
-    return sized.groupBy("opportunity_id").agg(*[F.sum(n).alias(n) for n in counts], F.count(F.lit(1)).alias("profiles"))
+    sized = pairs.select("opportunity_class", "profiles", *[(F.size(matching.messages_of(F.col("results"), o)) * F.col("profiles")).alias(n) for n, o in counts.items()])
+    of_class = sized.groupBy("opportunity_class").agg(*[F.sum(n).alias(n) for n in [*counts, "profiles"]])
+    return o_members.join(of_class, "opportunity_class").select("opportunity_id", *counts, "profiles")
+
+
+#: Results that are explained and stored for each profile.
+SHOWN = 3
+
+
+def shown(t):
+    """The first results of each profile with what every rule said, the deadline in each opportunity's own words."""
+    pairs, p_members, o_members, o = classed(t)
+    return classes.with_deadlines(classes.ranked_by_classes(pairs, p_members, o_members, SHOWN, ["results"]), o, clock(ORDER_CLOCK))
+
 
+@query(
+    "rule_explanation_lists",
+    f"{RANKED_SQL} SELECT user_id, opportunity_id, any_value(rank) AS rank, "
+    + ", ".join(f"coalesce(string_agg(message, ' ' ORDER BY place) FILTER (WHERE outcome = '{o}'), '') AS {n}" for n, o in (("satisfied", "satisfied"), ("missing", "failed"), ("uncertain", "unknown")))
+    + f", coalesce(string_agg(next_step, ' ' ORDER BY place), '') AS next_steps FROM ranked JOIN results USING (user_id, opportunity_id) WHERE rank <= {SHOWN} GROUP BY 1, 2",
+)
+def rule_explanation_lists(t):
+    """What a user is told about each of the first results: met, missing and uncertain rules, and next steps, in rule order."""
+    r = F.col("results")
+    texts = {"satisfied": matching.messages_of(r, "satisfied"), "missing": matching.messages_of(r, "failed"), "uncertain": matching.messages_of(r, "unknown"), "next_steps": matching.next_steps(r)}
+    return shown(t).select("user_id", "opportunity_id", "rank", *[F.array_join(c, " ").alias(n) for n, c in texts.items()])
+
+
+FIELDS_SQL = "CASE name " + " ".join(f"WHEN '{n}' THEN '{','.join(f)}'" for n, f in matching.PROFILE_FIELDS.items()) + " ELSE '' END"
+SNAPSHOT_SQL = "SELECT user_id, sha256('{\"degree\":' || coalesce('\"' || target_degree || '\"', 'null') || ',\"user\":' || user_id || '}') AS snapshot_hash FROM profiles"
 
-@query("rule_profile_fields", "SELECT name, fields FROM (VALUES " + ", ".join(f"('{n}', '{','.join(f)}')" for n, f in matching.PROFILE_FIELDS.items()) + ", ('deadline', '')) v(name, fields)")
-def rule_profile_fields(t):
-    names = t.spark.createDataFrame([(n,) for n in [*matching.PROFILE_FIELDS, "deadline"]], "name string")
-    return names.select("name", F.array_join(matching.profile_fields(F.col("name")), ",").alias("fields"))
+
+@query(
+    "stored_rule_outcomes",
+    f"{RANKED_SQL} SELECT user_id, opportunity_id, rank, snapshot_hash, TIMESTAMP '{ORDER_CLOCK}' + INTERVAL 365 DAY AS expires_at, row_number() OVER (PARTITION BY user_id, opportunity_id ORDER BY place) - 1 AS place, name AS rule_name, outcome, "
+    f"'match.' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') || '.' || outcome AS reason_code, {FIELDS_SQL} AS profile_fields, weight, CASE WHEN outcome = 'satisfied' THEN weight ELSE 0 END AS awarded_score, category, message, next_step "
+    f"FROM ranked JOIN results USING (user_id, opportunity_id) JOIN ({SNAPSHOT_SQL}) n USING (user_id) WHERE rank <= {SHOWN}",
+)
+def stored_rule_outcomes(t):
+    """The rule outcomes that an evaluation stores, under the hash of the profile's snapshot and with the evaluation's expiry."""
+    snapshot = scalar.content_hash(scalar.canonical_json(degree=F.col("target_degree"), user=F.col("user_id")))
+    hashes = profiles(t).select("user_id", snapshot.alias("snapshot_hash"))
+    expires = (clock(ORDER_CLOCK) + F.make_dt_interval(F.lit(365))).alias("expires_at")
+    return classes.stored_outcomes(shown(t).join(hashes, "user_id"), ["user_id", "opportunity_id", "rank", "snapshot_hash"]).withColumn("expires_at", expires)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar
-from ..operators import dedup, monitor
+from ..operators import dedup, monitor, services
 from ..operators.relational import exists, flagged, not_exists
 from .registry import query
 
@@ -86,11 +86,6 @@ def normalized_text(t):
     return t.documents.select("doc_id", scalar.squeezed(F.col("text")).alias("clean"))
 
 
-@query("normalized_text_all", r"SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS clean FROM documents")
-def normalized_text_all(t):
-    return t.documents.select("doc_id", scalar.squeezed(F.col("text")).alias("clean"))
-
-
 @query("csv_cells", "SELECT doc_id, CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@') THEN '''' || text ELSE text END AS cell FROM documents")
 def csv_cells(t):
     return t.documents.select("doc_id", scalar.csv_cell(F.col("text")).alias("cell"))
@@ -171,38 +166,24 @@ def blocked_terms(t):
     return t.conversations.select("conv_id", "turn", scalar.has_any(asked, scalar.BLOCKED).alias("blocked"))
 
 
-@query("retrieval", "SELECT c.conv_id, d.doc_id FROM (SELECT DISTINCT conv_id, unnest(list_slice(regexp_extract_all(lower(text), '[a-z0-9]{9,}'), 1, 2)) AS token FROM conversations WHERE role = 'user' AND turn = 0) c JOIN (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{9,}')) AS token FROM documents) d USING (token) GROUP BY 1, 2")
+TOKENS_SQL = "coalesce(list_slice(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{3,}'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in sorted(scalar.STOP_WORDS)) + ")), 1, 6), [])"
+#: Candidates that a question's retrieval looks at.
+SEEN = 32
+
+
+@query(
+    "retrieval",
+    f"WITH q AS (SELECT DISTINCT conv_id, turn, {TOKENS_SQL} AS tokens FROM conversations WHERE role = 'user'), k AS (SELECT DISTINCT conv_id, turn, unnest(tokens) AS token FROM q), "
+    "m AS (SELECT token, doc_id FROM (SELECT DISTINCT token FROM k) t JOIN documents ON contains(lower(text), token)), "
+    "c AS (SELECT DISTINCT conv_id, turn, doc_id FROM k JOIN m USING (token) UNION ALL SELECT conv_id, turn, doc_id FROM q JOIN (SELECT DISTINCT doc_id FROM documents ORDER BY doc_id LIMIT 32) d ON len(tokens) = 0) "
+    f"SELECT conv_id, turn, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY doc_id) AS nth FROM c) n WHERE nth <= {SEEN}",
+)
 def retrieval(t):
-    long_ = lambda text: F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{9,})"), 1)
-    asked = t.conversations.filter("role = 'user' AND turn = 0").select("conv_id", F.explode(F.slice(long_("text"), 1, 2)).alias("token")).distinct()
-    held = t.documents.select("doc_id", F.explode(F.array_distinct(long_("text"))).alias("token"))
-    return asked.join(held, "token").select("conv_id", "doc_id").distinct()
-
-
-def holding(tokens, words, short=40):
-    """Pairs (token, word) of tokens in words: by equality of the parts of words up to `short` characters, else by search."""
-    n = F.length("word")
-    starts = F.sequence(F.lit(1), n - 2)
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(3), n - i + 1), lambda k: F.substring(F.col("word"), i, k))))
-    split = words.filter(n <= short).select("word", F.explode(F.array_distinct(parts)).alias("token"))
-    return tokens.join(split, "token").select("token", "word").unionByName(tokens.join(words.filter(n > short), F.contains("word", "token")).select("token", "word"))
-
-
-@query("retrieval_all")
-def retrieval_all(t):
-    """Documents that hold one of a question's first six tokens anywhere, in words too; all of them for a question without tokens.
-
-    A question is a user's turn. `retrieval` has equal tokens of nine or more characters of the first turn, as its SQL.
-    """
-    asked = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.coalesce(scalar.query_tokens(F.col("text"), 6), F.array().cast("array<string>")).alias("tokens"))
-    tokens = asked.select("conv_id", "turn", F.explode("tokens").alias("token")).distinct()
-    # Tokens are of a-z0-9, so a token in a text lies in one of its runs of these.
-    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{3,})"), 1))).alias("word"))
-    parts = holding(tokens.select("token").distinct(), words.select("word").distinct())
-    held = words.join(parts, "word").select("token", "doc_id").distinct()
-    found = tokens.join(held, "token").select("conv_id", "turn", "doc_id").distinct()
-    open_ = asked.filter("size(tokens) = 0").select("conv_id", "turn").distinct()
-    return found.unionByName(open_.crossJoin(t.documents.select("doc_id").distinct())).distinct()
+    """The first documents that hold one of a user turn's first six tokens anywhere, in words too; the first of all without tokens."""
+    tokens = F.coalesce(scalar.query_tokens(F.col("text"), 6), F.array().cast("array<string>"))
+    asked = t.conversations.filter("role = 'user'").select("conv_id", "turn", tokens.alias("tokens")).distinct()
+    records = t.documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("text"), F.lit(None).cast("string").alias("evidence"))
+    return services.candidates(asked, records, ["conv_id", "turn"], SEEN).select("conv_id", "turn", F.explode("held.id").alias("doc_id"))
 
 
 @query("post_search", "SELECT doc_id, source FROM documents WHERE lower(text) LIKE '%th_t%' AND source NOT IN ('src1', 'src2') AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND toxic = 1)")
@@ -250,16 +231,6 @@ def policy_score(t):
     return t.documents.select("doc_id", score.cast("long").alias("score"))
 
 
-@query(
-    "policy_score_all",
-    r"SELECT doc_id, CAST(CASE WHEN regexp_matches(text, '(?i)(\b[\w.+-]+@[\w-]+\.[\w.-]+\b|\b(password|passcode|otp|verification code)\b)') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)(https?://|www\.|bit\.ly|tinyurl\.com|t\.me/|discord\.gg/)') THEN 2 ELSE 0 END AS BIGINT) AS score FROM documents",
-)
-def policy_score_all(t):
-    text = F.col("text")
-    score = F.when(text.rlike(scalar.CONTACT), 5).otherwise(0) + F.when(text.rlike(scalar.LINK), 2).otherwise(0)
-    return t.documents.select("doc_id", score.cast("long").alias("score"))
-
-
 def _re2(pattern: str) -> str:
     return pattern.replace("(?iU)", "(?i)").replace("'", "''")
 
