@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +21,18 @@ LENGTHS = [
 LISTS = [("required_documents", 30), ("eligibility_warnings", 30), ("eligibility_rules", 20)]
 ADDRESSES = ["provider_website_url", "university_website_url", "application_url", "source_url"]
 REQUIRED = ["name", "provider_name", "country", "degree_level"]
+COVERAGE = ["confirmed", "partial", "not_covered", "unknown"]
+CONFIDENCES = ["low", "medium", "high"]
+# What columns of few values may hold; rule types by the kind of their values; operators.
+CHOICES = {
+    "degree_level": ["bachelors", "masters", "phd", "postdoc", "short_course"], "funding_type": ["full", "partial", "tuition_only", "stipend_only", "unknown"], **{c: COVERAGE for c in COMPONENTS},
+    "application_fee_status": ["not_required", "required", "waiver_available", "unknown"], "status": ["draft", "active", "expired", "archived"], "data_confidence": CONFIDENCES,
+    "source_type": ["official", "government", "university", "provider", "other"],
+    "source_verification_status": ["unverified", "needs_review", "officially_verified", "expired", "conflicting_information", "archived"],
+}
+NUMERIC_RULES = ["cgpa", "percentage", "ielts", "toefl", "work_experience_months", "duolingo", "gre"]
+CATEGORICAL_RULES = ["nationality", "residence", "target_degree", "field", "application_window", "study_mode", "intake_year", "current_education_level", "english_test_status", "gre_status"]
+OPERATORS, SET_OPERATORS = ["equals", "in", "not_in", "gte", "lte"], ["in", "not_in"]
 
 
 def _messages(df: DataFrame, checks: list[tuple[str, str, Column]]) -> Column:
@@ -27,7 +41,57 @@ def _messages(df: DataFrame, checks: list[tuple[str, str, Column]]) -> Column:
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
+def rule_error(rule: Column) -> Column:
+    """The first fault of a rule (rule_type, operator, value as JSON text, unit, grading_scale, confidence, curator_notes); null if none."""
+    kind, operator, scale = rule.rule_type, rule.operator, rule.grading_scale.try_cast("double")
+    shape = F.schema_of_variant(F.try_parse_json(rule.value))
+    element = F.regexp_extract(shape, r"^(?:ARRAY<)?(\w+)", 1)
+    is_list, is_set = shape.startswith("ARRAY"), operator.isin(SET_OPERATORS)
+    empty = shape == "ARRAY<VOID>"
+    number, text = element.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") | empty, (element == "STRING") | empty
+    mixed = shape.rlike("^ARRAY<(VARIANT|BOOLEAN|ARRAY|OBJECT)") | shape.rlike("^(BOOLEAN|VOID|OBJECT)")
+    return (
+        F.when(~F.coalesce(kind.isin(NUMERIC_RULES + CATEGORICAL_RULES), F.lit(False)), "rule_type: Input should be a known rule type")
+        .when(~F.coalesce(operator.isin(OPERATORS), F.lit(False)), "operator: Input should be a known operator")
+        .when(shape.isNull(), "value: Field required")
+        .when(F.length(rule.unit) > 64, "unit: Text must have at most 64 characters")
+        .when(rule.grading_scale.isNotNull() & ~F.coalesce((scale > 0) & (scale <= 100), F.lit(False)), "grading_scale: Input should be above 0 and at most 100")
+        .when(~F.coalesce(rule.confidence.isin(CONFIDENCES), rule.confidence.isNull()), "confidence: Input should be low, medium or high")
+        .when(F.length(rule.curator_notes) > 2000, "curator_notes: Text must have at most 2000 characters")
+        .when(kind.isin(CATEGORICAL_RULES) & ~operator.isin([*SET_OPERATORS, "equals"]), "Categorical eligibility rules support equals, in, and not_in only")
+        .when(is_set & ~is_list, "IN and NOT_IN rules require a list value")
+        .when(~is_set & is_list, "EQUALS, GTE, and LTE rules require a scalar value")
+        .when(kind.isin(NUMERIC_RULES) & (mixed | ~number), "Numeric eligibility rules require numeric values")
+        .when(~kind.isin(NUMERIC_RULES) & (mixed | ~text), "Categorical eligibility rules require text values")
+        .when((kind == "cgpa") & rule.grading_scale.isNull(), "CGPA rules require a grading_scale")
+    )
+
+
+def cycle_error(cycle: Column) -> Column:
+    """The first fault of an application cycle (intake_year, application_opening_date, application_deadline, timezone); null if none."""
+    zone = F.coalesce(trimmed(cycle.timezone), F.lit("UTC"))
+    at = lambda c: c.try_cast("timestamp")
+    return (
+        F.when((cycle.intake_year < 2000) | (cycle.intake_year > 2100), "intake_year: Year must be 2000 to 2100")
+        .when((F.length(cycle.timezone) < 1) | (F.length(cycle.timezone) > 64), "timezone: Text must have 1 to 64 characters")
+        .when(~zone.isin(sorted(available_timezones())), "Timezone must be a valid IANA timezone")
+        .when(at(cycle.application_deadline) < at(cycle.application_opening_date), "Application deadline cannot be before the opening date")
+    )
+
+
+def nested_errors(items: Column, name: str, fault) -> Column:
+    """`name.place: fault` for each faulty item of a list, places from 0."""
+    found = F.transform(F.coalesce(items, F.array()), lambda x, i: F.concat(F.lit(f"{name}."), i.cast("string"), F.lit(": "), fault(x)))
+    return F.array_compact(found)
+
+
 def validation_errors(df: DataFrame) -> Column:
+    """Messages of every field rule that a row breaks, then those of its rules and cycles; absent columns are not checked."""
+    nested = [nested_errors(F.col(c), c, fault) for c, fault in (("eligibility_rules", rule_error), ("application_cycles", cycle_error)) if c in df.columns and df.schema[c].dataType.typeName() == "array" and df.schema[c].dataType.elementType.typeName() == "struct"]
+    return F.concat(_field_errors(df), *nested)
+
+
+def _field_errors(df: DataFrame) -> Column:
     checks = [(c, f"{c}: Field required", F.col(c).isNull()) for c in REQUIRED if c in df.columns]
     for c, least, most in LENGTHS:
         if c in df.columns:
@@ -35,6 +99,7 @@ def validation_errors(df: DataFrame) -> Column:
             checks.append((c, f"{c}: Text must have {least} to {most} characters", (size < least) | (size > most)))
     checks += [(c, f"{c}: List must have at most {most} items", F.size(c) > most) for c, most in LISTS if c in df.columns]
     checks += [(c, f"{c}: Input should be a valid URL", ~F.col(c).rlike(r"(?i)^https?://[^\s/?#]+\S*$")) for c in ADDRESSES if c in df.columns]
+    checks += [(c, f"{c}: Input should be one of {', '.join(some)}", ~F.col(c).isin(some)) for c, some in CHOICES.items() if c in df.columns]
     if "monthly_stipend_amount" in df.columns:
         checks.append(("monthly_stipend_amount", "monthly_stipend_amount: Input should be greater than or equal to 0", F.col("monthly_stipend_amount").try_cast("double") < 0))
     if "source_hash" in df.columns:
@@ -47,8 +112,9 @@ def validation_errors(df: DataFrame) -> Column:
         checks.append(("application_deadline", "Application deadline cannot be before the opening date", at("application_deadline") < at("application_opening_date")))
     if {"monthly_stipend_amount", "monthly_stipend_currency"} <= set(df.columns):
         checks.append(("monthly_stipend_amount", "Monthly stipend currency is required when amount is present", F.col("monthly_stipend_amount").isNotNull() & F.col("monthly_stipend_currency").isNull()))
-    if "required_documents" in df.columns:
-        checks.append(("required_documents", "List items must not exceed 500 characters", F.exists("required_documents", lambda x: F.length(x) > 500)))
+    for c in ("required_documents", "eligibility_warnings"):
+        if c in df.columns:
+            checks.append((c, f"{c}: List items must not exceed 500 characters", F.exists(c, lambda x: F.length(trimmed(x)) > 500)))
     if "funding_type" in df.columns:
         confirmed = F.lit(True)
         for c in COMPONENTS:

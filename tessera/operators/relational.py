@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def exists(df: DataFrame, other: DataFrame, on) -> DataFrame:
@@ -128,6 +132,46 @@ def versioned_update(existing: DataFrame, updates: DataFrame, key: str, columns:
     return joined.select(key, outcome.alias("outcome"), *[F.when(ok, F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) for c in columns], F.when(ok, F.col("version") + 1).otherwise(F.col("version")).alias("version"))
 
 
+def update_sequence(existing: DataFrame, updates: DataFrame, key: str, *order: str) -> DataFrame:
+    """All updates with outcome (updated, conflict or not_found) and version, each seeing the version that the one before left.
+
+    existing has key (unique) and version, updates has key, expected_version and the columns of a total `order`. An
+    update without an expected version always applies. A key's updates are decided one after the other by definition:
+    they stream in order through one task that holds a version and nothing else.
+    """
+    stored = existing.select(F.col(key).alias("_key"), F.col("version").cast("long").alias("_stored"))
+    joined = updates.join(stored, F.col(key) == F.col("_key"), "left").drop("_key")
+    schema = T.StructType([*joined.drop("_stored").schema.fields, T.StructField("outcome", T.StringType()), T.StructField("version", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, version = object(), None
+        for batch in batches:
+            outcomes, versions = [], []
+            for k, stored, expected in zip(batch[key].to_pylist(), batch["_stored"].to_pylist(), batch["expected_version"].to_pylist(), strict=True):
+                if k is None or k != current:
+                    current, version = k, stored
+                if version is not None and expected in (None, version):
+                    version += 1
+                    outcomes.append("updated")
+                else:
+                    outcomes.append("not_found" if version is None else "conflict")
+                versions.append(version)
+            yield pa.RecordBatch.from_arrays([*[batch[n] for n in arrow.names[:-2]], pa.array(outcomes, pa.string()), pa.array(versions, pa.int64())], names=arrow.names)
+
+    return joined.repartition(key).sortWithinPartitions(key, *order).mapInArrow(decide, schema)
+
+
+def updated_rows(existing: DataFrame, decided: DataFrame, key: str, columns: list[str], *order: str) -> DataFrame:
+    """existing after the updates of update_sequence(): a column takes the value of the last one that applied and names it in fields_set."""
+    at = F.struct(*order)
+    last = lambda c: F.max_by(F.struct(F.col(c).alias("value")), F.when(F.array_contains("fields_set", c), at)).alias(f"_u_{c}")
+    applied = decided.filter("outcome = 'updated'").groupBy(F.col(key).alias("_key")).agg(*[last(c) for c in columns], F.max("version").alias("_version"))
+    joined = existing.join(applied, F.col(key) == F.col("_key"), "left")
+    chosen = {c: F.when(F.col(f"_u_{c}").isNotNull(), F.col(f"_u_{c}.value")).otherwise(F.col(c)) for c in columns}
+    return joined.withColumns({**chosen, "version": F.coalesce("_version", "version")}).select(*existing.columns)
+
+
 def without_where(df: DataFrame, condition: Column) -> DataFrame:
     """DELETE WHERE: rows for which the condition is null stay."""
     return df.filter(~F.coalesce(condition, F.lit(False)))

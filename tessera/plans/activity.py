@@ -7,7 +7,9 @@ from pyspark.sql.window import Window
 
 from ..functions import temporal
 from ..operators import audit, metrics, retention, transitions
-from ..operators.relational import exists, insert_absent, page, recent, top_one, upsert_keep, versioned_update
+from ..operators.foreign_keys import SET_NULL, ForeignKey, deleted
+from ..operators.relational import exists, insert_absent, page, recent, top_one, update_sequence, updated_rows, upsert_keep, versioned_update
+from ..sources.catalogue import shared_folder
 from ..streaming import stateful
 from .registry import EVENT_CLOCK, ORDER_CLOCK, clock, query
 
@@ -265,6 +267,82 @@ def optimistic_update(t):
     return versioned_update(stored, updates, "o_custkey", ["c_name"]).groupBy("o_custkey", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Updates of a customer by its orders, in their order; some name the version that they expect.
+EXPECTED = "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 4 + o_custkey % 2 END"
+FIELDS = "CASE o_orderkey % 3 WHEN 0 THEN array('status') WHEN 1 THEN array('status', 'priority') ELSE array('priority') END"
+STORED_SQL = "SELECT c_custkey AS o_custkey, CAST(c_nationkey % 3 AS BIGINT) AS version, c_mktsegment AS status, CAST(NULL AS VARCHAR) AS priority FROM customer WHERE c_custkey > 20"
+SEQUENCE_SQL = f"""
+WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority, {EXPECTED} AS expected, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders),
+s AS ({STORED_SQL}), j AS (SELECT o.*, s.version AS stored FROM o LEFT JOIN s USING (o_custkey)),
+c AS (SELECT o_custkey, r, o_orderkey, stored IS NOT NULL AND (expected IS NULL OR expected = stored) AS ok, stored + CASE WHEN expected IS NULL OR expected = stored THEN 1 ELSE 0 END AS version FROM j WHERE r = 1
+UNION ALL SELECT j.o_custkey, j.r, j.o_orderkey, c.version IS NOT NULL AND (j.expected IS NULL OR j.expected = c.version), c.version + CASE WHEN j.expected IS NULL OR j.expected = c.version THEN 1 ELSE 0 END FROM c JOIN j ON j.o_custkey = c.o_custkey AND j.r = c.r + 1)"""
+
+
+def _sequence(t):
+    stored = t.customer.filter("c_custkey > 20").selectExpr("c_custkey AS o_custkey", "CAST(c_nationkey % 3 AS BIGINT) AS version", "c_mktsegment AS status", "CAST(NULL AS STRING) AS priority")
+    updates = t.orders.selectExpr("o_custkey", "o_orderkey", "o_orderdate", f"{EXPECTED} AS expected_version", f"{FIELDS} AS fields_set", "o_orderstatus AS status", "o_orderpriority AS priority")
+    return stored, update_sequence(stored, updates, "o_custkey", "o_orderdate", "o_orderkey")
+
+
+@query("update_sequence", f"{SEQUENCE_SQL} SELECT o_custkey, o_orderkey, CASE WHEN version IS NULL THEN 'not_found' WHEN ok THEN 'updated' ELSE 'conflict' END AS outcome, version FROM c")
+def updates_in_sequence(t):
+    """Versioned updates of a key, each deciding on the version that the one before left."""
+    return _sequence(t)[1].select("o_custkey", "o_orderkey", "outcome", "version")
+
+
+LAST_SQL = "arg_max({v}, c.r) FILTER (WHERE ok AND c.o_orderkey % 3 <> {without})"
+
+
+@query(
+    "updated_rows",
+    f"{SEQUENCE_SQL}, f AS (SELECT c.o_custkey, max(c.version) FILTER (WHERE ok) AS version, {LAST_SQL.format(v='o_orderstatus', without=2)} AS status, {LAST_SQL.format(v='o_orderpriority', without=0)} AS priority FROM c JOIN o USING (o_custkey, r) GROUP BY 1) "
+    "SELECT s.o_custkey, coalesce(f.version, s.version) AS version, coalesce(f.status, s.status) AS status, f.priority FROM s LEFT JOIN f USING (o_custkey)",
+)
+def rows_after_updates(t):
+    """The customers after those updates: each applies the fields that it names."""
+    stored, decided = _sequence(t)
+    return updated_rows(stored, decided, "o_custkey", ["status", "priority"], "o_orderdate", "o_orderkey")
+
+
+# Keys of the tables; an order's parent is an order, as a reply's is a post.
+EDGES = [
+    ForeignKey("supplier", "s_nationkey", "nation", "n_nationkey", SET_NULL), ForeignKey("customer", "c_nationkey", "nation", "n_nationkey"), ForeignKey("orders", "o_custkey", "customer", "c_custkey"),
+    ForeignKey("orders", "o_parent", "orders", "o_orderkey"), ForeignKey("lineitem", "l_orderkey", "orders", "o_orderkey"), ForeignKey("lineitem", "l_partkey", "part", "p_partkey"), ForeignKey("lineitem", "l_suppkey", "supplier", "s_suppkey", SET_NULL),
+]
+GONE_SQL = """
+WITH RECURSIVE customers AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3 OR c_acctbal < -900),
+gone AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customers) UNION SELECT o.o_orderkey FROM orders o JOIN gone g ON o.o_orderkey // 3 = g.o_orderkey)"""
+
+
+def _after_delete(t):
+    tables = {n: getattr(t, n) for n in ("nation", "supplier", "customer", "part", "lineitem")}
+    tables["orders"] = t.orders.withColumn("o_parent", F.expr("o_orderkey div 3"))
+    if not t.spark.sparkContext.getCheckpointDir():
+        t.spark.sparkContext.setCheckpointDir(shared_folder(t.spark))
+    return deleted(tables, EDGES, {"nation": F.col("n_nationkey") == 3, "customer": F.col("c_acctbal") < -900, "part": F.col("p_size") == 50, "supplier": F.col("s_acctbal") < 0})
+
+
+@query(
+    "cascade_graph",
+    f"{GONE_SQL} SELECT l_orderkey, CASE WHEN s_acctbal < 0 THEN NULL ELSE l_suppkey END AS l_suppkey, count(*) AS n FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone) AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size = 50) GROUP BY 1, 2",
+)
+def cascade_graph(t):
+    """Lines after nations, customers, parts and suppliers are deleted, through customers and chains of orders."""
+    return _after_delete(t)["lineitem"].groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "cascade_counts",
+    f"{GONE_SQL} SELECT 'orders' AS \"table\", count(*) AS n, 0 AS nulls FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM gone) UNION ALL SELECT 'supplier', count(*), count(*) FILTER (WHERE s_nationkey = 3) FROM supplier WHERE s_acctbal >= 0 "
+    "UNION ALL SELECT 'customer', count(*), 0 FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customers)",
+)
+def cascade_counts(t):
+    """Rows that are left of each table, and keys that became null."""
+    left = _after_delete(t)
+    parts = [left[n].agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(c).isNull()).cast("int").alias("nulls")).select(F.lit(n).alias("table"), "n", "nulls") for n, c in (("orders", "o_custkey"), ("supplier", "s_nationkey"), ("customer", "c_nationkey"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "rate_limiter",
     "WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), c AS (SELECT user_id, r, event_id, [t] AS times, true AS allowed, 0::BIGINT AS wait FROM o WHERE r = 1 "

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import ingest
+from ..sources.catalogue import Catalogue, shared_folder
 from .registry import query
 
 #: The submitted row of a document, as expressions that Spark and the oracle both read.
@@ -57,6 +60,66 @@ def batch_import(t):
     return ingest.outcomes(rows, rows.filter("row_number % 50 = 1")).select(F.col("row_number").alias("doc_id"), "outcome")
 
 
+SITE = "CASE WHEN doc_id % 5 = 0 THEN 'https://' || source || '.example/' || CAST(doc_id % 3 AS STRING) END"
+LOADED_SQL = (
+    f"WITH r AS (SELECT *, {VALID_SQL} AS valid, {SITE} AS site FROM ({ROWS_SQL.replace('FROM documents', ', source FROM documents')}) d), "
+    f"k AS (SELECT *, row_number() OVER (PARTITION BY valid, {KEY_SQL} ORDER BY doc_id % 4, doc_id) AS nth FROM r), o AS (SELECT * FROM k WHERE valid AND nth = 1), "
+    "p AS (SELECT lower(trim(provider_name)) AS provider, arg_min(site, (doc_id % 4) * 1000000000000 + doc_id) FILTER (WHERE site IS NOT NULL) AS website_url FROM o GROUP BY 1)"
+)
+
+
+@query("seed_load", f"{LOADED_SQL} SELECT doc_id, doc_id % 4 AS batch, sha256('name:' || provider) AS provider_id, p.website_url, 1 + doc_id % 3 AS n_sources FROM o JOIN p ON p.provider = lower(trim(o.provider_name))")
+def seed_load(t):
+    """The catalogue after four batches of submitted rows, of which one was stopped before its entry and one came twice."""
+    catalogue = Catalogue(t.spark, f"{shared_folder(t.spark)}/catalogue-{uuid.uuid4().hex}")
+    more = F.transform(F.sequence(F.lit(1).cast("long"), 1 + F.col("row_number") % 3), lambda i: F.struct(F.concat(F.lit("https://a.example/"), i.cast("string")).alias("url"), F.lit("Official call").alias("title"), F.lit("Stated on the official page.").alias("relevant_excerpt")))
+    rows = t.documents.selectExpr("doc_id AS row_number", *[f"{e} AS {n}" for n, e in ROW.items()], f"{SITE} AS provider_website_url").withColumn("sources", more)
+
+    def stopped():
+        raise InterruptedError
+
+    for b in range(4):
+        batch = rows.filter(F.col("row_number") % 4 == b)
+        try:
+            catalogue.load(batch, b, stopped if b == 1 else None)
+        except InterruptedError:
+            catalogue.load(batch, b)
+        if b == 2:
+            catalogue.load(batch, b)
+    sources = catalogue.table("sources").groupBy("opportunity_id").agg(F.count(F.lit(1)).alias("n_sources"))
+    found = catalogue.table("opportunities").join(catalogue.providers().select("provider_id", "website_url"), "provider_id").join(sources, "opportunity_id")
+    return found.select(F.col("row_number").alias("doc_id"), "batch", "provider_id", "website_url", "n_sources")
+
+
+#: A rule of a part as a curator may have typed it; values are JSON.
+TYPED = {
+    "rule_type": "CASE p_partkey % 6 WHEN 0 THEN 'cgpa' WHEN 1 THEN 'nationality' WHEN 2 THEN 'ielts' WHEN 3 THEN 'field' WHEN 4 THEN 'gre' ELSE 'astrology' END",
+    "operator": "CASE p_size % 7 WHEN 0 THEN 'in' WHEN 1 THEN 'gte' WHEN 2 THEN 'equals' WHEN 3 THEN 'not_in' WHEN 4 THEN 'lte' WHEN 5 THEN 'equals' ELSE 'like' END",
+    "value": "CASE p_partkey % 5 WHEN 0 THEN '[1, 2.5]' WHEN 1 THEN '3' WHEN 2 THEN '\"x\"' WHEN 3 THEN '[\"x\", \"y\"]' ELSE NULL END",
+    "unit": "CASE WHEN p_partkey % 41 = 0 THEN repeat('u', 65) END",
+    "grading_scale": "CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 4 WHEN 2 THEN 101 ELSE 10 END",
+    "confidence": "CASE WHEN p_partkey % 37 = 0 THEN 'sure' WHEN p_partkey % 2 = 0 THEN 'high' END",
+    "curator_notes": "CASE WHEN p_partkey % 43 = 0 THEN repeat('n', 2001) END",
+}
+NUMERIC_SQL = "rule_type IN ('cgpa', 'ielts', 'gre')"
+TYPED_SQL = (
+    "CASE WHEN rule_type = 'astrology' THEN 'rule_type: Input should be a known rule type' WHEN operator = 'like' THEN 'operator: Input should be a known operator' WHEN value IS NULL THEN 'value: Field required' "
+    "WHEN length(unit) > 64 THEN 'unit: Text must have at most 64 characters' WHEN grading_scale > 100 THEN 'grading_scale: Input should be above 0 and at most 100' WHEN confidence = 'sure' THEN 'confidence: Input should be low, medium or high' "
+    f"WHEN length(curator_notes) > 2000 THEN 'curator_notes: Text must have at most 2000 characters' WHEN NOT {NUMERIC_SQL} AND operator IN ('gte', 'lte') THEN 'Categorical eligibility rules support equals, in, and not_in only' "
+    "WHEN operator IN ('in', 'not_in') AND value NOT LIKE '[%' THEN 'IN and NOT_IN rules require a list value' WHEN operator NOT IN ('in', 'not_in') AND value LIKE '[%' THEN 'EQUALS, GTE, and LTE rules require a scalar value' "
+    f"WHEN {NUMERIC_SQL} AND contains(value, 'x') THEN 'Numeric eligibility rules require numeric values' WHEN NOT {NUMERIC_SQL} AND NOT contains(value, 'x') THEN 'Categorical eligibility rules require text values' "
+    "WHEN rule_type = 'cgpa' AND grading_scale IS NULL THEN 'CGPA rules require a grading_scale' END"
+)
+
+
+@query("batch_rule_errors", f"SELECT p_partkey, 'eligibility_rules.0: ' || fault AS message FROM (SELECT p_partkey, {TYPED_SQL} AS fault FROM (SELECT p_partkey, {', '.join(f'{e} AS {n}' for n, e in TYPED.items())} FROM part) r) f WHERE fault IS NOT NULL")
+def batch_rule_errors(t):
+    """The faults of each part's rule."""
+    rule = F.struct(*[F.expr(e).alias(n) for n, e in TYPED.items()])
+    rows = t.part.select("p_partkey", F.array(rule).alias("eligibility_rules"))
+    return rows.select("p_partkey", F.explode(ingest.validation_errors(rows)).alias("message"))
+
+
 GIVEN = {
     "application_deadline": "CASE WHEN doc_id % 2 = 0 THEN '2025-01-01' END",
     "funding_type": "CASE WHEN doc_id % 3 = 0 THEN 'partial' WHEN doc_id % 3 = 1 THEN 'unknown' END",
