@@ -4,12 +4,15 @@ Each of several curves projects the vectors at random, shifts them and orders th
 cut into ranges of equal share, and Spark deals the vectors out by (curve, range). A query joins the ranges around
 its own on every curve; each range returns its best by exact inner product, and the results merge. For the largest
 inner product, vectors get one more coordinate that lifts them to equal length, and queries are scaled to that
-length, so the nearest by angle is the largest by product. Equal vectors are one node with its smallest ids. A query
-whose windows hold fewer than k others, as in tables of few vectors, is compared with every vector, in blocks.
+length, so the nearest by angle is the largest by product. The hundredth part of the vectors that is longest is set
+apart, so that no outlier flattens the rest, and meets every query. Equal vectors are one node with its smallest ids.
+A window holds a share of the table, and a number of vectors at least: in a table of few vectors, most or all of them.
+A query whose windows hold fewer than k others is compared with every vector, in blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,10 @@ from .common import sampled, table, written
 SAMPLE_ROWS = 20_000
 #: Vectors and queries of one block.
 BLOCK_ROWS = 4096
+#: Vectors of a window on each curve, at least.
+LEAST_MET = 512
+#: The share of vectors that the lifting covers; longer ones are compared with every query.
+COVERED = 0.99
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -63,10 +70,14 @@ class Curves:
         self.low = self.span = self.bounds = None
 
     def lifted(self, v: np.ndarray, as_query: bool) -> np.ndarray:
-        norms = np.linalg.norm(v, axis=1)
+        # By the largest component first: squares of very large or small ones would leave the range of doubles.
+        peak = np.abs(v).max(axis=1, keepdims=True)
+        unit = v / peak
+        norms = np.linalg.norm(unit, axis=1, keepdims=True)
         if as_query:
-            return np.hstack([v / norms[:, None], np.zeros((len(v), 1))])
-        return np.hstack([v / self.longest, np.sqrt(np.maximum(0, 1 - (norms / self.longest) ** 2))[:, None]])
+            return np.hstack([unit / norms, np.zeros((len(v), 1))])
+        length = np.minimum(norms * np.minimum(peak / self.longest, 1e9), 1)  # longer ones stand where the longest do
+        return np.hstack([unit / norms * length, np.sqrt(1 - length**2)])
 
     def fit(self, v: np.ndarray) -> None:
         lifted = self.lifted(v, False)
@@ -98,15 +109,19 @@ def _best(queries: np.ndarray, vectors: np.ndarray, ids: list[list[int]], k: int
     none that could be among the k best, or tie with them, is lost.
     """
     out = []
-    lengths = np.linalg.norm(vectors, axis=1).max(initial=0.0)
+    with np.errstate(over="ignore", invalid="ignore"):  # products beyond the range of doubles are infinite, or no number and last
+        lengths = np.linalg.norm(vectors, axis=1).max(initial=0.0)
     for at in range(0, len(queries), 256):
         part = queries[at : at + 256]
-        scores = part @ vectors.T
-        last = len(vectors) - min(k, len(vectors))
-        least = np.partition(scores, last, axis=1)[:, last] - 1e-12 * vectors.shape[1] * lengths * np.linalg.norm(part, axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = part @ vectors.T
+            last = len(vectors) - min(k, len(vectors))
+            least = np.partition(scores, last, axis=1)[:, last] - 1e-12 * vectors.shape[1] * lengths * np.linalg.norm(part, axis=1)
         for query, row, bound in zip(part, scores, least, strict=True):
-            near = np.flatnonzero(row >= bound)
-            exact = np.cumsum(query * vectors[near], axis=1)[:, -1]
+            near = np.flatnonzero(row >= bound) if np.isfinite(bound) and np.isfinite(row).all() else np.arange(len(row))
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = np.cumsum(query * vectors[near], axis=1)[:, -1]
+            exact = np.where(np.isnan(exact), -np.inf, exact)
             out.append(sorted(((float(s), i) for n, s in zip(near, exact, strict=True) for i in ids[n]), key=lambda x: (-x[0], x[1]))[:k])
     return out
 
@@ -119,7 +134,9 @@ def nearest_neighbours(
     Every row but the query's own is a candidate. Vectors that are null, zero, of another length than most, or
     hold nulls or non-finite values take no part, nor do null ids. Ties go to the smaller id; rows that agree in id
     and vector are one row. Fewer than k other rows give as many as there are. An empty table gives no rows. A query
-    is scored against a share of (2 around + 1) / ranges of the table on each curve, whatever the table's size.
+    is scored on each curve against (2 around + 1) / ranges of the table or LEAST_MET vectors, whichever are more, and
+    against the vectors longer than COVERED of all. Products beyond the range of doubles are infinite, or last where
+    they are no number.
     """
     vector = F.col(vector_col).cast("array<double>")
     valid = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v"), is_query.alias("asks")).filter("vec_id IS NOT NULL AND size(v) > 0")
@@ -135,12 +152,14 @@ def nearest_neighbours(
     ids = lowest.groupBy("node").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = valid.groupBy("node").agg(F.first("v").alias("v"), F.max("asks").alias("asks")).join(ids, "node")
     nodes = written(nodes, "nodes")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    longest, distinct = nodes.agg(F.max(norm), F.count(F.lit(1))).first()
+    peak = F.array_max(F.transform("v", F.abs))
+    norm = peak * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / peak) * (x / peak)))
+    nodes = nodes.withColumn("norm", norm)
+    longest, distinct = nodes.agg(F.percentile_approx("norm", COVERED, 10_000), F.count(F.lit(1))).first()
     index = Curves(common["dims"], curves, projected, bits, ranges, longest, seed)
     sample = sampled(nodes, F.xxhash64(F.lit(seed), "node"), SAMPLE_ROWS, distinct).select("v").toPandas()["v"].tolist()
     index.fit(np.array(sample, dtype=np.float64))
-    width = 2 * around + 1
+    width = min(max(2 * around + 1, math.ceil(LEAST_MET * ranges / distinct)), ranges)
 
     def place(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Vectors as bytes, their range on each curve, and the first range of the window of those that ask."""
@@ -149,15 +168,19 @@ def nearest_neighbours(
             if not len(m):
                 continue
             # A window is shifted inwards at the ends, so that each has as many ranges.
-            held, sought = index.ranges_of(m, False), np.clip(index.ranges_of(m, True) - around, 0, max(ranges - width, 0))
+            held, sought = index.ranges_of(m, False), np.clip(index.ranges_of(m, True) - width // 2, 0, ranges - width)
             raw = pa.array([r.tobytes() for r in m], pa.binary())
             lists = [pa.array(x.T.astype(np.int32).tolist(), pa.list_(pa.int32())) for x in (held, sought)]
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["asks"], batch["ids"], raw, *lists], names=["node", "asks", "ids", "raw", "held", "sought"])
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("node", "asks", "ids", "long")], raw, *lists], names=["node", "asks", "ids", "long", "raw", "held", "sought"])
 
-    placed = written(nodes.select("node", "asks", "ids", "v").mapInArrow(place, "node string, asks boolean, ids array<long>, raw binary, held array<int>, sought array<int>"), "placed", instead_of=nodes)
+    long = (F.col("norm") > F.lit(longest)).alias("long")
+    placed = nodes.select("node", "asks", "ids", long, "v").mapInArrow(place, "node string, asks boolean, ids array<long>, long boolean, raw binary, held array<int>, sought array<int>")
+    placed = written(placed, "placed")
     vectors = placed.select(F.posexplode("held").alias("curve", "part"), "node", "raw", "ids")
+    every = [F.lit(-1).alias("curve"), F.lit(0).alias("part"), "node", "raw"]
+    vectors = vectors.unionByName(placed.filter("long").select(*every, "ids"))
     queries = placed.filter("asks").select(F.posexplode("sought").alias("curve", "first"), "node", "raw")
-    queries = queries.select("curve", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + width, F.lit(ranges)) - 1)).alias("part"), "node", "raw")
+    queries = queries.select("curve", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + width, F.lit(ranges)) - 1)).alias("part"), "node", "raw").unionByName(placed.filter("asks").select(*every))
     found = written(_searched(vectors, queries, k), "found")
     # Few vectors in the windows: the query meets all, as a curve of one range.
     enough = found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k).select("node")

@@ -309,3 +309,27 @@ def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id, r.score) for r in nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 0.5)]
     assert nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("size,change", [(200, None), (500, "long"), (2000, None), (2000, "huge"), (6000, "spread")])
+def test_recall_at_every_size_and_with_long_vectors(spark, size, change):
+    """Uniform vectors of 64 dimensions, the hardest case; one a thousand or 1e200 times as long, or lengths of all orders."""
+    draw = np.random.default_rng(size)
+    x = draw.normal(size=(size, 64))
+    if change == "spread":
+        x *= np.exp(draw.normal(size=(size, 1)))
+    elif change:
+        x[7] *= 1e3 if change == "long" else 1e200
+    got = found_by(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    hits = 0
+    for q, found in got.items():
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        hits += len({v for v, _ in found} & set(np.argsort(-exact, kind="stable")[:20].tolist()))
+    assert len(got) == len(range(0, size, 20)) and hits / (20 * len(got)) >= 0.9
+
+
+def test_products_out_of_range_keep_every_rank(spark):
+    rows = [(i, [10.0 ** (310 - 2 * i) if i > 1 else 1e308, 1.0]) for i in range(30)] + [(40, [-1e308, 1.0]), (41, [1e-300, 1e-300])]
+    got = found_by(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert set(got) == {0, 20, 40} and all(len(f) == 20 for f in got.values()) and got[0][0] == (1, float("inf"))
