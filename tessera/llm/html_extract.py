@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one a block element, and every line gets a weight, its characters outside links. The
-weights are summed over sliding windows of lines; a text starts where the sum surges and ends where it dives to
-nothing. Markup only chooses weights: lines of menus, footers, sidebars, forms and reader comments weigh nothing, a
-line of an article or main element weighs at least a surge, and lines that may be no part of the article (those outside
-its element, those of parts named as adverts, notices and the like) are summed apart, at a discount, and stay only if
-their own sums rival the article's. Where names would leave a page without text they are not heeded.
+Markup is stripped to lines, one a block element, and every line gets a weight: its characters, or nothing where most
+of them are links. Weights are summed over sliding windows of lines; a text starts where the sum surges and ends where
+it dives to nothing, and what lies between is kept, single lines of links too. A block of links or a trailing one is
+cut off, in an article too. Markup chooses the lines that take part: those of menus, footers, sidebars, forms, reader
+comments and of parts named as adverts, notices and the like weigh nothing and never return; where a page has an
+article or main element with text, lines outside it weigh nothing either, and each line inside that is no link is a
+surge by itself, so that short paragraphs stay.
 """
 
 from __future__ import annotations
@@ -20,7 +21,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: A comment, declaration or tag. Quoted attribute values may hold `>`.
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+#: A value of over 4,096 characters, or a quote without its end, ends with the next angle bracket: no search runs on.
+MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/<>]*)((?>(?:\"[^\"]{0,4096}\"|'[^']{0,4096}'|[^'\"<>])*)(?=>|\Z)|[^<>]*)(?:>|\Z|(?=<))",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"(?:\b(?:class|id|role)\s*=\s*)(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Elements without text of their own, elements that start and end a line, elements that never hold the
 #: article, words in class, id or role that name such a part, and elements that have no end tag.
@@ -51,19 +57,19 @@ RAW = frozenset("script style textarea title noscript iframe svg template".split
 CLOSES_P = BLOCKS - {"br", "html", "body"}
 
 
-#: Kinds of lines: of elements that never hold the article, of parts named as such, of other named parts, of an article
-#: or main element, of none of these.
-DROPPED, NAMED_APART, NAMED_PART, ARTICLE, PLAIN = range(5)
-#: What divides the weight of lines outside the page's article element, and of named parts.
-OUTSIDE, PART = 4, 8
+#: Kinds of lines: of parts that are never the article, of an article or main element, of neither.
+DROPPED, ARTICLE, PLAIN = range(3)
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, weight, kind) of each line: its weight is its characters, or 0 if most of them are links outside an article."""
+    """(text, weight, kind) of each line: its weight is its characters, or 0 if most of them are links. Time is linear in the page."""
     out: list[tuple[str, int, int]] = []
     line: list[str] = []
     linked = 0
     open_: list[tuple[str, bool, bool, bool, bool, int]] = []  # name, drops its text, named apart, named, is an article, named parts that it resets
+    depths: dict[str, list[int]] = {}  # places in open_ of the open elements of a name
+    blocks: list[int] = []  # places of the open block elements
+    endless: set[str] = set()  # names of raw elements that have no end tag in the rest of the page
     dropped = apart = named = articles = links = 0
     kind = PLAIN
 
@@ -71,7 +77,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         nonlocal linked
         text = " ".join("".join(line).split())
         if text:
-            out.append((text, 0 if linked * 2 > len(text) and kind != ARTICLE else len(text), kind))
+            out.append((text, 0 if linked * 2 > len(text) else len(text), kind))
         line.clear()
         linked = 0
 
@@ -80,16 +86,20 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if not text:
             return
         if not line:
-            kind = DROPPED if dropped else NAMED_APART if apart else NAMED_PART if named else ARTICLE if articles else PLAIN
+            kind = DROPPED if dropped or apart or named else ARTICLE if articles else PLAIN
         text = html.unescape(text)
         line.append(text)
         if links:
             linked += len(" ".join(text.split()))
 
-    def close(count: int) -> None:
+    def close(place: int) -> None:
+        """Closes the element at this place and all within it."""
         nonlocal dropped, apart, named, articles, links
-        for _ in range(count):
+        while len(open_) > place:
             name, drops, is_apart, by_name, article, reset = open_.pop()
+            depths[name].pop()
+            if blocks and blocks[-1] == len(open_):
+                blocks.pop()
             dropped -= drops
             apart -= is_apart
             named += reset - by_name
@@ -112,28 +122,24 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if m[1]:
             if name in BLOCKS:
                 end_line()
-            for depth in range(1, len(open_) + 1):
-                if open_[-depth][0] == name:
-                    close(depth)
-                    break
-                if name not in BLOCKS and open_[-depth][0] in BLOCKS:
-                    break  # an inline end tag does not reach out of its block
+            places = depths.get(name)
+            # An inline end tag does not reach out of its block.
+            if places and (name in BLOCKS or not blocks or places[-1] > blocks[-1]):
+                close(places[-1])
             continue
         if name in BLOCKS:
             end_line()
         if name in RAW:
-            stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            stop = None if name in endless else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            if stop is None:
+                endless.add(name)
             at = stop.end() if stop else (end if name in ("script", "style", "textarea", "title") else at)
             continue
         if name in VOID:
             continue
         if name in CLOSES_P:
-            for depth in range(1, len(open_) + 1):
-                if open_[-depth][0] == "p":
-                    close(depth)
-                    break
-                if open_[-depth][0] in BLOCKS:
-                    break
+            if blocks and open_[blocks[-1]][0] == "p":
+                close(blocks[-1])
         if m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
         names = [LAYOUT.sub("", v.strip("\"'")) for v in ATTRIBUTE.findall(m[3])] if name not in ("html", "body", "article", "main") else []
@@ -146,8 +152,11 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         by_name = not is_apart and any(NAMED.search(v) for v in names)
         article = name in ("article", "main") and not dropped and not apart
         # The page's article may lie in a named wrapper; one in a named part of an article is not the page's.
-        resets = named if article and (name == "main" or not any(o[0] == "article" and o[4] for o in open_)) else 0
+        resets = named if article and (name == "main" or not any(open_[d][4] for d in depths.get("article", []))) else 0
         article = article and named == resets
+        depths.setdefault(name, []).append(len(open_))
+        if name in BLOCKS:
+            blocks.append(len(open_))
         open_.append((name, drops, is_apart, by_name, article, resets))
         dropped += drops
         apart += is_apart
@@ -166,37 +175,31 @@ def sums_of(weights: list[float], window: int) -> list[float]:
 def stretches(weights: list[float], window: int, least: float) -> list[tuple[int, int]]:
     """Half-open stretches of lines between surge and dive points of the sliding sums.
 
-    A stretch begins at a weighing line and ends where a whole window of lines has no weight; it counts if some
-    window in it reaches `least`.
+    A stretch begins at a weighing line, ends after the last one before a whole window of lines without weight, and
+    counts if some window in it reaches `least`.
     """
     sums, out, i = sums_of(weights, window), [], 0
     while i < len(weights):
         if not weights[i]:
             i += 1
             continue
-        start, peak = i, 0
+        start, peak, last = i, 0, i
         while i < len(weights) and sums[i]:
-            peak = max(peak, sums[i])
+            peak, last = max(peak, sums[i]), i if weights[i] else last
             i += 1
         if peak >= least:
-            out.append((start, i))
+            out.append((start, last + 1))
     return out
 
 
 def chosen_lines(lines: list[tuple[str, int, int]], window: int, surge: int) -> list[int]:
     """Numbers of the lines between surge and dive points, from the weights and kinds of lines_of()."""
-    layer = lambda *kinds: [w if k in kinds else 0 for _, w, k in lines]
-    main, outside, parts = layer(ARTICLE), layer(PLAIN), layer(NAMED_PART)
-    if not any(main):
-        main, outside = outside, main
-    if not any(main):
-        main, parts = layer(NAMED_PART, NAMED_APART), outside
-    most = max(sums_of(main, window), default=0)
-    # In the article's element every line is a surge by itself; elsewhere a window of lines has to be one.
-    floored = [max(w, surge) if w and k == ARTICLE else w for w, (_, _, k) in zip(main, lines, strict=True)]
-    rival = max(surge, most / 5)
-    layers = [(floored, surge if most >= surge else max(1, most // 5)), ([w / OUTSIDE for w in outside], rival), ([w / PART for w in parts], rival)]
-    return sorted(i for weights, least in layers for start, stop in stretches(weights, window, least) for i in range(start, stop) if weights[i])
+    own = ARTICLE if any(w for _, w, k in lines if k == ARTICLE) else PLAIN
+    weights = [(max(w, surge) if own == ARTICLE and w else w) if k == own else 0 for _, w, k in lines]
+    most = max(sums_of(weights, window), default=0)
+    # A page without any surge is a short text.
+    found = stretches(weights, window, surge if most >= surge else max(1, most // 5))
+    return [i for start, stop in found for i in range(start, stop) if lines[i][2] == own]
 
 
 def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
