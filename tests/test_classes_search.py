@@ -109,3 +109,26 @@ def test_first_matches_are_cut_by_id(spark):
     questions = spark.createDataFrame([(1, ["same", "text 98"]), (2, []), (3, ["none"])], "q long, tokens array<string>")
     held = {r.q: [x.id for x in r.held] for r in services.candidates(questions, records, ["q"], 4).collect()}
     assert held == {1: [1, 3, 5, 7], 2: [0, 1, 2, 3], 3: []}
+
+
+def test_like_names_are_found_through_few_characters(spark):
+    """Every pair of a block that reaches the similarity, as comparing all pairs finds it, from far fewer candidates."""
+    from difflib import SequenceMatcher
+
+    from tessera.operators import dedup
+
+    draw = random.Random(9)
+    words = ["small", "ring", "bolt", "large", "steel", "cog", "valve", "pipe", "brass"]
+    names = {" ".join(draw.choices(words, k=draw.randint(1, 3))) for _ in range(120)} | {"", "a", "aa", "aab", "é ring", "e ring"}
+    names |= {n.replace("l", "1", 1) for n in sorted(names)[:40]}
+    rows = [(i, n, draw.choice("uv")) for i, n in enumerate(sorted(names))]
+    df = spark.createDataFrame(rows, "id long, name string, block string")
+    for least in (0.8, 0.6):
+        candidates = {(r.block, r.x, r.y) for r in dedup.like_candidates(df.select("block", "name").distinct(), least).collect()}
+        ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
+        pairs = [(b, *sorted((x, y))) for i, x, b in rows for j, y, c in rows if b == c and x < y]
+        reaching = {p for p in pairs if max(ratio(p[1], p[2]), ratio(p[2], p[1])) >= least}
+        assert reaching <= candidates and len(candidates) < len(pairs) / 2
+        got = {(r.id, r.other) for r in dedup.class_suggestions(df, least).collect()}
+        place = {(b, n): i for i, n, b in rows}
+        assert got == {(max(i, j), min(i, j)) for i, x, b in rows for j, y, c in rows if b == c and i > j and ratio(x, y) >= least} and place
