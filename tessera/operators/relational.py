@@ -96,11 +96,6 @@ def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def children(df: DataFrame, key: str, name: str, *columns: str) -> DataFrame:
-    """key -> sorted array of structs, for nesting child rows below their parent."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
-
-
 def upsert_keep(existing: DataFrame, incoming: DataFrame, keys: list[str], fill: list[str]) -> DataFrame:
     """Get-or-create: existing rows stay and only fill nulls of `fill`; new keys are added once."""
     new = incoming.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in fill])

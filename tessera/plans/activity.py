@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import temporal
 from ..operators import audit, metrics, retention, transitions
+from ..operators.export import nested_json
 from ..operators.foreign_keys import SET_NULL, ForeignKey, deleted
 from ..operators.relational import exists, insert_absent, page, recent, top_one, update_sequence, updated_rows, upsert_keep, versioned_update
 from ..sources.catalogue import shared_folder
@@ -366,14 +367,19 @@ def user_sessions(t):
     return counted.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("export_account", "SELECT c_custkey, count(o_orderkey) AS n_orders, coalesce(sum(o_orderkey), 0)::BIGINT AS key_sum FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@query(
+    "export_account",
+    "SELECT c_custkey, 0 AS section, 0 AS place, '{\"c_custkey\":' || c_custkey || ',\"c_mktsegment\":\"' || c_mktsegment || '\",\"orders\":[' AS fragment FROM customer "
+    "UNION ALL SELECT o_custkey, 1, nth, CASE WHEN nth > 1 THEN ',' ELSE '' END || '{\"o_orderkey\":' || o_orderkey || '}' FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) o "
+    "UNION ALL SELECT c_custkey, 2, 0, '],\"events\":[' FROM customer "
+    "UNION ALL SELECT user_id, 3, nth, CASE WHEN nth > 1 THEN ',' ELSE '' END || '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events WHERE user_id IN (SELECT c_custkey FROM customer)) e "
+    "UNION ALL SELECT c_custkey, 4, 0, ']}' FROM customer",
+)
 def export_account(t):
-    from ..operators.relational import children
-
-    nested = children(t.orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "orders", "o_orderkey", "o_orderstatus")
-    joined = t.customer.join(nested, "c_custkey", "left")
-    keys = F.aggregate("orders", F.lit(0).cast("long"), lambda a, o: a + o.o_orderkey)
-    return joined.select("c_custkey", F.coalesce(F.size("orders"), F.lit(0)).cast("long").alias("n_orders"), F.coalesce(keys, F.lit(0)).alias("key_sum"))
+    """Everything of each account as nested JSON: its orders and its events, each in their order."""
+    orders, events = t.orders.withColumnRenamed("o_custkey", "c_custkey"), t.events.withColumnRenamed("user_id", "c_custkey")
+    sections = {"orders": (orders, ["o_orderkey"], ["o_orderdate", "o_orderkey"]), "events": (events, ["event_id", "event_type"], ["ts", "event_id"])}
+    return nested_json(t.customer, "c_custkey", ["c_custkey", "c_mktsegment"], sections)
 
 
 @query("evidence_references", "SELECT l_orderkey, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 5)")

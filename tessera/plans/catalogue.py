@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar, temporal
 from ..operators import quality
-from ..operators.relational import any_of, by_alias, children, exists, flagged, like_anywhere, not_exists, page, page_info, top_one
+from ..operators.export import nested_json
+from ..operators.relational import any_of, by_alias, exists, flagged, like_anywhere, not_exists, page, page_info, top_one
 from .registry import ORDER_CLOCK, clock, query
 
 
@@ -418,15 +419,19 @@ def canonical_identity_conflicts(t):
     return placed.filter("_at > 1").drop("_at")
 
 
+LINES_SQL = "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_shipdate, l_extendedprice) AS nth, l_linenumber, l_returnflag FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"
+
+
 @query(
     "export_nested",
-    "SELECT o_orderkey, count(l_orderkey) AS n_lines, coalesce(string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag, l_linestatus), '') AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
+    "SELECT o_orderkey, 0 AS section, 0 AS place, '{\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\",\"lines\":[' AS fragment FROM orders "
+    f"UNION ALL SELECT l_orderkey, 1, nth, CASE WHEN nth > 1 THEN ',' ELSE '' END || '{{\"l_linenumber\":' || l_linenumber || ',\"l_returnflag\":\"' || l_returnflag || '\"}}' FROM ({LINES_SQL}) l UNION ALL SELECT o_orderkey, 2, 0, ']}}' FROM orders",
 )
 def export_nested(t):
-    nested = children(t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "children", "l_linenumber", "l_returnflag", "l_linestatus")
-    joined = t.orders.select("o_orderkey").join(nested, "o_orderkey", "left")
-    text = F.array_join(F.transform("children", lambda c: F.concat_ws(":", c.l_linenumber.cast("string"), c.l_returnflag)), ",")
-    return joined.select("o_orderkey", F.coalesce(F.size("children"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(text, F.lit("")).alias("lines"))
+    """Orders with their lines as nested JSON, in fragments to be written one after the other."""
+    lines = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate", "l_extendedprice"]
+    return nested_json(t.orders, "o_orderkey", ["o_orderkey", "o_orderstatus"], {"lines": (lines, ["l_linenumber", "l_returnflag"], order)})
 
 
 @query("tenant_view", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE EXISTS (SELECT 1 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey = l_orderkey AND c_nationkey = 3)")

@@ -122,3 +122,22 @@ def test_deletes_follow_the_graph(spark, tmp_path):
 def test_cycles_of_several_tables_are_refused():
     with pytest.raises(ValueError):
         order_of(["a", "b"], [ForeignKey("a", "x", "b", "id"), ForeignKey("b", "y", "a", "id")])
+
+
+def test_nested_export_is_json_in_order(spark, tmp_path):
+    import json
+
+    from tessera.operators.export import nested_json, written_nested
+
+    parents = spark.createDataFrame([(1, 'a "quoted" one'), (2, None), (3, "]}"), (None, "x")], "k long, name string")
+    posts = spark.createDataFrame([(1, i, f"p{i}") for i in range(30, 0, -1)] + [(9, 1, "orphan"), (None, 2, "none"), (3, 1, "]}")], "k long, n int, text string")
+    notes = spark.createDataFrame([(2, 5), (2, 4)], "k long, n int")
+    fragments = nested_json(parents, "k", ["k", "name"], {"posts": (posts, ["n", "text"], ["n"]), "notes": (notes, ["n"], ["n"])})
+    texts = {}
+    for r in sorted(fragments.collect(), key=lambda r: (r.k, r.section, r.place)):
+        texts[r.k] = texts.get(r.k, "") + r.fragment
+    want = {1: {"k": 1, "name": 'a "quoted" one', "posts": [{"n": i, "text": f"p{i}"} for i in range(1, 31)], "notes": []}, 2: {"k": 2, "name": None, "posts": [], "notes": [{"n": 4}, {"n": 5}]}, 3: {"k": 3, "name": "]}", "posts": [{"n": 1, "text": "]}"}], "notes": []}}
+    assert {k: json.loads(t) for k, t in texts.items()} == want
+    written_nested(fragments, "k", str(tmp_path / "out"))
+    lines = [x for f in (tmp_path / "out").glob("part-*") for x in f.read_text().split("\n") if x.strip()]
+    assert {json.loads(x)["k"]: json.loads(x) for x in lines} == want
