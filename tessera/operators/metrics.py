@@ -42,3 +42,16 @@ def nearest_rank(df: DataFrame, by: str, value: str, shares: list[float], blocks
     place = lambda s: F.bround((F.col("_all") - 1) * F.lit(s), 0)
     at = lambda s: F.max(F.when((place(s) < F.col("_end")) & (place(s) >= F.col("_end") - F.col("_n")), F.col(value)))
     return ranked.groupBy(by).agg(*[at(s).alias(f"p{round(s * 100)}") for s in shares], F.max(value).alias("max"), F.sum("_n").alias("n"))
+
+
+def job_totals(runs: DataFrame, job: str = "job") -> DataFrame:
+    """Of each job's runs (started_at, completed_at, processed, error): processed and failed in all, the last run's error and the durations.
+
+    A failed run has an error and processes nothing; the last error is null once a later run went through.
+    """
+    failed = F.col("error").isNotNull()
+    duration = F.greatest(F.lit(0).cast("long"), F.floor((F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1000).cast("long"))
+    last = F.max_by(F.struct("error"), F.struct("completed_at", "started_at", F.coalesce("error", F.lit("")))).getField("error")
+    return runs.groupBy(job).agg(
+        F.sum(F.when(failed, 0).otherwise(F.greatest(F.col("processed"), F.lit(0)))).alias("processed"), F.count_if(failed).alias("failed"), last.alias("last_error"), F.sum(duration).alias("duration_ms"), F.max(duration).alias("longest_ms")
+    )

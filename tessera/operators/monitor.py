@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalar, temporal
+
 
 def changes(stored: DataFrame, observed: DataFrame, key: str) -> DataFrame:
     """Each observed source with its change: initialised (no stored hash), changed, unchanged, or failed (no hash seen).
@@ -16,8 +18,33 @@ def changes(stored: DataFrame, observed: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("change", change).withColumn("needs_review", F.col("change") == "changed")
 
 
+def due(sources: DataFrame, active: DataFrame, key: str, now: Column, interval_days: int = 7, fresh_days: int = 90) -> DataFrame:
+    """Verified official sources of active opportunities to look at: never looked at, not for `interval_days`, or verified over `fresh_days` ago.
+
+    sources has key, source_type, verification_status, last_updated_at and last_verified_at; active has key.
+    """
+    long_ago = lambda c, n: F.col(c) <= now - temporal.days(n)
+    waiting = F.col("last_updated_at").isNull() | long_ago("last_updated_at", interval_days) | long_ago("last_verified_at", fresh_days)
+    own = sources.filter((F.col("source_type") == "official") & (F.col("verification_status") == "officially_verified") & waiting)
+    return own.join(active.select(key), key, "left_semi")
+
+
 def summary(found: DataFrame) -> DataFrame:
-    return found.agg(F.count(F.lit(1)).alias("checked"), *[F.count_if(F.col("change") == c).alias(c) for c in ("changed", "unchanged", "initialised")])
+    """Of a run: candidates, those checked (not failed), and each change's number."""
+    kinds = ("changed", "unchanged", "initialised", "failed")
+    return found.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("change") != "failed").alias("checked"), *[F.count_if(F.col("change") == c).alias(c) for c in kinds])
+
+
+def records(found: DataFrame, key: str, url: str, text: str) -> DataFrame:
+    """A record of each check that did not fail: status note, hashes, and the excerpt that a change captures."""
+    at = F.col(url)
+    note = (
+        F.when(F.col("change") == "initialised", F.concat(F.lit("Automated source monitor recorded initial content hash from "), at, F.lit(".")))
+        .when(F.col("change") == "changed", F.concat(F.lit("Automated source monitor detected changed content at "), at, F.lit(".")))
+        .otherwise(F.concat(F.lit("Automated source monitor found no content-hash change at "), at, F.lit(".")))
+    )
+    seen = F.when(F.col("change") == "changed", scalar.excerpt(F.col(text)))
+    return found.filter("change <> 'failed'").select(key, "change", note.alias("notes"), F.col("content_hash").alias("previous_hash"), F.col("observed_hash").alias("current_hash"), seen.alias("excerpt"))
 
 
 def applied(sources: DataFrame, found: DataFrame, key: str, now) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar, temporal
-from ..operators import quality
+from ..operators import monitor, quality
 from ..operators.export import nested_json
 from ..operators.relational import any_of, by_alias, exists, flagged, like_anywhere, not_exists, page, page_info, top_one
 from .registry import ORDER_CLOCK, clock, query
@@ -187,10 +187,26 @@ def current_cycle(t):
     return top_one(t.lineitem, ["l_orderkey"], *order).select("l_orderkey", F.col("l_linenumber"), "l_shipdate", archived.alias("archived"))
 
 
-@query("due_sources", "SELECT l_orderkey, l_partkey, l_shipdate FROM lineitem WHERE l_shipdate IS NULL OR l_shipdate <= TIMESTAMP '1998-09-01 00:00:00' - INTERVAL 7 DAY ORDER BY l_shipdate NULLS FIRST, l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 20")
+MONITORED = {
+    "o_orderkey": "l_orderkey",
+    "source_id": "l_partkey * 100000 + l_suppkey",
+    "source_type": "CASE WHEN l_returnflag = 'A' THEN 'provider' ELSE 'official' END",
+    "verification_status": "CASE WHEN l_linestatus = 'O' THEN 'officially_verified' ELSE 'needs_review' END",
+    "last_updated_at": "CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE l_shipdate + INTERVAL '20' DAY END",
+    "last_verified_at": "l_shipdate",
+}
+MONITORED_SQL = ", ".join(f"{e} AS {n}" for n, e in MONITORED.items())
+
+
+@query(
+    "due_sources",
+    f"SELECT o_orderkey, source_id, last_updated_at FROM (SELECT {MONITORED_SQL}, l_linenumber FROM lineitem) s WHERE source_type = 'official' AND verification_status = 'officially_verified' AND (last_updated_at IS NULL OR last_updated_at <= TIMESTAMP '1998-09-01 00:00:00' - INTERVAL 7 DAY "
+    "OR last_verified_at <= TIMESTAMP '1998-09-01 00:00:00' - INTERVAL 90 DAY) AND o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') ORDER BY last_updated_at NULLS FIRST, o_orderkey, source_id LIMIT 20",
+)
 def due_sources(t):
-    due = t.lineitem.filter(F.col("l_shipdate").isNull() | (F.col("l_shipdate") <= today() - temporal.days(7)))
-    return page(due, [F.col("l_shipdate").asc_nulls_first(), F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")], 20).select("l_orderkey", "l_partkey", "l_shipdate")
+    found = t.lineitem.selectExpr(*[f"{e} AS {n}" for n, e in MONITORED.items()])
+    due = monitor.due(found, t.orders.filter("o_orderstatus <> 'P'"), "o_orderkey", today())
+    return page(due, [F.col("last_updated_at").asc_nulls_first(), F.col("o_orderkey"), F.col("source_id")], 20).select("o_orderkey", "source_id", "last_updated_at")
 
 
 @query("lifecycle_reconcile", f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND {STATE_SQL} = 'closed' THEN 'expired' ELSE o_orderstatus END AS status FROM orders")

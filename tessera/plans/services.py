@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar, temporal
-from ..operators import dedup, services
+from ..operators import dedup, metrics, services
 from ..operators.relational import by_key, nulled_where_gone, page, top_one, updated_where, without_where
 from .catalogue import BEST_SQL, STATE_SQL, best_source_per_order, public, with_state
 from .registry import EVENT_CLOCK, ORDER_CLOCK, clock, query
@@ -182,15 +182,24 @@ def cascade_set_null(t):
     return nulled_where_gone(t.orders, t.customer.filter("c_acctbal >= 0"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("sealed_objects", "SELECT doc_id, text, true AS sealed, true AS bound FROM documents")
+@query("sealed_objects", "SELECT doc_id, text, true AS bound FROM documents")
 def sealed_objects(t):
-    """Texts sealed under keys of their own and opened again; a sealed text differs from its plain one and opens under its name alone."""
+    """Texts sealed in envelopes and opened again; an envelope opens under its own name and master key alone."""
     name = F.col("doc_id").cast("string")
-    data = scalar.sealed(F.col("text"), "master", name)
-    made = t.documents.select("doc_id", "text", data.alias("data"))
-    opened = scalar.opened(F.col("data"), "master", F.col("doc_id").cast("string"))
-    bound = F.try_aes_decrypt("data", F.unhex(F.sha2(F.concat(F.lit("master:"), F.lit("x")), 256)), F.lit("GCM"), F.lit("DEFAULT"), F.lit("x").cast("binary")).isNull()
-    return made.select("doc_id", opened.alias("text"), (F.col("data") != F.col("text").cast("binary")).alias("sealed"), bound.alias("bound"))
+    made = t.documents.select("doc_id", scalar.sealed(F.col("text"), "master", name).alias("envelope"))
+    bound = scalar.opened(F.col("envelope"), "master", F.lit("x")).isNull() & scalar.opened(F.col("envelope"), "other", name).isNull()
+    return made.select("doc_id", scalar.opened(F.col("envelope"), "master", name).alias("text"), bound.alias("bound"))
+
+
+@query("pseudonyms", "SELECT user_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3), substr(h, 21, 12)) AS pseudonym FROM (SELECT DISTINCT user_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('community:' || user_id)) AS h FROM events) e")
+def pseudonyms(t):
+    return t.events.select("user_id").distinct().select("user_id", scalar.pseudonym(F.col("user_id")).alias("pseudonym"))
+
+
+@query("currency_checks", "SELECT c_custkey, observed = 'EUR' AND c_acctbal > 0 AS ok FROM (SELECT *, CASE c_custkey % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' ELSE 'EURO' END AS observed FROM customer) c")
+def currency_checks(t):
+    observed = F.get(F.array(F.lit(" eur"), F.lit("USD"), F.lit("EUR"), F.lit("EURO")), (F.col("c_custkey") % 4).cast("int"))
+    return t.customer.select("c_custkey", scalar.currency_ok(F.lit("EUR "), observed, F.col("c_acctbal")).alias("ok"))
 
 
 @query("event_page", "SELECT event_id, ts FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 5")
@@ -330,13 +339,20 @@ def first_values(t):
     return listed.select("o_custkey", F.array_join(F.transform("all", lambda x: x.o_orderpriority), ",").alias("priorities"))
 
 
+RUNS_SQL = "SELECT user_id % 10 AS job, event_id, ts AS completed_at, coalesce(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS started_at, CAST(floor(value) AS BIGINT) AS processed, CASE WHEN event_type = 'error' THEN 'Error' || (event_id % 3) END AS error FROM events"
+LONG_SQL = "greatest(0, (epoch_us(completed_at) - epoch_us(started_at)) // 1000)"
+
+
 @query(
     "job_totals",
-    "SELECT user_id % 10 AS job, count(*) FILTER (WHERE event_type <> 'error') AS processed, count(*) FILTER (WHERE event_type = 'error') AS failed, max_by(event_id, (ts, event_id)) FILTER (WHERE event_type = 'error') AS last_error FROM events GROUP BY 1",
+    f"SELECT job, CAST(sum(CASE WHEN error IS NULL THEN greatest(processed, 0) ELSE 0 END) AS BIGINT) AS processed, count(error) AS failed, max_by(coalesce(error, ''), (completed_at, started_at, coalesce(error, ''))) AS last_error, CAST(sum({LONG_SQL}) AS BIGINT) AS duration_ms, max({LONG_SQL}) AS longest_ms FROM ({RUNS_SQL}) r GROUP BY 1",
 )
 def job_totals(t):
-    wrong = F.col("event_type") == "error"
-    return t.events.groupBy((F.col("user_id") % 10).alias("job")).agg(F.count_if(~wrong).alias("processed"), F.count_if(wrong).alias("failed"), F.max_by(F.when(wrong, F.col("event_id")), F.when(wrong, F.struct("ts", "event_id"))).alias("last_error"))
+    """A run ends with each event of a user and began with the one before."""
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    error = F.when(F.col("event_type") == "error", F.concat(F.lit("Error"), (F.col("event_id") % 3).cast("string")))
+    runs = t.events.select((F.col("user_id") % 10).alias("job"), F.col("ts").alias("completed_at"), F.coalesce(before, "ts").alias("started_at"), F.floor("value").alias("processed"), error.alias("error"))
+    return metrics.job_totals(runs).withColumn("last_error", F.coalesce("last_error", F.lit("")))
 
 
 @query("change_records", "SELECT page_id, lag(page_id) OVER (PARTITION BY regexp_extract(url, '^[a-z]+://[^/]+') ORDER BY page_id) AS previous FROM pages")

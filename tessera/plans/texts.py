@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import scalar
 from ..operators import dedup, monitor, services
 from ..operators.relational import exists, flagged, not_exists
-from .registry import query
+from .registry import EVENT_CLOCK, clock, query
 
 #: White space as trims know it.
 WHITE_SQL = " || ".join(f"chr({ord(c)})" for c in scalar.WHITE)
@@ -101,15 +101,18 @@ def clean_lines(t):
     return t.documents.select("doc_id", F.length("text").cast("long").alias("n_before"), scalar.text_lines(marked).alias("clean"))
 
 
-CHANGE_SQL = (
-    f"SELECT page_id, CASE WHEN previous IS NULL THEN 'initialised' WHEN previous <> current THEN 'changed' ELSE 'unchanged' END AS change FROM (SELECT page_id, sha256({EVIDENCE_SQL}) AS current, CASE WHEN page_id % 10 = 0 THEN NULL WHEN page_id % 3 = 0 THEN sha256(html) ELSE sha256({EVIDENCE_SQL}) END AS previous FROM pages) t"
-)
+# Every eleventh page cannot be fetched.
+FETCHED_SQL = f"SELECT page_id, url, {EVIDENCE_SQL} AS evidence, CASE WHEN page_id % 11 <> 5 THEN sha256({EVIDENCE_SQL}) END AS current, CASE WHEN page_id % 10 = 0 THEN NULL WHEN page_id % 3 = 0 THEN sha256(html) ELSE sha256({EVIDENCE_SQL}) END AS previous FROM pages"
+CHANGED_SQL = f"SELECT *, CASE WHEN current IS NULL THEN 'failed' WHEN previous IS NULL THEN 'initialised' WHEN previous <> current THEN 'changed' ELSE 'unchanged' END AS change FROM ({FETCHED_SQL}) t"
+CHANGE_SQL = f"SELECT page_id, change FROM ({CHANGED_SQL}) d"
 
 
 def page_changes(t):
-    current = scalar.content_hash(scalar.evidence_text(F.col("html")))
-    stored = t.pages.select("page_id", F.when(F.col("page_id") % 10 == 0, None).when(F.col("page_id") % 3 == 0, scalar.content_hash(F.col("html"))).otherwise(current).alias("content_hash"))
-    return monitor.changes(stored, t.pages.select("page_id", current.alias("observed_hash")), "page_id")
+    text = scalar.evidence_text(F.col("html"))
+    pages = t.pages.select("page_id", "url", "html", text.alias("evidence"))
+    current = scalar.content_hash(F.col("evidence"))
+    stored = pages.select("page_id", F.when(F.col("page_id") % 10 == 0, None).when(F.col("page_id") % 3 == 0, scalar.content_hash(F.col("html"))).otherwise(current).alias("content_hash"))
+    return monitor.changes(stored, pages.select("page_id", "url", "evidence", F.when(F.col("page_id") % 11 != 5, current).alias("observed_hash")), "page_id")
 
 
 @query("change_detection", CHANGE_SQL)
@@ -117,11 +120,35 @@ def change_detection(t):
     return page_changes(t).select("page_id", "change")
 
 
-@query("change_summary", f"SELECT count(*) AS checked, count(*) FILTER (WHERE change = 'changed') AS changed, count(*) FILTER (WHERE change = 'unchanged') AS unchanged, count(*) FILTER (WHERE change = 'initialised') AS initialised FROM ({CHANGE_SQL}) c")
+@query(
+    "change_summary",
+    f"SELECT count(*) AS candidates, count(*) FILTER (WHERE change <> 'failed') AS checked, count(*) FILTER (WHERE change = 'changed') AS changed, count(*) FILTER (WHERE change = 'unchanged') AS unchanged, count(*) FILTER (WHERE change = 'initialised') AS initialised, count(*) FILTER (WHERE change = 'failed') AS failed FROM ({CHANGE_SQL}) c",
+)
 def change_summary(t):
     return monitor.summary(page_changes(t))
 
 
+@query(
+    "source_check_records",
+    f"SELECT page_id, change, CASE change WHEN 'initialised' THEN 'Automated source monitor recorded initial content hash from ' WHEN 'changed' THEN 'Automated source monitor detected changed content at ' ELSE 'Automated source monitor found no content-hash change at ' END || url || '.' AS notes, "
+    f"previous AS previous_hash, current AS current_hash, CASE WHEN change = 'changed' AND length(evidence) >= 20 THEN substr(evidence, 1, 500) END AS excerpt FROM ({CHANGED_SQL}) d WHERE change <> 'failed'",
+)
+def source_check_records(t):
+    """The record of each check, with the excerpt of changed pages."""
+    return monitor.records(page_changes(t), "page_id", "url", "evidence")
+
+
+@query(
+    "sources_after_check",
+    f"SELECT page_id, coalesce(current, previous) AS content_hash, CASE WHEN change = 'changed' THEN 'needs_review' ELSE 'officially_verified' END AS verification_status, CASE WHEN current IS NULL THEN NULL ELSE TIMESTAMP '2024-01-20 00:00:00' END AS last_updated_at FROM ({CHANGED_SQL}) d",
+)
+def sources_after_check(t):
+    """The sources as a run leaves them: hash, status and time of those that it could read."""
+    found = page_changes(t)
+    stored = found.select("page_id", "content_hash", F.lit("officially_verified").alias("verification_status"), F.lit(None).cast("timestamp_ntz").alias("last_updated_at"))
+    return monitor.applied(stored, found, "page_id", clock(EVENT_CLOCK))
+
+
 @query("hash_history", "SELECT o_custkey, o_orderkey, coalesce(lag(o_orderpriority) OVER w <> o_orderpriority, false) AS changed FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def hash_history(t):
     before = F.lag("o_orderpriority").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
