@@ -65,12 +65,28 @@ def funding_class(policy: Column, components: Column, kind: Column) -> Column:
     return F.when(policy.isNotNull() & (policy != "") & every, "fully_funded").when(known | kind.isin("partial", "tuition_only", "stipend_only"), "partial").otherwise("unknown")
 
 
+# Display texts of funding classes.
+FUNDING_LABELS = {"fully_funded": "All tracked funding components confirmed", "partial": "Some funding components confirmed"}
+FUNDING_OPEN = "Funding coverage requires verification"
+
+
 def funding_label(kind: Column) -> Column:
-    return F.when(kind == "fully_funded", "All tracked funding components confirmed").when(kind == "partial", "Some funding components confirmed").otherwise("Funding coverage requires verification")
+    out = F.lit(FUNDING_OPEN)
+    for name, label in FUNDING_LABELS.items():
+        out = F.when(kind == name, label).otherwise(out)
+    return out
+
+
+# Least scores of labels, and the label below them.
+SCORE_LABELS = {80: "strong_match", 60: "possible_match", 40: "weak_match"}
+SCORE_LOW = "low_match"
 
 
 def score_label(score: Column) -> Column:
-    return F.when(score >= 80, "strong_match").when(score >= 60, "possible_match").when(score >= 40, "weak_match").otherwise("low_match")
+    out = F.lit(SCORE_LOW)
+    for least, label in sorted(SCORE_LABELS.items()):
+        out = F.when(score >= least, label).otherwise(out)
+    return out
 
 
 # Bands and display texts of score labels; the legacy states of the tracker.
