@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from .tokens import Tokenizers, tokenizer_path
 #: Batches that a task packs at most; it reads about as many times batch_bytes, more where texts have many tokens.
 TASK_BATCHES = 8
 #: Words up to this many characters are remembered with their ids, up to this many words in a worker.
-REMEMBERED_CHARS, REMEMBERED_WORDS = 40, 200_000
+REMEMBERED_CHARS, REMEMBERED_WORDS = 40, 400_000
 
 
 def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
@@ -77,51 +78,59 @@ def pack_windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += max(1, k // 200)
 
 
-#: Punctuation that may be cut from a word's end: the pre-tokenizer always splits between it and a letter or digit.
-TAIL = ".,!?;:*&%$#"
+#: Letters and figures below U+0180, and what the pre-tokenizer takes apart of texts of these, ASCII punctuation and plain white space.
+LETTERS, FIGURES = "A-Za-zªµºÀ-ÖØ-öø-\u017f", "0-9²³¹¼½¾"
+PIECE = re.compile(rf"[{LETTERS}]+|[{FIGURES}]|'(?:[stmd]|re|ve|ll)|[^\s{LETTERS}{FIGURES}]+")
+#: Other characters, and the start of a special token, which is one token wherever it stands: such texts are not taken apart here.
+OTHER = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u017f]|<\\|")
 
 
 class WordTokenizer:
-    """Ids of a text, as little-endian 32-bit bytes, for a tokenizer that lowers case and drops white space.
+    """Ids of a text, as little-endian 32-bit bytes, for a tokenizer that lowers case, drops white space and ends words.
 
-    Words between spaces and newlines are encoded once and remembered. A new word of Latin letters is looked up by
-    its lower-case body and its tail of punctuation first.
+    A text of PIECEs is taken apart as the tokenizer's own pre-tokenizer does; a piece is encoded once and remembered.
+    New pieces of letters are encoded as one text: each ends with the one token that ends a word. Other texts are
+    encoded by their words between spaces and newlines, or whole.
     """
 
     def __init__(self, file: bytes):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(file)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.bodies: dict[str, bytes] = {}
 
-    def _learn(self, new: list[str], into: dict[str, bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        into.update(zip(new, [np.asarray(e.ids, dtype="<u4").tobytes() for e in found], strict=True))
-
-    @staticmethod
-    def _split(word: str) -> tuple[str, str]:
-        body = word.rstrip(TAIL)
-        if body and body[-1].isalnum() and max(body) < "\u0180":
-            return body.lower(), word[len(body) :]
-        return word, ""
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        letters = [p for p in new if p.isalpha()]
+        ids = self._encoded([" ".join(letters)])[0] if letters else np.empty(0, dtype="<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(stops) != len(letters) or (stops and stops[-1] != len(ids)):
+            self.known.update(zip(new, [x.tobytes() for x in self._encoded(new)], strict=True))
+            return
+        whole, starts = ids.tobytes(), [0, *stops][: len(stops)]
+        self.known.update(zip(letters, [whole[4 * a : 4 * b] for a, b in zip(starts, stops, strict=True)], strict=True))
+        rest = [p for p in new if not p.isalpha()]
+        self.known.update(zip(rest, [x.tobytes() for x in self._encoded(rest)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, bodies = self.known, self.bodies
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
-        if len(bodies) > REMEMBERED_WORDS:
-            bodies.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [w for w in set().union(*split) if w not in known]
-        parts = [self._split(w) for w in new]
-        self._learn([x for x in {x for p in parts for x in p} if x not in bodies], bodies)
-        known.update(zip(new, [bodies[x] + bodies[y] for x, y in parts], strict=True))
-        out = [b"".join([known[w] for w in tokens]) for tokens in split]
-        for w, (x, _) in zip(new, parts, strict=True):
-            if len(w) > REMEMBERED_CHARS:
-                del known[w]
-                bodies.pop(x, None)
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known.clear()
+        # Words of other texts keep their case, so that none is taken for a piece; both are looked up alike.
+        pieces = [t.replace("\n", " ").split(" ") if OTHER.search(t) else PIECE.findall(t.lower()) for t in texts]
+        new = [p for p in set().union(*pieces) if p not in self.known]
+        plain = [p for p in new if PIECE.fullmatch(p)]
+        self._learn(plain)
+        others = [p for p in new if p not in self.known]
+        self.known.update(zip(others, [x.tobytes() for x in self._encoded(others)], strict=True))
+        out = [b"".join([self.known[p] for p in some]) for some in pieces]
+        for p in new:
+            if len(p) > REMEMBERED_CHARS:
+                del self.known[p]
         return out
 
 
