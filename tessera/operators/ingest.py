@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import is_sha256, trimmed
+from ..functions.scalar import is_sha256, slug, trimmed
 from ..sources.readers import COMPONENTS
 
 # Fixed values: (column, least, most) lengths of text fields, of lists, and the columns that hold web addresses.
@@ -67,6 +67,20 @@ def rule_error(rule: Column) -> Column:
     )
 
 
+#: Categorical rule types whose values are texts to search by.
+TEXTUAL_RULES = [k for k in CATEGORICAL_RULES if k != "intake_year"]
+
+
+def value_keys(kind: Column, value: Column) -> Column:
+    """Sorted distinct search keys of a rule's value (JSON text): of its texts, for textual rule types; empty for others."""
+    parsed = F.try_parse_json(value)
+    texts = F.when(F.schema_of_variant(parsed) == "STRING", F.array(F.try_variant_get(parsed, "$", "string"))).otherwise(F.try_variant_get(parsed, "$", "array<string>"))
+    # Of a list, texts alone are values: numbers among them become texts of their figures and are told by their JSON.
+    only = F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda x: F.contains(value, F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2)))
+    keys = F.filter(F.transform(only, lambda x: slug(x)), lambda k: k != "")
+    return F.when(kind.isin(TEXTUAL_RULES), F.array_sort(F.array_distinct(keys))).otherwise(F.array().cast("array<string>"))
+
+
 def cycle_error(cycle: Column) -> Column:
     """The first fault of an application cycle (intake_year, application_opening_date, application_deadline, timezone); null if none."""
     zone = F.coalesce(trimmed(cycle.timezone), F.lit("UTC"))

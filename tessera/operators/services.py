@@ -83,6 +83,11 @@ def decided(suggestions: DataFrame, decisions: DataFrame, key: str) -> DataFrame
     return joined.withColumn("status", status).drop("is_duplicate")
 
 
+def pending_queue(suggestions: DataFrame, most: int = 50) -> DataFrame:
+    """What is to be decided next: pending suggestions by falling score, then the time of their making and id."""
+    return suggestions.filter("status = 'pending'").orderBy(F.desc("score"), "created_at", "id").limit(most)
+
+
 def moderated(actions: DataFrame, targets: DataFrame) -> DataFrame:
     """actions (action, target_id) with outcome (applied, not_found or unsupported), target_type and the target's new status.
 

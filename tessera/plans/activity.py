@@ -24,31 +24,6 @@ def event_day():
     return clock(EVENT_CLOCK)
 
 
-LISTS_SQL = """
-SELECT 'urgent' AS list, o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1998-09-15 00:00:00' AND o_orderstatus <> 'P'
-UNION ALL SELECT 'blocked', o_orderkey FROM orders WHERE o_orderstatus = 'P'
-UNION ALL SELECT 'approaching', o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1998-09-01 00:00:00' AND TIMESTAMP '1998-10-01 00:00:00'
-UNION ALL SELECT 'submitted', o_orderkey FROM orders WHERE o_orderstatus = 'F'
-UNION ALL SELECT 'changed', o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_linestatus = 'F')
-"""
-
-
-@query("dashboard_lists", f"SELECT list, o_orderkey FROM ({LISTS_SQL}) t")
-def dashboard_lists(t):
-    """All lists from one scan: each order explodes to the lists that it is on."""
-    changed = t.lineitem.filter("l_returnflag = 'R' AND l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("changed", F.lit(True))
-    orders = t.orders.join(changed, "o_orderkey", "left")
-    when, status = F.col("o_orderdate"), F.col("o_orderstatus")
-    on = {
-        "urgent": (when <= today() + temporal.days(14)) & (status != "P"),
-        "blocked": status == "P",
-        "approaching": when.between(today(), today() + temporal.days(30)),
-        "submitted": status == "F",
-        "changed": F.col("changed"),
-    }
-    return orders.select("o_orderkey", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in on.items()]))).alias("list")).select("list", "o_orderkey")
-
-
 @query("next_reminders", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-09-01 00:00:00' ORDER BY o_orderdate, o_orderkey LIMIT 20")
 def next_reminders(t):
     return page(t.orders.filter(F.col("o_orderdate") >= today()), [F.col("o_orderdate"), F.col("o_orderkey")], 20).select("o_orderkey", "o_orderdate")
@@ -91,19 +66,6 @@ def private_progress_all(t):
     return own.groupBy("o_custkey", "o_orderkey").agg(F.count_if(F.col("l_linestatus") == "O").alias("outstanding"))
 
 
-@query(
-    "starter_tasks",
-    "SELECT o_orderkey, category, title FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey, category, lower(title) ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, l_partkey, l_suppkey, "
-    "CASE WHEN l_returnflag = 'R' THEN 'recommendation' ELSE 'document' END AS category, CASE WHEN l_returnflag = 'R' THEN 'Referee ' ELSE 'Provide ' END || l_linestatus AS title FROM lineitem) a) b WHERE r = 1",
-)
-def starter_tasks(t):
-    from ..functions.scalar import starter_category
-
-    titled = t.lineitem.withColumn("title", F.concat(F.when(F.col("l_returnflag") == "R", "Referee ").otherwise("Provide "), F.col("l_linestatus"))).withColumnRenamed("l_orderkey", "o_orderkey")
-    tasks = titled.withColumn("category", starter_category(F.col("title"))).withColumn("folded", F.lower("title"))
-    return top_one(tasks, ["o_orderkey", "category", "folded"], F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).select("o_orderkey", "category", "title")
-
-
 MOVES = {"signup": ["view", "click"], "view": ["click", "purchase", "view"], "click": ["view", "purchase"], "purchase": ["view"], "error": []}
 MOVES_SQL = ", ".join(f"('{a}', '{b}')" for a, to in MOVES.items() for b in to)
 

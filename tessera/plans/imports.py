@@ -120,6 +120,22 @@ def batch_rule_errors(t):
     return rows.select("p_partkey", F.explode(ingest.validation_errors(rows)).alias("message"))
 
 
+KEYED = {
+    "rule_type": "CASE p_partkey % 5 WHEN 0 THEN 'nationality' WHEN 1 THEN 'cgpa' WHEN 2 THEN 'field' WHEN 3 THEN 'intake_year' ELSE 'study_mode' END",
+    "value": "CASE p_size % 6 WHEN 0 THEN '[\"Land  1\", \"land 1\", 7]' WHEN 1 THEN '\"Full-Time!\"' WHEN 2 THEN '3.5' WHEN 3 THEN '[\"B\", \"a\", \"?\"]' WHEN 4 THEN NULL ELSE '[]' END",
+}
+
+
+@query(
+    "rule_value_keys",
+    f"SELECT p_partkey, unnest(CASE value WHEN '[\"Land  1\", \"land 1\", 7]' THEN ['land-1'] WHEN '\"Full-Time!\"' THEN ['full-time'] WHEN '[\"B\", \"a\", \"?\"]' THEN ['a', 'b'] ELSE [] END) AS value_key FROM (SELECT p_partkey, {', '.join(f'{e} AS {n}' for n, e in KEYED.items())} FROM part) r WHERE rule_type IN ('nationality', 'field', 'study_mode')",
+)
+def rule_value_keys(t):
+    """The search keys of each part's rule, a row each."""
+    keys = ingest.value_keys(F.expr(KEYED["rule_type"]), F.expr(KEYED["value"]))
+    return t.part.select("p_partkey", F.explode(keys).alias("value_key"))
+
+
 GIVEN = {
     "application_deadline": "CASE WHEN doc_id % 2 = 0 THEN '2025-01-01' END",
     "funding_type": "CASE WHEN doc_id % 3 = 0 THEN 'partial' WHEN doc_id % 3 = 1 THEN 'unknown' END",

@@ -133,14 +133,32 @@ def source_pick(t):
     return services.picked_source(requests, sources, "o_orderkey", "l_suppkey").select("o_orderkey", "outcome", "chosen")
 
 
-@query(
-    "duplicate_queue",
-    "SELECT p_partkey AS id, first_id, CASE p_partkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'confirmed_duplicate' ELSE 'dismissed' END AS status FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY lower(p_name), p_brand) AS first_id FROM part) t WHERE p_partkey <> first_id",
+DECIDED_SQL = (
+    "SELECT p_partkey AS id, first_id, CASE WHEN p_type = first_type THEN 1.0 ELSE 0.95 END AS score, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * (p_size % 7) AS created_at, CASE p_partkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'confirmed_duplicate' ELSE 'dismissed' END AS status "
+    "FROM (SELECT *, min(p_partkey) OVER w AS first_id, first_value(p_type) OVER (PARTITION BY lower(p_name), p_brand ORDER BY p_partkey) AS first_type FROM part WINDOW w AS (PARTITION BY lower(p_name), p_brand)) t WHERE p_partkey <> first_id"
 )
-def duplicate_queue(t):
+
+
+def _decided(t):
+    """Parts of one name and brand as suggestions beside the first of them, scored by whether they agree in type, with what was decided."""
     groups = dedup.exact_groups(t.part, "p_partkey", F.struct(F.lower("p_name"), "p_brand")).filter("p_partkey <> first_id").select(F.col("p_partkey").alias("id"), "first_id")
+    part = lambda key, kind: t.part.select(F.col("p_partkey").alias(key), F.col("p_type").alias(kind), *([F.col("p_size")] if key == "id" else []))
+    scored = groups.join(part("id", "own"), "id").join(part("first_id", "first"), "first_id")
+    made = clock("2024-01-01 00:00:00") + F.make_dt_interval(mins=(F.col("p_size") % 7).cast("int"))
+    scored = scored.select("id", "first_id", F.when(F.col("own") == F.col("first"), 1.0).otherwise(0.95).alias("score"), made.alias("created_at"))
     decisions = t.part.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3 == 1).alias("is_duplicate"))
-    return services.decided(groups, decisions, "id").select("id", "first_id", "status")
+    return services.decided(scored, decisions, "id")
+
+
+@query("duplicate_queue", f"SELECT id, first_id, CAST(score AS DOUBLE) AS score, status FROM ({DECIDED_SQL}) d")
+def duplicate_queue(t):
+    return _decided(t).select("id", "first_id", "score", "status")
+
+
+@query("duplicate_queue_page", f"SELECT id, first_id, CAST(score AS DOUBLE) AS score, created_at FROM ({DECIDED_SQL}) d WHERE status = 'pending' ORDER BY score DESC, created_at, id LIMIT 50")
+def duplicate_queue_page(t):
+    """The fifty suggestions to decide next."""
+    return services.pending_queue(_decided(t)).select("id", "first_id", "score", "created_at")
 
 
 MODERATED_SQL = "SELECT doc_id, list_extract(['hide', 'restore', 'suspend', 'reinstate', 'resolve', 'erase'], CAST(doc_id % 6 + 1 AS BIGINT)) AS action FROM documents"

@@ -25,6 +25,19 @@ def value_keys(t):
     return t.part.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set(scalar.slug(F.col("p_type")))), ",").alias("keys"))
 
 
+CODES_SQL = lambda c, table: f"CASE replace(lower(trim({c})), '&', 'and') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+#: Fields that a customer may have typed, by its key.
+TYPED_FIELDS = [" Computer Science", "AI", "Public health ", "history", "arts & crafts", "CS"]
+
+
+@query("alias_codes", f"SELECT c_custkey, {CODES_SQL('n_name', scalar.COUNTRIES)} AS country_code, {CODES_SQL(f'list_extract({TYPED_FIELDS}, CAST(c_custkey % 6 + 1 AS BIGINT))', scalar.FIELDS)} AS field_code FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def alias_codes(t):
+    """The codes behind the countries and fields of customers; null for what has none."""
+    typed = F.get(F.array(*map(F.lit, TYPED_FIELDS)), (F.col("c_custkey") % 6).cast("int"))
+    joined = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.select("c_custkey", scalar.mapped(F.col("n_name"), scalar.COUNTRIES).alias("country_code"), scalar.mapped(typed, scalar.FIELDS).alias("field_code"))
+
+
 @query(
     "slug_disambiguation",
     f"SELECT p_partkey, CASE WHEN r = 1 THEN slug ELSE substr(slug, 1, 111) || '-' || p_partkey END AS slug FROM (SELECT p_partkey, slug, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS r FROM (SELECT p_partkey, {SLUG_SQL.format('p_name')} AS slug FROM part) a) b",
