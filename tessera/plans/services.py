@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar, temporal
-from ..operators import dedup, metrics, services
+from ..operators import dedup, metrics, services, uploads
 from ..operators.relational import by_key, nulled_where_gone, page, top_one, updated_where, without_where
 from .catalogue import BEST_SQL, STATE_SQL, best_source_per_order, public, with_state
 from .registry import EVENT_CLOCK, ORDER_CLOCK, clock, query
@@ -322,6 +322,28 @@ def archive_checks(t):
     return entries.select("l_orderkey", scalar.archive_ok(F.col("sizes"), F.col("packed"), 300_000, 1500).alias("ok"))
 
 
+UPLOAD = {
+    "filename": "CASE page_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'notes.txt' WHEN 2 THEN 'a.PDF' WHEN 3 THEN 'b.docx' ELSE 'page.pdf' END",
+    "declared_type": "CASE page_id % 5 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/pdf; x=y' ELSE 'Application/PDF ' END",
+    "body": "CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN html WHEN 2 THEN '%PDF-' || html WHEN 3 THEN '%PDF- /Encrypt ' || html || ' startxref %%EOF' WHEN 4 THEN '%PDF-' || html || ' startxref %%EOF' ELSE '%PDF- /Type /Page ' || repeat('/Type/Page ', CAST(page_id % 80 AS INT)) || html || 'startxref %%EOF' END",
+}
+UPLOAD_SQL = (
+    "CASE WHEN filename = '' THEN 'invalid_filename' WHEN strlen(body) > 8000 THEN 'file_too_large' WHEN body = '' THEN 'empty_file' WHEN filename = 'notes.txt' OR declared_type = 'text/html' THEN 'unsupported_format' WHEN filename = 'b.docx' OR body NOT LIKE '\\%PDF-%' ESCAPE '\\' THEN 'mime_or_magic_mismatch' "
+    "WHEN NOT contains(body, 'startxref') THEN 'malformed_pdf' WHEN contains(body, '/Encrypt ') THEN 'password_protected_document' WHEN pages = 0 THEN 'image_only_or_malformed_pdf' WHEN pages > 50 THEN 'page_limit_exceeded' END"
+)
+
+
+@query(
+    "upload_checks",
+    f"SELECT page_id, {UPLOAD_SQL} AS rejection, CASE WHEN {UPLOAD_SQL} IS NULL THEN pages END AS page_count FROM (SELECT *, CASE WHEN page_id % 7 IN (5, 6) THEN 1 + page_id % 80 ELSE 0 END AS pages FROM (SELECT page_id, {', '.join(f'{e} AS {n}' for n, e in UPLOAD.items())} FROM pages) u) p",
+)
+def upload_checks(t):
+    """Pages as uploads under several names, types and contents."""
+    made = t.pages.selectExpr("page_id", *[f"{e} AS {n}" for n, e in UPLOAD.items()])
+    files = made.select("page_id", "filename", "declared_type", F.col("body").cast("binary").alias("content"))
+    return uploads.checked(files, most_bytes=8000).select("page_id", "rejection", "page_count")
+
+
 # Addresses for each host of the pages; the first and the seventh are safe.
 URLS = ["https://{}/x", "http://{}/x", "https://user:pass@{}/", "https://localhost/a", "https://10.0.0.1/", "https://{}:8443/", "https://{}:443/y", "ftp://{}/"]
 
