@@ -12,10 +12,11 @@ LABELS = [f"le_{b}" for b in BOUNDS] + [f"gt_{BOUNDS[-1]}"]
 
 
 def bucket(value: Column) -> Column:
+    """The label of the least bound that a value does not pass; null for none, which no bucket counts."""
     out = F.lit(LABELS[-1])
     for b in reversed(BOUNDS):
         out = F.when(value <= b, f"le_{b}").otherwise(out)
-    return out
+    return F.when(value.isNotNull(), out)
 
 
 def histogram(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar
 from ..operators import ingest
+from ..sources import readers
 from ..sources.catalogue import Catalogue, shared_folder
 from .registry import query
 
@@ -120,6 +122,15 @@ def batch_rule_errors(t):
     return rows.select("p_partkey", F.explode(ingest.validation_errors(rows)).alias("message"))
 
 
+@query("json_import_rows", "SELECT event_id, i AS row_number, CAST(json_extract(props, '$.k') AS BIGINT) + (i - 1) * 1000 AS k FROM events, (SELECT unnest([1, 2, 3]) AS i) n WHERE i <= 1 + event_id % 3")
+def json_import_rows(t):
+    """Each event's properties as an import of one to three JSON rows."""
+    number = F.get_json_object("props", "$.k").cast("long")
+    items = F.transform(F.sequence(F.lit(0).cast("long"), F.col("event_id") % 3), lambda i: F.concat(F.lit('{"k": '), (number + i * 1000).cast("string"), F.lit(', "other": []}')))
+    texts = t.events.select("event_id", F.concat(F.lit(" ["), F.array_join(items, ", "), F.lit("]")).alias("body"))
+    return readers.rows_of_json(texts, "body", T.StructType([T.StructField("k", T.LongType())]))
+
+
 KEYED = {
     "rule_type": "CASE p_partkey % 5 WHEN 0 THEN 'nationality' WHEN 1 THEN 'cgpa' WHEN 2 THEN 'field' WHEN 3 THEN 'intake_year' ELSE 'study_mode' END",
     "value": "CASE p_size % 6 WHEN 0 THEN '[\"Land  1\", \"land 1\", 7]' WHEN 1 THEN '\"Full-Time!\"' WHEN 2 THEN '3.5' WHEN 3 THEN '[\"B\", \"a\", \"?\"]' WHEN 4 THEN NULL ELSE '[]' END",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import csv_header, csv_list
+from ..functions.scalar import csv_header, csv_list, trimmed
 
 # Names of CSV columns for parts of the source, list columns, funding components.
 ALIASES = {
@@ -28,6 +28,25 @@ def seed_records(spark: SparkSession, paths: list[str], record: T.StructType) ->
     return files.select(F.explode(checked).alias("r")).select("r.*")
 
 
+def rows_of_json(df: DataFrame, column: str, record: T.StructType, most: int = MOST_ROWS) -> DataFrame:
+    """df's rows, one for each object of the JSON list in a column: row_number from 1 and the record's fields, without the column.
+
+    A list that is no JSON, has none or over `most` objects, or holds something else, is an error when it is read.
+    """
+    parsed = F.from_json(column, T.ArrayType(record))
+    # The variant's own parser takes nothing but whole JSON, and tells objects from other values.
+    objects = F.coalesce(F.schema_of_variant(F.try_parse_json(column)).startswith("ARRAY<OBJECT"), F.lit(False))
+    whole = F.when(objects & F.size(parsed).between(1, most), parsed)
+    checked = F.coalesce(whole, F.raise_error(F.lit(f"an import is a list of 1 to {most} rows")))
+    kept = [c for c in df.columns if c != column]
+    return df.select(*kept, F.posexplode(checked).alias("_at", "_row")).select(*kept, (F.col("_at") + 1).cast("long").alias("row_number"), "_row.*")
+
+
+def json_rows(spark: SparkSession, path: str, record: T.StructType, most: int = MOST_ROWS) -> DataFrame:
+    """The rows of JSON files, each one import's list of at most `most` objects."""
+    return rows_of_json(spark.read.option("wholetext", True).text(path), "value", record, most)
+
+
 def csv_rows(spark: SparkSession, path: str, limit: int | None = MOST_ROWS) -> DataFrame:
     """Rows of a CSV file with a header as strings, with row_number from 2; empty rows are dropped.
 
@@ -43,7 +62,7 @@ def csv_rows(spark: SparkSession, path: str, limit: int | None = MOST_ROWS) -> D
     if not all(names) or len(set(names)) != len(names):
         raise ValueError("header names must be given and unique")
     body = placed.filter(F.col("_at") != first["_at"]).toDF(*names, "_at")
-    body = body.filter(F.exists(F.array(*[F.coalesce(F.btrim(n), F.lit("")) for n in names]), lambda v: v != ""))
+    body = body.filter(F.exists(F.array(*[F.coalesce(trimmed(F.col(n)), F.lit("")) for n in names]), lambda v: v != ""))
     if limit is not None:
         count = body.limit(limit + 1).count()
         if not 1 <= count <= limit:
@@ -58,7 +77,7 @@ def import_rows(rows: DataFrame) -> DataFrame:
     fields but the type is given; its type is official and its status needs_review by default.
     """
     plain = [c for c in rows.columns if c != "row_number"]
-    text = {c: F.nullif(F.btrim(F.col(c)), F.lit("")) for c in plain}
+    text = {c: F.nullif(trimmed(F.col(c)), F.lit("")) for c in plain}
     risky = {c: F.substring(v, 1, 1).isin("=", "+", "-", "@") for c, v in text.items()}
     safe = {c: F.when(risky[c], F.concat(F.lit("'"), text[c])).otherwise(text[c]) for c in plain}
     sources: dict[str, Column] = {}
