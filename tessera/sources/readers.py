@@ -44,7 +44,7 @@ def rows_of_json(df: DataFrame, column: str, record: T.StructType, most: int = M
 
 def json_rows(spark: SparkSession, path: str, record: T.StructType, most: int = MOST_ROWS) -> DataFrame:
     """The rows of JSON files, each one import's list of at most `most` objects."""
-    return rows_of_json(spark.read.option("wholetext", True).text(path), "value", record, most)
+    return rows_of_json(spark.read.text(path, wholetext=True), "value", record, most)
 
 
 def csv_rows(spark: SparkSession, path: str, limit: int | None = MOST_ROWS) -> DataFrame:
