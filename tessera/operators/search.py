@@ -53,10 +53,10 @@ def first_matches(patterns: DataFrame, records: DataFrame, most: int) -> DataFra
     """(pattern, held): the first `most` records by id, as structs (id, evidence), whose text is LIKE %pattern%.
 
     records has id, text and evidence. Equal texts are searched once, by their first id, and lists are cut to `most`
-    by rank before they are gathered.
+    by rank before they are gathered. Rows that repeat an id count as one; an id with several texts is found by each.
     """
     by_id = Window.partitionBy("text").orderBy("id")
-    placed = records.filter("text IS NOT NULL").select("id", "text", "evidence", F.row_number().over(by_id).alias("_at"), F.first("id").over(by_id).alias("key")).filter(F.col("_at") <= most)
-    found = like_matches(patterns, placed.filter("_at = 1").select("key", "text"))
-    ranked = found.join(placed.select("key", "id", "evidence"), "key").withColumn("_at", F.row_number().over(Window.partitionBy("pattern").orderBy("id"))).filter(F.col("_at") <= most)
-    return ranked.groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("id", "evidence"))).alias("held"))
+    placed = records.filter("text IS NOT NULL").select("id", "text", "evidence", F.dense_rank().over(by_id).alias("_at"), F.row_number().over(by_id).alias("_row"), F.concat_ws("-", F.first("id").over(by_id), F.hex(F.xxhash64("text"))).alias("key")).filter(F.col("_at") <= most)
+    found = like_matches(patterns, placed.filter("_row = 1").select("key", "text"))
+    ranked = found.join(placed.select("key", "id", "evidence"), "key").withColumn("_at", F.dense_rank().over(Window.partitionBy("pattern").orderBy("id"))).filter(F.col("_at") <= most)
+    return ranked.groupBy("pattern").agg(F.sort_array(F.collect_set(F.struct("id", "evidence"))).alias("held"))

@@ -38,7 +38,7 @@ def candidates(questions: DataFrame, records: DataFrame, keys: list[str], seen:
     asked = questions.select(*keys, F.explode("tokens").alias("pattern")).distinct()
     by_token = first_matches(asked.select("pattern"), records, seen)
     merged = asked.join(by_token, "pattern").groupBy(*keys).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))), 1, seen).alias("held"))
-    any_ = records.select("id", "evidence").orderBy("id").limit(seen).agg(F.sort_array(F.collect_list(F.struct("id", "evidence"))).alias("any"))
+    any_ = records.select("id", "evidence").distinct().orderBy("id").limit(seen).agg(F.sort_array(F.collect_list(F.struct("id", "evidence"))).alias("any"))
     out = questions.select(*keys, (F.size("tokens") == 0).alias("open")).distinct().join(merged, keys, "left").join(F.broadcast(any_))  # one row
     return out.select(*keys, F.when(F.col("open"), F.col("any")).otherwise(F.coalesce("held", F.slice("any", 1, 0))).alias("held"))
 

@@ -62,7 +62,7 @@ def test_entry_points():
 
 def test_explanations_and_progress_are_whole(spark, oracle):
     count = lambda sql: oracle.sql(sql).fetchall()[0][0]
-    lists = plans.QUERIES["match_explanations_all"](spark, DATA)
+    lists = plans.QUERIES["match_explanations"](spark, DATA)
     scored = plans.QUERIES["match_scores"](spark, DATA).select("c_custkey", "p_partkey")
     assert lists.count() == scored.count() == count("SELECT count(*) FROM customer JOIN part ON c_custkey % 50 = p_size")
     assert lists.select("c_custkey", "p_partkey").exceptAll(scored).isEmpty()
