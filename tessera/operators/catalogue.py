@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar, temporal
-from .relational import any_of, exists, like_anywhere, not_exists, one_of_filters, top_one
+from .relational import any_of, exists, flagged, like_anywhere, not_exists, one_of_filters, top_one
 
 # Value keys that include every nationality or field, aliases of fee states, English tests and rule types.
 EVERY_NATIONALITY = "all-countries all-nationalities any-nationality citizens-of-all-countries foreign-citizens foreign-students international international-applicants international-students".split()
@@ -112,6 +112,49 @@ def public(opportunities: DataFrame, sources: DataFrame, rules: DataFrame, now:
     return o
 
 
+@dataclass(frozen=True)
+class AdminFilters:
+    """What a curator's search asks for; a filter that is None does not apply."""
+
+    country: str | None = None
+    degree_level: str | None = None
+    status: str | None = None
+    verification_status: str | None = None
+    needs_review: bool | None = None
+    provider_query: str | None = None
+    search_query: str | None = None
+    deadline_after: datetime.datetime | None = None
+    deadline_before: datetime.datetime | None = None
+
+
+#: Columns that a curator's search looks through, and statuses of a source that ask for a review.
+SEARCHED = ["name", "field_eligibility", "nationality_eligibility", "notes"]
+TO_REVIEW = ["unverified", "needs_review", "conflicting_information"]
+
+
+def administered(opportunities: DataFrame, sources: DataFrame, filters: AdminFilters = AdminFilters()) -> DataFrame:
+    """Opportunities of any status that every filter of a curator's search lets pass."""
+    f, o = filters, opportunities
+    for column, value in {"degree_level": f.degree_level, "status": f.status}.items():
+        o = o if value is None else o.filter(F.col(column) == value)
+    if f.country is not None:
+        o = o.filter(F.lower("country") == f.country.lower())
+    if f.deadline_after is not None:
+        o = o.filter(F.col("application_deadline") >= F.lit(f.deadline_after).cast("timestamp_ntz"))
+    if f.deadline_before is not None:
+        o = o.filter(F.col("application_deadline") <= F.lit(f.deadline_before).cast("timestamp_ntz"))
+    if f.provider_query is not None:
+        o = o.filter(like_anywhere(F.col("provider_name"), f.provider_query))
+    if f.search_query is not None:
+        o = o.filter(any_of(*[like_anywhere(F.col(c), f.search_query) for c in SEARCHED]))
+    if f.verification_status is not None:
+        o = exists(o, sources.filter(F.col("verification_status") == f.verification_status), "opportunity_id")
+    if f.needs_review:
+        marked = flagged(o, sources.filter(F.col("verification_status").isin(TO_REVIEW)), ["opportunity_id"], "_to_review")
+        o = marked.filter((F.col("status") == "draft") | F.col("_to_review")).drop("_to_review")
+    return o
+
+
 def in_order(now: Column) -> list[Column]:
     """Open windows first, then by deadline (none last), name and id."""
     return [temporal.window_rank(state_of(now)), F.col("deadline").asc_nulls_last(), F.col("name"), F.col("opportunity_id")]

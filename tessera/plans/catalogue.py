@@ -6,6 +6,9 @@ to review, conflicting; l_linestatus O: official; l_shipdate: last verified).
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -457,3 +460,25 @@ def tenant_view(t):
     tables = {"customer": t.customer, "orders": t.orders, "lineitem": t.lineitem}
     policies = {"customer": Policy(owner="c_nationkey"), "orders": Policy(parent="customer", on=("o_custkey", "c_custkey")), "lineitem": Policy(parent="orders", on=("l_orderkey", "o_orderkey"))}
     return secured(tables, policies, 3)["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+OWNED_SQL = """
+WITH l AS (SELECT l_orderkey, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_suppkey END AS l_suppkey, l_partkey, l_linenumber FROM lineitem),
+c AS (SELECT 'customer' AS "table", c_nationkey AS owner FROM customer), s AS (SELECT 'supplier', s_nationkey FROM supplier), o AS (SELECT 'orders', c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey),
+li AS (SELECT 'lineitem', c_nationkey FROM l JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE l_suppkey IS NULL OR s_nationkey = c_nationkey)
+SELECT "table", owner, count(*) AS n FROM (SELECT * FROM c UNION ALL SELECT * FROM s UNION ALL SELECT * FROM o UNION ALL SELECT * FROM li) t GROUP BY 1, 2"""
+
+
+@query("tenant_owners", OWNED_SQL)
+def tenant_owners(t):
+    """How many rows of each table each tenant (nation) sees: lines need their order's, and where they name a supplier its, tenant."""
+    from ..operators.security import Parent, Policy, owned
+
+    lines = t.lineitem.withColumn("l_suppkey", F.when(F.col("l_linenumber") != 1, F.col("l_suppkey")))
+    tables = {"lineitem": lines, "orders": t.orders, "customer": t.customer, "supplier": t.supplier}
+    policies = {
+        "customer": Policy(owner="c_nationkey"), "supplier": Policy(owner="s_nationkey"), "orders": Policy(parents=(Parent("o_custkey", "customer", "c_custkey"),)),
+        "lineitem": Policy(parents=(Parent("l_orderkey", "orders", "o_orderkey"), Parent("l_suppkey", "supplier", "s_suppkey", optional=True))),
+    }
+    parts = [df.filter("_owner IS NOT NULL").select(F.lit(name).alias("table"), F.col("_owner").alias("owner")) for name, df in owned(tables, policies).items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("table", "owner").agg(F.count(F.lit(1)).alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import catalogue
-from ..operators.catalogue import Filters
+from ..operators.catalogue import AdminFilters, Filters
 from .registry import ORDER_CLOCK, clock, query
 
 NOW = f"TIMESTAMP '{ORDER_CLOCK}'"
@@ -134,6 +134,27 @@ def public_search_totals(t):
     return reduce(DataFrame.unionByName, found).groupBy("search").agg(F.count(F.lit(1)).alias("total"))
 
 
+HAS_SQL = "EXISTS (SELECT 1 FROM sources s WHERE s.opportunity_id = o.opportunity_id AND verification_status {})"
+#: Curators' searches: their filters, and the same as SQL conditions.
+ADMIN_SEARCHES = [
+    (AdminFilters(), "true"),
+    (AdminFilters(needs_review=True, country="FRANCE", status="active"), f"lower(country) = 'france' AND status = 'active' AND (status = 'draft' OR {HAS_SQL.format(chr(61) + ' ' + repr('needs_review'))})"),
+    (AdminFilters(needs_review=False, degree_level="phd", verification_status="expired"), f"degree_level = 'phd' AND {HAS_SQL.format(chr(61) + ' ' + repr('expired'))}"),
+    (AdminFilters(provider_query=" brand#1_ ", search_query="PHYS%only", deadline_after=_days(-50), deadline_before=_days(200)), f"lower(provider_name) LIKE '%brand#1_%' AND lower(field_eligibility) LIKE '%phys%only%' AND application_deadline BETWEEN {_at(-50)} AND {_at(200)}"),
+]
+ADMIN_SQL = " UNION ALL ".join(f"SELECT {i} AS search, opportunity_id, row_number() OVER (ORDER BY created_at DESC, opportunity_id) AS place FROM (SELECT *, {NOW} - INTERVAL 1 HOUR * (opportunity_id % 90) AS created_at FROM opportunities) o WHERE {condition}" for i, (_, condition) in enumerate(ADMIN_SEARCHES))
+
+
+@query("admin_search", f"{TABLES_SQL} SELECT search, opportunity_id, place FROM ({ADMIN_SQL}) f WHERE place <= 100")
+def admin_search(t):
+    """The newest hundred results of four curators' searches."""
+    o, s, _ = tables(t)
+    o = o.withColumns({"notes": F.lit(None).cast("string"), "created_at": clock(ORDER_CLOCK) - F.make_dt_interval(hours=(F.col("opportunity_id") % 90).cast("int"))})
+    newest = [F.desc("created_at"), F.col("opportunity_id")]
+    found = [catalogue.administered(o, s, f).orderBy(*newest).limit(100).select(F.lit(i).alias("search"), "opportunity_id", F.row_number().over(Window.orderBy(*newest)).cast("long").alias("place")) for i, (f, _) in enumerate(ADMIN_SEARCHES)]
+    return reduce(DataFrame.unionByName, found)
+
+
 BEST_SQL = (
     "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY opportunity_id ORDER BY CASE WHEN source_type = 'official' AND verification_status = 'officially_verified' THEN 0 WHEN source_type = 'official' THEN 1 ELSE 2 END, "
     "last_verified_at DESC NULLS LAST, source_id, url) AS nth FROM sources) b WHERE nth = 1"

@@ -254,3 +254,29 @@ def test_parts_that_share_a_name_across_brands(spark):
     assert any(block[i] != block[j] for i, j in expected)
     found = plans.QUERIES["dup_pairs_fuzzy"](spark, "/root/testdata/sf0.001").collect()
     assert expanded(rows, found) == expected and len(found) < len(expected)
+
+
+def test_all_policies_for_all_tenants_at_once(spark):
+    from tessera.operators.security import POLICIES, order_of, owned
+
+    assert len(POLICIES) == 30 and sum(not p.all_parents() for p in POLICIES.values()) == 11
+    order = order_of(POLICIES)
+    assert all(order.index(p.table) < order.index(t) for t, policy in POLICIES.items() for p in policy.all_parents())
+    frame = lambda rows, columns: spark.createDataFrame(rows, columns)
+    tables = {
+        "document_assets": frame([(1, "a"), (2, "b")], "id int, user_id string"),
+        "document_versions": frame([(10, "a", 1), (11, "a", 2), (12, "b", 2), (13, None, 2)], "id int, user_id string, asset_id int"),
+        "document_consents": frame([(20, "a", 10), (21, "b", 12)], "id int, user_id string, version_id int"),
+        "document_analyses": frame([(30, "a", 10, 20), (31, "b", 12, 20), (32, "b", 12, 21)], "id int, user_id string, version_id int, consent_id int"),
+        "document_feedback_items": frame([(40, 30), (41, 31), (42, 32), (43, None)], "id int, analysis_id int"),
+        "document_analysis_jobs": frame([(50, "a", 10, None), (51, "a", 10, 30), (52, "a", 10, 32), (53, "b", 12, 99)], "id int, user_id string, version_id int, analysis_id int"),
+        "match_rule_outcomes": frame([(60, 1)], "id int, evaluation_result_id int"),
+        "unknown": frame([(1,)], "id int"),
+    }
+    all_ = owned(tables, POLICIES)
+    for tenant in ("a", "b", "c"):
+        own = secured(tables, POLICIES, tenant)
+        for name in tables:
+            assert sorted(r.id for r in own[name].collect()) == sorted(r.id for r in all_[name].filter(F.col("_owner") == tenant).collect()), (tenant, name)
+    seen = {(name, r.id): r["_owner"] for name in tables for r in all_[name].collect()}
+    assert {i for (_, i), o in seen.items() if o == "a"} == {1, 10, 20, 30, 40, 50, 51} and {i for (_, i), o in seen.items() if o == "b"} == {2, 12, 21, 32, 42}
