@@ -85,6 +85,10 @@ PIECE = re.compile(rf"[{LETTERS}]+|[{FIGURES}]|'(?:[stmd]|re|ve|ll)|[^\s{LETTERS
 OTHER = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u017f]|<\\|")
 
 
+#: The characters of plain texts that are ASCII.
+PLAIN_ASCII = bytes([9, 10, 13, *range(32, 127)])
+
+
 class WordTokenizer:
     """Ids of a text, as little-endian 32-bit bytes, for a tokenizer that lowers case, drops white space and ends words.
 
@@ -95,8 +99,11 @@ class WordTokenizer:
 
     def __init__(self, file: bytes):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.tokenizer = Tokenizer.from_buffer(file)
+        self.tokenizer, self.of_letters = Tokenizer.from_buffer(file), Tokenizer.from_buffer(file)
+        # Pieces of small letters need no normalizer and no pattern to take them apart.
+        self.of_letters.normalizer, self.of_letters.pre_tokenizer = None, Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -105,29 +112,38 @@ class WordTokenizer:
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        if text.isascii():
+            plain = "<|" not in text and not text.encode().translate(None, PLAIN_ASCII)
+        else:
+            plain = not OTHER.search(text)
+        # Words of other texts keep their case; words and pieces are looked up alike, each as a text of its own.
+        return PIECE.findall(text.lower()) if plain else text.replace("\n", " ").split(" ")
+
     def _learn(self, new: list[str]) -> None:
-        letters = [p for p in new if p.isalpha()]
-        ids = self._encoded([" ".join(letters)])[0] if letters else np.empty(0, dtype="<u4")
+        letters = [p for p in new if p.isalpha() and p == p.lower()]
+        joined = self.of_letters.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids if letters else []
+        ids = np.asarray(joined, dtype="<u4")
         stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(stops) != len(letters) or (stops and stops[-1] != len(ids)):
             self.known.update(zip(new, [x.tobytes() for x in self._encoded(new)], strict=True))
             return
         whole, starts = ids.tobytes(), [0, *stops][: len(stops)]
         self.known.update(zip(letters, [whole[4 * a : 4 * b] for a, b in zip(starts, stops, strict=True)], strict=True))
-        rest = [p for p in new if not p.isalpha()]
+        rest = [p for p in new if p not in self.known]
         self.known.update(zip(rest, [x.tobytes() for x in self._encoded(rest)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
-        # Words of other texts keep their case, so that none is taken for a piece; both are looked up alike.
-        pieces = [t.replace("\n", " ").split(" ") if OTHER.search(t) else PIECE.findall(t.lower()) for t in texts]
+        pieces = [self._pieces(t) for t in texts]
         new = [p for p in set().union(*pieces) if p not in self.known]
-        plain = [p for p in new if PIECE.fullmatch(p)]
-        self._learn(plain)
+        self._learn([p for p in new if PIECE.fullmatch(p)])
         others = [p for p in new if p not in self.known]
         self.known.update(zip(others, [x.tobytes() for x in self._encoded(others)], strict=True))
-        out = [b"".join([self.known[p] for p in some]) for some in pieces]
+        known = self.known.__getitem__
+        out = [b"".join(map(known, some)) for some in pieces]
         for p in new:
             if len(p) > REMEMBERED_CHARS:
                 del self.known[p]
