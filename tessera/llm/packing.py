@@ -24,7 +24,7 @@ from .tokens import Tokenizers, tokenizer_path
 #: Batches that a task packs at most; it reads about as many times batch_bytes, more where texts have many tokens.
 TASK_BATCHES = 8
 #: Words up to this many characters are remembered with their ids, up to this many words in a worker.
-REMEMBERED_CHARS, REMEMBERED_WORDS = 40, 400_000
+REMEMBERED_CHARS, REMEMBERED_WORDS = 40, 800_000
 
 
 def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
@@ -182,8 +182,8 @@ def pack_documents(
     def tokenize(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = tokenizers.get(), np.uint32(end_id).astype("<u4").tobytes()
         for batch in stream:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 rows: list[tuple] = []
                 for doc, mix, ids in zip(part["doc_id"].to_pylist(), part["mix"].to_pylist(), words.encode(part["text"].to_pylist()), strict=True):
                     ids += end
