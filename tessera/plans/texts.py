@@ -267,7 +267,7 @@ def erased_view(t):
 )
 def policy_score(t):
     text = F.col("text")
-    score = F.when(text.rlike(scalar.CONTACT), 5).otherwise(0) + F.when(text.rlike(scalar.LINK), 2).otherwise(0)
+    score = F.when(scalar.policy_match(text, scalar.CONTACT), 5).otherwise(0) + F.when(scalar.policy_match(text, scalar.LINK), 2).otherwise(0)
     return t.documents.select("doc_id", score.cast("long").alias("score"))
 
 

@@ -120,3 +120,34 @@ def test_whole_text_queries_match_brute_force(spark, oracle):
     contact, link = (re.compile(p.replace("(?iU)", "(?i)")) for p in (scalar.CONTACT, scalar.LINK))
     scores = [(r.doc_id, r.score) for r in plans.QUERIES["policy_score"](spark, DATA).collect()]
     assert sorted(scores) == sorted((d, 5 * bool(contact.search(x)) + 2 * bool(link.search(x))) for d, x in documents)
+
+
+def as_tables(spark, **rows):
+    """Tables of a few rows each, (schema, rows), for Spark and for DuckDB."""
+    tables, con = type("Tables", (), {"spark": spark})(), duckdb.connect()
+    for name, (schema, data) in rows.items():
+        setattr(tables, name, spark.createDataFrame(data, schema))
+        con.execute(f"CREATE TABLE {name} ({schema.replace('string', 'VARCHAR').replace('long', 'BIGINT')})")
+        con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' for _ in data[0])})", data)
+    return tables, con
+
+
+def agrees(got, con, name):
+    columns = sorted(got.columns)
+    rows = sorted((tuple(r) for r in got.select(*columns).collect()), key=repr)
+    want = sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({plans.ORACLE_SQL[name]}) q").fetchall(), key=repr)
+    assert rows == want
+    return rows
+
+
+ODD_TEXTS = [
+    "mail \u00e9a@x.org", "a@x.org\u00e9", "\u00e9password", "password\u00e9", "pa\u017fsword", "wor\u212a dm\u00e9", "\u00fcdm", "line: \u00e9", "line: x", "a\u00a0at\u00a0b\u00a0dot\u00a0c", "a\x0bat\x0bb\x0bdot\x0bc",
+    "a at b dot c", "a at \u00e9 dot c", "call \u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669", "\u00e912345678901", "12345678901\u00e9", "\u0130nsta: x", "\u0131nsta: x", "http\u017f://x", "vi\u017fa advice", "whatsapp\u0308", "\u00e4telegram", "telegram.", "", None,
+]
+
+
+def test_policy_patterns_read_odd_texts_as_their_sql(spark):
+    tables, con = as_tables(spark, documents=("doc_id long, text string", list(enumerate(ODD_TEXTS))))
+    rows = agrees(texts.policy_verdicts(tables), con, "policy_verdicts")
+    agrees(texts.policy_score(tables), con, "policy_score")
+    assert {r[2] for r in rows} == {"contact", "prohibited", "ok"}
