@@ -429,13 +429,13 @@ def import_warnings(t):
 
 @query(
     "canonical_identity_conflicts",
-    "SELECT p_partkey AS other, first_value(p_partkey) OVER w AS p_partkey FROM part WINDOW w AS (PARTITION BY p_brand, p_type, p_size ORDER BY p_partkey) QUALIFY row_number() OVER w > 1",
+    "SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size IS NOT DISTINCT FROM b.p_size AND a.p_partkey < b.p_partkey",
 )
 def canonical_identity_conflicts(t):
-    """Each part beside the first one of its identity; the first of a class has no row."""
-    first = Window.partitionBy("p_brand", "p_type", "p_size").orderBy("p_partkey")
-    placed = t.part.select(F.col("p_partkey").alias("other"), F.min("p_partkey").over(Window.partitionBy("p_brand", "p_type", "p_size")).alias("p_partkey"), F.row_number().over(first).alias("_at"))
-    return placed.filter("_at > 1").drop("_at")
+    """Every pair of parts that share their identity."""
+    a, b = t.part.alias("a"), t.part.alias("b")
+    on = F.expr("a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size <=> b.p_size AND a.p_partkey < b.p_partkey")
+    return a.join(b, on).select("a.p_partkey", F.col("b.p_partkey").alias("other"))
 
 
 LINES_SQL = "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_shipdate, l_extendedprice) AS nth, l_linenumber, l_returnflag FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"

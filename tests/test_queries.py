@@ -8,7 +8,7 @@ import pytest
 
 from tessera import plans
 from tessera.functions import scalar
-from tessera.plans import texts
+from tessera.plans import catalogue, texts
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -151,3 +151,10 @@ def test_policy_patterns_read_odd_texts_as_their_sql(spark):
     rows = agrees(texts.policy_verdicts(tables), con, "policy_verdicts")
     agrees(texts.policy_score(tables), con, "policy_score")
     assert {r[2] for r in rows} == {"contact", "prohibited", "ok"}
+
+
+def test_every_pair_of_an_identity_conflicts(spark):
+    data = [(1, "a", "x", 1), (2, "a", "x", 1), (3, "a", "x", 1), (4, "a", "x", None), (5, "a", "x", None), (6, None, "x", 1), (7, None, "x", 1)]
+    tables, con = as_tables(spark, part=("p_partkey long, p_brand string, p_type string, p_size int", data))
+    rows = agrees(catalogue.canonical_identity_conflicts(tables), con, "canonical_identity_conflicts")
+    assert {tuple(sorted(r)) for r in rows} == {(1, 2), (1, 3), (2, 3), (4, 5)}
