@@ -8,7 +8,7 @@ import pytest
 
 from tessera import plans
 from tessera.functions import scalar
-from tessera.plans import catalogue, texts
+from tessera.plans import catalogue, matching, texts
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -158,3 +158,21 @@ def test_every_pair_of_an_identity_conflicts(spark):
     tables, con = as_tables(spark, part=("p_partkey long, p_brand string, p_type string, p_size int", data))
     rows = agrees(catalogue.canonical_identity_conflicts(tables), con, "canonical_identity_conflicts")
     assert {tuple(sorted(r)) for r in rows} == {(1, 2), (1, 3), (2, 3), (4, 5)}
+
+
+def test_matches_by_classes_agree_with_all_pairs(spark):
+    """Nulls, equal balances and prices, prices over 1200, and more alike parts than a ranking shows; no query but the two lists joins pairs."""
+    balance, price = [None, -5.0, 900.0, 1000.0, 1300.0, 5000.0], [None, 900.0, 1000.0, 1250.0, 1300.0]
+    customer = [(k, None if k % 9 == 4 else k % 25, balance[k % 6], "") for k in range(60)] + [(None, 1, 7.0, "")]
+    part = [(k, [None, "ECONOMY BRASS", "PROMO TIN"][k % 3], (k * 7) % 6 if k % 10 else None, price[k % 5]) for k in range(240)] + [(None, "PROMO TIN", 3, 900.0)]
+    tables, con = as_tables(spark, customer=("c_custkey long, c_nationkey int, c_acctbal double, c_name string", customer), part=("p_partkey long, p_type string, p_size int, p_retailprice double", part))
+    for name in ("match_rules", "match_labels", "match_confidence", "match_scores", "match_explanations"):
+        assert agrees(getattr(matching, name)(tables), con, name)
+    con.execute("DELETE FROM part WHERE p_partkey IS NULL")
+    tables.part = tables.part.filter("p_partkey IS NOT NULL")
+    assert agrees(matching.match_rank(tables), con, "match_rank")
+    counted = matching.pair_classes(tables)
+    assert counted.agg({"n": "sum"}).first()[0] == con.execute("SELECT count(*) FROM customer JOIN part ON c_custkey % 50 = p_size").fetchall()[0][0]
+    # The fewer pairs of classes do not grow with the members: twice the customers and parts are as many rows.
+    twice = type("Tables", (), {"customer": tables.customer.union(tables.customer), "part": tables.part.union(tables.part)})()
+    assert matching.pair_classes(twice).count() == counted.count()
