@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.catalogue import shared_folder
+
 
 def _let(value: Column, body) -> Column:
     """body(value) with value computed once: a lambda variable is a value, so the optimizer cannot copy it."""
@@ -60,3 +62,31 @@ def first_matches(patterns: DataFrame, records: DataFrame, most: int) -> DataFra
     found = like_matches(patterns, placed.filter("_row = 1").select("key", "text"))
     ranked = found.join(placed.select("key", "id", "evidence"), "key").withColumn("_at", F.dense_rank().over(Window.partitionBy("pattern").orderBy("id"))).filter(F.col("_at") <= most)
     return ranked.groupBy("pattern").agg(F.sort_array(F.collect_set(F.struct("id", "evidence"))).alias("held"))
+
+
+#: A token of a question, which lies within one run of the same characters wherever a text holds it.
+TOKEN_RUN = "([a-z0-9]{3,})"
+#: Words of up to this many characters are looked up by all their parts, longer ones through trigrams.
+LONG_WORD = 24
+
+
+def first_holding(tokens: DataFrame, records: DataFrame, most: int) -> DataFrame:
+    """first_matches() for patterns that are runs of a-z and 0-9, three or more: looked up in the words of the texts.
+
+    A word keeps its first `most` records only, which are all that a token in it can need; tokens are then searched in
+    the distinct words, which grow far slower than the texts. Needs a checkpoint folder, else makes one.
+    """
+    context = records.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(records.sparkSession))
+    held = records.filter("text IS NOT NULL").select("id", "evidence", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN_RUN), 1))).alias("word"))
+    placed = held.withColumn("_at", F.dense_rank().over(Window.partitionBy("word").orderBy("id"))).filter(F.col("_at") <= most).drop("_at")
+    listed = placed.groupBy("word").agg(F.collect_set(F.struct("id", "evidence")).alias("held")).checkpoint()
+    asked = tokens.filter("pattern IS NOT NULL").select("pattern").distinct()
+    part = F.expr("explode(flatten(transform(sequence(1, length(word) - 2), i -> transform(sequence(3, length(word) - i + 1), n -> substr(word, i, n)))))")
+    short = listed.filter(F.length("word") <= LONG_WORD).select(F.col("word").alias("key"), part.alias("pattern")).join(asked, "pattern", "left_semi").select("pattern", "key").distinct()
+    long = like_matches(asked, listed.filter(F.length("word") > LONG_WORD).select(F.col("word").alias("key"), F.col("word").alias("text")))
+    found = short.unionByName(long)
+    ranked = found.join(listed.withColumnRenamed("word", "key"), "key").select("pattern", F.explode("held").alias("h")).distinct()
+    first = ranked.withColumn("_at", F.dense_rank().over(Window.partitionBy("pattern").orderBy("h.id"))).filter(F.col("_at") <= most)
+    return first.groupBy("pattern").agg(F.sort_array(F.collect_set("h")).alias("held"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .relational import flagged
-from .search import first_matches
+from .search import first_holding, first_matches
 
 # What a verification status makes of its record, and what a moderation action makes of its target.
 VERIFICATION_STATUS = {"expired": "expired", "needs_review": "draft", "unverified": "draft", "conflicting_information": "draft"}
@@ -29,14 +29,15 @@ def evidence_state(records: DataFrame, sources: DataFrame, key: str, fresh: Colu
     return records.join(facts, key, "left").withColumn("evidence", state).drop("_bad", "_good", "_fresh")
 
 
-def candidates(questions: DataFrame, records: DataFrame, keys: list[str], seen: int) -> DataFrame:
+def candidates(questions: DataFrame, records: DataFrame, keys: list[str], seen: int, by_words: bool = False) -> DataFrame:
     """keys and held: the first `seen` records by id, as structs (id, evidence), whose text holds a token of the question.
 
     questions has keys and tokens (at most a handful each); records has id, text (lower case) and evidence. Any record
-    is a candidate of a question without tokens. A token's candidates are found once, through a trigram index.
+    is a candidate of a question without tokens. A token's candidates are found once, through a trigram index over the
+    texts, or with `by_words` over their words: that takes tokens of a-z and 0-9 only, three characters or more.
     """
     asked = questions.select(*keys, F.explode("tokens").alias("pattern")).distinct()
-    by_token = first_matches(asked.select("pattern"), records, seen)
+    by_token = (first_holding if by_words else first_matches)(asked.select("pattern"), records, seen)
     merged = asked.join(by_token, "pattern").groupBy(*keys).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))), 1, seen).alias("held"))
     any_ = records.select("id", "evidence").distinct().orderBy("id").limit(seen).agg(F.sort_array(F.collect_list(F.struct("id", "evidence"))).alias("any"))
     out = questions.select(*keys, (F.size("tokens") == 0).alias("open")).distinct().join(merged, keys, "left").join(F.broadcast(any_))  # one row
@@ -48,7 +49,7 @@ def retrieved(questions: DataFrame, records: DataFrame, keys: list[str], most: i
 
     The first 4 * most candidates() of a question are looked at.
     """
-    out = candidates(questions, records, keys, 4 * most)
+    out = candidates(questions, records, keys, 4 * most, by_words=True)
     count = lambda s: F.size(F.filter("held", lambda x: x.evidence == s)).cast("long").alias(s)
     accepted = F.slice(F.transform(F.filter("held", lambda x: x.evidence == "accepted"), lambda x: x.id), 1, most)
     return out.select(*keys, accepted.alias("accepted"), count("unverified"), count("stale"), count("conflicting"))

@@ -223,7 +223,7 @@ def retrieval(t):
     tokens = F.coalesce(scalar.query_tokens(F.col("text"), 6), F.array().cast("array<string>"))
     asked = t.conversations.filter("role = 'user'").select("conv_id", "turn", tokens.alias("tokens")).distinct()
     records = t.documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("text"), F.lit(None).cast("string").alias("evidence"))
-    return services.candidates(asked, records, ["conv_id", "turn"], SEEN).select("conv_id", "turn", F.explode("held.id").alias("doc_id"))
+    return services.candidates(asked, records, ["conv_id", "turn"], SEEN, by_words=True).select("conv_id", "turn", F.explode("held.id").alias("doc_id"))
 
 
 @query("post_search", "SELECT doc_id, source FROM documents WHERE lower(text) LIKE '%th_t%' AND source NOT IN ('src1', 'src2') AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND toxic = 1)")

@@ -132,3 +132,14 @@ def test_like_names_are_found_through_few_characters(spark):
         got = {(r.id, r.other) for r in dedup.class_suggestions(df, least).collect()}
         place = {(b, n): i for i, n, b in rows}
         assert got == {(max(i, j), min(i, j)) for i, x, b in rows for j, y, c in rows if b == c and i > j and ratio(x, y) >= least} and place
+
+
+def test_words_find_what_texts_hold(spark):
+    """Tokens looked up in words give what the search in whole texts gives, in words over LONG_WORD characters too."""
+    long = "x" * 30 + "token7" + "y" * 30
+    rows = [(i, ["a token of", long, "Tokens;tok", "xtoken7x", "to ken", None, ""][i % 7], "accepted") for i in range(60)] + [(3, "token again", "stale")]
+    records = spark.createDataFrame(rows, "id long, text string, evidence string")
+    asked = spark.createDataFrame([("token",), ("token7",), ("tok",), ("xxx",), ("ken",), ("none",), ("y" * 31,), ("x" * 25 + "x",)], "pattern string")
+    of = lambda f: {r.pattern: [(x.id, x.evidence) for x in r.held] for r in f(asked, records, 5).collect()}
+    assert of(search.first_holding) == of(search.first_matches)
+    assert [x for x, _ in of(search.first_holding)["token7"]] == [1, 3, 8, 10, 15]
