@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = spread_join(both, least, "a", "n", 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small_in = written(large.filter("a <> b").distinct(), "edges")
         lowest = small_in.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        joined = spread_join(small_in, lowest, "a", "n", small_in.count())
+        joined = spread_join(small_in, lowest, "a", "n", state[0])  # as many edges as pairs, or fewer
         small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         pairs = written(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges", instead_of=pairs)
         before, state = state, _state(pairs)

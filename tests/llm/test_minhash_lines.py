@@ -3,7 +3,9 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tessera.llm import common
 from tessera.llm.components import connected_components
 from tessera.llm.line_dedup import common_blocks, dedup_lines, patience
 from tessera.llm.minhash import Shingler, drop_near_duplicates, near_duplicates
@@ -176,3 +178,16 @@ def test_line_dedup_of_awkward_and_empty_tables(spark):
     assert by_id[4].text is None and by_id[4].removed_lines == 0 and by_id[5].text == "" and by_id[2].text == ""
     assert [r.removed_lines for r in rows if r.doc_id == 9] == [0, 0, 0]
     assert dedup_lines(none(spark)).count() == 0
+
+
+def test_spread_join_broadcasts_hot_keys_only(spark, monkeypatch):
+    many = spark.createDataFrame([(k % 7, k) for k in range(60)] + [(9, 100 + k) for k in range(40)] + [(50, 1)], "k long, v long")
+    one = many.filter("k <> 50").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.col("k") * 10)
+    by_key = {r.k: (r.n, r.w) for r in one.collect()}
+    expected = sorted((k, v, *by_key[k]) for k, v in ((r.k, r.v) for r in many.collect()) if k in by_key)
+    for least, broadcasts in ((1, True), (20, True), (1024, False)):
+        monkeypatch.setattr(common, "HOT_LEAST", least)
+        joined = common.spread_join(many, common.written(one, "one"), "k", "n", 101)
+        assert sorted(map(tuple, joined.collect())) == expected
+        final = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert ("cast(null as bigint) AS _hot" in final) != broadcasts, final
