@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,53 +63,97 @@ def state_of(now: Column) -> Column:
     return temporal.window_state(now, F.col("opening"), F.col("deadline"), F.col("rolling"), F.col("archived"))
 
 
-def with_value(opportunities: DataFrame, rules: DataFrame, kind: str, value: str, every: list[str]) -> DataFrame:
-    """Opportunities whose rules of a kind name the value, or every one, and do not exclude it."""
-    key = scalar.slug_of(value)
-    own = rules.filter(F.col("rule_type") == kind)
-    included = exists(opportunities, own.filter(F.col("operator").isin("equals", "in") & F.col("value_key").isin(sorted({key, *every}))), "opportunity_id")
-    return not_exists(included, own.filter((F.col("operator") == "not_in") & (F.col("value_key") == key)), "opportunity_id") if key else opportunities.filter(F.lit(False))
-
-
-def public(opportunities: DataFrame, sources: DataFrame, rules: DataFrame, now: Column, filters: Filters = Filters()) -> DataFrame:
-    """Active opportunities with a verified official source and no disqualifying one, that every filter lets pass.
-
-    sources has opportunity_id, source_type, verification_status and last_verified_at; rules opportunity_id, rule_type,
-    operator and value_key, a row for each value. Existence is tested by semi and anti joins, so nothing multiplies;
-    filters on columns reach the scan. A filter whose value has no key, such as `??`, finds nothing.
-    """
-    f, o = filters, opportunities.filter("status = 'active'")
-    plain = {"degree_level": f.degree_level, "funding_type": f.funding_type, "intake_year": f.intake_year}
-    for column, value in plain.items():
-        o = o if value is None else o.filter(F.col(column) == F.lit(value))
+def on_columns(f: Filters, now: Column) -> list[Column]:
+    """What the filters ask of an opportunity's own columns."""
+    asked = [F.col(c) == F.lit(v) for c, v in {"degree_level": f.degree_level, "funding_type": f.funding_type, "intake_year": f.intake_year}.items() if v is not None]
     if f.country is not None:
-        o = o.filter(F.lower("country") == f.country.lower())
+        asked.append(F.lower("country") == f.country.lower())
     if f.deadline_after is not None:
-        o = o.filter(F.col("application_deadline") >= F.lit(f.deadline_after).cast("timestamp_ntz"))
+        asked.append(F.col("application_deadline") >= F.lit(f.deadline_after).cast("timestamp_ntz"))
     if f.deadline_before is not None:
-        o = o.filter(F.col("application_deadline") <= F.lit(f.deadline_before).cast("timestamp_ntz"))
+        asked.append(F.col("application_deadline") <= F.lit(f.deadline_before).cast("timestamp_ntz"))
     if f.funding_coverage is not None:
-        o = o.filter(any_of(*[like_anywhere(F.col(c), f.funding_coverage) for c in COVERAGE_TEXTS]))
+        asked.append(any_of(*[like_anywhere(F.col(c), f.funding_coverage) for c in COVERAGE_TEXTS]))
     if f.application_fee is not None:
         stored = FEE_ALIASES.get(scalar.slug_of(f.application_fee))
-        o = o.filter(F.lit(False) if stored is None else F.col("application_fee_status") == stored)
-    official = sources.filter("source_type = 'official'")
-    verified = official.filter("verification_status = 'officially_verified'")
+        asked.append(F.lit(False) if stored is None else F.col("application_fee_status") == stored)
     if f.open_now:
         due = any_of(F.col("rolling"), F.col("deadline").isNotNull()) & any_of(F.col("opening").isNull(), F.col("opening") <= now) & any_of(F.col("deadline").isNull(), F.col("deadline") >= now)
-        o = exists(o.filter(~F.col("archived") & due), verified.filter(temporal.is_fresh(F.col("last_verified_at"), now)), "opportunity_id")
+        asked.append(~F.col("archived") & due)
     elif f.application_window_state is not None:
-        o = o.filter(state_of(now) == f.application_window_state)
-    shown = verified if f.verified_after is None else verified.filter(F.col("last_verified_at") >= F.lit(f.verified_after).cast("timestamp_ntz"))
-    o = not_exists(exists(o, shown, "opportunity_id"), official.filter(F.col("verification_status").isin(DISQUALIFYING)), "opportunity_id")
-    if f.field is not None:
-        o = with_value(o, rules, "field", f.field, EVERY_FIELD)
-    if f.nationality is not None:
-        o = with_value(o, rules, "nationality", f.nationality, EVERY_NATIONALITY)
+        asked.append(state_of(now) == f.application_window_state)
+    return asked
+
+
+def on_sources(f: Filters, now: Column) -> list[Column]:
+    """What the filters ask of some verified official source each."""
+    asked = [F.lit(True)] if f.verified_after is None else [F.col("last_verified_at") >= F.lit(f.verified_after).cast("timestamp_ntz")]
+    return asked + ([temporal.is_fresh(F.col("last_verified_at"), now)] if f.open_now else [])
+
+
+def on_rules(f: Filters) -> tuple[list[Column], list[Column]]:
+    """(what some rule must be, each; what no rule may be)."""
+    some, none = [], []
+    for kind, value, every in (("field", f.field, EVERY_FIELD), ("nationality", f.nationality, EVERY_NATIONALITY)):
+        if value is not None:
+            key, own = scalar.slug_of(value), F.col("rule_type") == kind
+            some.append(own & F.col("operator").isin("equals", "in") & F.col("value_key").isin(sorted({key, *every})) if key else F.lit(False))
+            none.append(own & (F.col("operator") == "not_in") & (F.col("value_key") == key) if key else F.lit(False))
     if f.english_requirement is not None:
         key = scalar.slug_of(f.english_requirement)
         hit = F.col("rule_type") == key if key in ENGLISH_TESTS else F.col("rule_type").isin(ENGLISH_RULES) & (F.col("value_key") == key)
-        o = exists(o, rules.filter(hit), "opportunity_id") if key else o.filter(F.lit(False))
+        some.append(hit if key else F.lit(False))
+    return some, none
+
+
+def searched(opportunities: DataFrame, sources: DataFrame, rules: DataFrame, now: Column, searches: list[Filters]) -> DataFrame:
+    """The rows of public() for each of several searches, with `search`, its number: tables are read once for all.
+
+    Sources and rules become a row of flags an opportunity, a flag for each thing that a search asks, so one join of
+    each serves every search and no task works on several searches' joins at once.
+    """
+    flags: dict[str, list[Column]] = {"s": [], "r": []}
+
+    def flag(table: str, asked: Column) -> Column:
+        flags[table].append(F.coalesce(F.bool_or(asked), F.lit(False)).alias(f"_{table}{len(flags[table])}"))
+        return F.col(f"_{table}{len(flags[table]) - 1}")
+
+    official = F.col("source_type") == "official"
+    verified = official & (F.col("verification_status") == "officially_verified")
+    out = flag("s", official & F.col("verification_status").isin(DISQUALIFYING))
+    shown, passing = flag("s", verified), []
+    for f in searches:
+        some, none = on_rules(f)
+        asked = on_columns(f, now) + [flag("s", verified & c) for c in on_sources(f, now)]
+        asked += [F.coalesce(flag("r", c), F.lit(False)) for c in some] + [~F.coalesce(flag("r", c), F.lit(False)) for c in none]
+        passing.append(reduce(lambda a, b: a & b, asked))
+    facts = sources.groupBy("opportunity_id").agg(*flags["s"]).filter(shown & ~out)
+    o = opportunities.filter("status = 'active'").join(facts, "opportunity_id")
+    if flags["r"]:
+        o = o.join(rules.groupBy("opportunity_id").agg(*flags["r"]), "opportunity_id", "left")
+    numbers = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(passing)]))
+    return o.select(*opportunities.columns, F.explode(numbers).alias("search"))
+
+
+def public(opportunities: DataFrame, sources: DataFrame, rules: DataFrame, now: Column, filters: Filters = Filters()) -> DataFrame:
+    """Active opportunities with a verified official source and no disqualifying one, that every filter lets pass.
+
+    sources has opportunity_id, source_type, verification_status and last_verified_at; rules opportunity_id, rule_type,
+    operator and value_key, a row for each value. Existence is tested by semi and anti joins, so nothing multiplies;
+    filters on columns reach the scan. A filter whose value has no key, such as `??`, finds nothing.
+    """
+    f, o = filters, opportunities.filter("status = 'active'")
+    for asked in on_columns(f, now):
+        o = o.filter(asked)
+    official = sources.filter("source_type = 'official'")
+    for asked in on_sources(f, now):
+        o = exists(o, official.filter("verification_status = 'officially_verified'").filter(asked), "opportunity_id")
+    o = not_exists(o, official.filter(F.col("verification_status").isin(DISQUALIFYING)), "opportunity_id")
+    some, none = on_rules(f)
+    for asked in some:
+        o = exists(o, rules.filter(asked), "opportunity_id")
+    for asked in none:
+        o = not_exists(o, rules.filter(asked), "opportunity_id")
     return o
 
 

@@ -121,17 +121,17 @@ def public_search(t):
     """The first hundred results of ten searches, by none or several of the filters each."""
     o, s, r = tables(t)
     now = clock(ORDER_CLOCK)
-    first = lambda df: df.orderBy(*catalogue.in_order(now)).limit(100).withColumn("place", F.row_number().over(Window.orderBy(*catalogue.in_order(now))).cast("long"))
-    found = [first(catalogue.public(o, s, r, now, f)).select(F.lit(i).alias("search"), "opportunity_id", "place") for i, (f, _) in enumerate(SEARCHES)]
-    return reduce(DataFrame.unionByName, found)
+    place = F.row_number().over(Window.partitionBy("search").orderBy(*catalogue.in_order(now))).cast("long")
+    found = catalogue.searched(o, s, r, now, [f for f, _ in SEARCHES]).withColumn("place", place)
+    return found.filter(F.col("place") <= 100).select("search", "opportunity_id", "place")
 
 
 @query("public_search_totals", f"{TABLES_SQL} SELECT search, count(*) AS total FROM ({FOUND_SQL}) f GROUP BY 1")
 def public_search_totals(t):
     """How many results each search has, for those that have any."""
     o, s, r = tables(t)
-    found = [catalogue.public(o, s, r, clock(ORDER_CLOCK), f).select(F.lit(i).alias("search")) for i, (f, _) in enumerate(SEARCHES)]
-    return reduce(DataFrame.unionByName, found).groupBy("search").agg(F.count(F.lit(1)).alias("total"))
+    found = catalogue.searched(o, s, r, clock(ORDER_CLOCK), [f for f, _ in SEARCHES])
+    return found.groupBy("search").agg(F.count(F.lit(1)).alias("total"))
 
 
 HAS_SQL = "EXISTS (SELECT 1 FROM sources s WHERE s.opportunity_id = o.opportunity_id AND verification_status {})"

@@ -143,3 +143,21 @@ def test_words_find_what_texts_hold(spark):
     of = lambda f: {r.pattern: [(x.id, x.evidence) for x in r.held] for r in f(asked, records, 5).collect()}
     assert of(search.first_holding) == of(search.first_matches)
     assert [x for x, _ in of(search.first_holding)["token7"]] == [1, 3, 8, 10, 15]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_searches_at_once_give_each_search_rows_and_read_sources_once(spark):
+    from tessera.operators import catalogue
+    from tessera.plans import QUERIES
+    from tessera.plans import search as plan
+    from tessera.plans.registry import ORDER_CLOCK, Tables, clock
+
+    o, s, r = plan.tables(Tables(spark, SMALL))
+    found = catalogue.searched(o, s, r, clock(ORDER_CLOCK), [f for f, _ in plan.SEARCHES]).select("search", "opportunity_id").collect()
+    for i in (1, 4, 5, 7, 9):
+        alone = catalogue.public(o, s, r, clock(ORDER_CLOCK), plan.SEARCHES[i][0]).select("opportunity_id").collect()
+        assert sorted(x.opportunity_id for x in found if x.search == i) == sorted(x.opportunity_id for x in alone), i
+    text = QUERIES["public_search"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("l_partkey") and text.count("Relation [l_orderkey") == 1
