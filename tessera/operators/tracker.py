@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import casefolded, starter_category, trimmed
 from ..functions.temporal import days
-from .relational import recent
+from .relational import dealt, parts_for, recent
 
 # Lifecycles that count as submitted, states of tasks and reminders that are still open.
 SUBMITTED = ["submitted", "decision_received", "accepted", "declined"]
@@ -28,9 +28,12 @@ def dashboard(applications: DataFrame, tasks: DataFrame, reminders: DataFrame, n
     null come last, deadlines that have passed are approaching too.
     """
     end = now + days(soon)
+    # The three joins by application share the tasks of one stage, so their parts are of a bounded number of rows.
+    parts = max(map(parts_for, (applications, tasks, reminders)))
+    tasks, reminders = (dealt(df, "application_id", parts) for df in (tasks, reminders))
     by_deadline = [F.col("deadline").asc_nulls_last(), F.col("application_id")]
     own = recent(applications, ["user_id"], seen, *by_deadline)
-    owners = applications.select("user_id", "application_id")
+    owners = dealt(applications.select("user_id", "application_id"), "application_id", parts)
     open_ = tasks.filter(F.col("status").isin(OPEN_TASKS))
     blocked = open_.filter("status = 'blocked'").select("application_id").distinct().withColumn("blocked", F.lit(True))
     own = own.join(blocked, "application_id", "left")
@@ -47,13 +50,13 @@ def dashboard(applications: DataFrame, tasks: DataFrame, reminders: DataFrame, n
         names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in lists.items()]))
         return df.select("user_id", F.explode(names).alias("list"), F.col(at).alias("at"), priority.alias("priority"), F.col(item).alias("item_id"))
 
-    parts = [
+    lists = [
         listed(open_.join(owners, "application_id"), on_task, "task_id", "due_at", F.col("priority")),
         listed(own, on_application, "application_id", "deadline", F.lit("")),
         listed(waiting.join(owners, "application_id"), {"upcoming_reminders": F.lit(True)}, "reminder_id", "due_at", F.col("priority")),
     ]
     place = F.row_number().over(Window.partitionBy("user_id", "list").orderBy(F.col("at").asc_nulls_last(), F.desc("priority"), "item_id")).cast("long")
-    return reduce(DataFrame.unionByName, parts).withColumn("place", place).filter(F.col("place") <= most).select("user_id", "list", "place", "item_id")
+    return reduce(DataFrame.unionByName, lists).withColumn("place", place).filter(F.col("place") <= most).select("user_id", "list", "place", "item_id")
 
 
 def starter_tasks(applications: DataFrame, opportunities: DataFrame, actions: DataFrame) -> DataFrame:

@@ -141,3 +141,14 @@ def test_nested_export_is_json_in_order(spark, tmp_path):
     written_nested(fragments, "k", str(tmp_path / "out"))
     lines = [x for f in (tmp_path / "out").glob("part-*") for x in f.read_text().split("\n") if x.strip()]
     assert {json.loads(x)["k"]: json.loads(x) for x in lines} == want
+
+
+def test_parts_of_large_tables_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    from tessera.operators import relational
+    from tessera.plans import QUERIES
+
+    monkeypatch.setattr(relational, "PART_ROWS", 500)  # sf0.001 has about 6,000 lines
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    for name in ("cascade_graph", "dashboard_lists"):
+        text = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert f", {-(-lines // 500)}" in text and "RepartitionByExpression" in text, name
