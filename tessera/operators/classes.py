@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import reason_code, squeezed
 from . import matching
+from .relational import dealt, parts_for
 
 #: Stands for every value that no rule names and no threshold tells from others; no rule can name it.
 OTHER = "\x00other"
@@ -51,9 +52,12 @@ def profile_classes(profiles: DataFrame, opportunities: DataFrame) -> tuple[Data
     need. Values of rule types that no opportunity uses do not matter, of the others only how the rules treat them.
     """
     named, kinds = rule_values(opportunities)
-    entries = profiles.select("user_id", F.explode("profile_values").alias("kind", "values")).select("user_id", "kind", F.explode("values").alias("token"))
-    # Joins by equality: small sides are broadcast behind the engine's check of their size, hot values split otherwise.
-    placed = entries.join(kinds, "kind").join(named, ["kind", "token"], "left")
+    # Few files hold many profiles, whose values are many more rows: dealt before they are taken apart.
+    spread = dealt(profiles.select("user_id", "profile_values"), "user_id", parts_for(profiles))
+    entries = spread.select("user_id", F.explode("profile_values").alias("kind", "values")).select("user_id", "kind", F.explode("values").alias("token"))
+    # Kinds of rules are a fixed few: broadcast, for as the streamed side they would expand all entries in the task that
+    # holds them. The named values are broadcast behind the engine's check of their size, hot values split otherwise.
+    placed = entries.join(F.broadcast(kinds), "kind").join(named, ["kind", "token"], "left")
     number = _number(F.col("token"))
     coarse = (
         F.when(F.col("named") | F.col("token").isin(*MEANINGFUL), F.col("token"))

@@ -161,3 +161,11 @@ def test_searches_at_once_give_each_search_rows_and_read_sources_once(spark):
         assert sorted(x.opportunity_id for x in found if x.search == i) == sorted(x.opportunity_id for x in alone), i
     text = QUERIES["public_search"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("l_partkey") and text.count("Relation [l_orderkey") == 1
+
+
+def test_profile_values_meet_the_kinds_of_rules_in_many_tasks(spark):
+    from tessera.plans import rules
+    from tessera.plans.registry import Tables
+
+    text = rules.classed(Tables(spark, SMALL))[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [user_id" in text and "rightHint=(strategy=broadcast)" in text
