@@ -159,9 +159,10 @@ def _possible(open_: DataFrame, percent: int) -> DataFrame:
         found = np.flatnonzero(counters)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(found, pa.int64()), "n": pa.array(counters[found], pa.int64())})
 
-    counted = open_.select("set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    # As Arrow: a row object for each of up to SLOTS counters would take the driver many times their 4 MB.
+    counted = open_.select("set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(SLOTS, dtype=np.int64)
-    frequency[counted["slot"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
+    frequency[counted["slot"].to_numpy()] = counted["n"].to_numpy()
     shared = open_.sparkSession.sparkContext.broadcast(frequency)
     schema = pa.schema([("shingle", pa.int64()), ("node", pa.binary()), ("root", pa.binary()), ("size", pa.int64()), ("at", pa.int64())])
 

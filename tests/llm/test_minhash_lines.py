@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 from tessera.llm.components import connected_components
 from tessera.llm.line_dedup import common_blocks, dedup_lines, patience
-from tessera.llm.minhash import Shingler, drop_near_duplicates, near_duplicates
+from tessera.llm.minhash import SLOTS, Shingler, _possible, drop_near_duplicates, near_duplicates
 
 from .data import awkward, awkward_rows, none, prose
 
@@ -191,3 +192,29 @@ def test_spread_join_broadcasts_hot_keys_only(spark, monkeypatch):
         assert sorted(map(tuple, joined.collect())) == expected
         final = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert ("cast(null as bigint) AS _hot" in final) != broadcasts, final
+
+
+def test_counters_of_every_slot_reach_the_driver_without_a_row_each(spark):
+    """Two linked sets that fill all counters: the pair is found, and the driver's Python holds arrays, not rows."""
+    h = np.sort(np.arange(SLOTS, dtype=np.uint64) * np.uint64(SLOTS + 1) + np.uint64(7))
+    rows = [(b"a", b"a", bytearray(h.tobytes())), (b"b", b"b", bytearray(h[1:].tobytes()))]
+    open_ = common.written(spark.createDataFrame(rows, "node binary, root binary, set binary"), "open")
+    _possible(open_.limit(0), 80)  # what the first call loads does not count
+    tracemalloc.start()
+    try:
+        pairs = _possible(open_, 80)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [(bytes(r.a), bytes(r.b)) for r in pairs.collect()] == [(b"a", b"b")]
+    assert most < 24e6, most
+
+
+def test_components_that_are_stars_take_no_round(spark):
+    """A round is some eight shuffles, which the driver plans and schedules even where it would change nothing."""
+    stars = spark.createDataFrame([(1, 5), (7, 1), (1, 7), (2, 3), (4, 4), (None, 1)], "a long, b long")
+    assert sorted((r.node, r.root) for r in connected_components(stars, rounds=0).collect()) == [(1, 1), (2, 2), (3, 2), (5, 1), (7, 1)]
+    for edges in ([(3, 2), (2, 1)], [(3, 1), (3, 2)]):  # a node with a smaller and a larger neighbour; with two smaller ones
+        roots = connected_components(spark.createDataFrame(edges, "a long, b long"), rounds=3).collect()
+        assert sorted((r.node, r.root) for r in roots) == [(1, 1), (2, 1), (3, 1)]
+    assert connected_components(spark.createDataFrame([], "a long, b long"), rounds=0).count() == 0
