@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -83,6 +84,26 @@ def test_run_keeps_clean_documents_and_one_of_each_group(spark):
     assert total / (used * 4096) > 0.95 and out.select("doc_id").distinct().count() > 0.4 * docs.count()
 
 
+def test_stages_hand_texts_to_python_in_batches_of_bounded_bytes(spark, tmp_path):
+    from tessera.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = spark.range(600, numPartitions=1).select(F.repeat(F.lit("kana "), 10_000).alias("text"))
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(common.ARROW_BATCH)
+        stage(spark, none(spark), str(tmp_path))
+        found = texts.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r.rows for r in found) == 600 and max(r.bytes for r in found) < 2 * common.ARROW_BYTES
+    spark.conf.set(common.ARROW_BATCH, "1000000")  # a bound of the session's own stays
+    common.bound_batches(spark)
+    assert spark.conf.get(common.ARROW_BATCH) == "1000000"
+    spark.conf.unset(common.ARROW_BATCH)
+
+
 def brute_classes(rows, labels, sample):
     """Site qualities and decisions from the operator's own evidence, by sums over plain lists."""
     known = {}
