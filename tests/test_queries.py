@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import plans
 from tessera.functions import scalar
@@ -176,3 +177,19 @@ def test_matches_by_classes_agree_with_all_pairs(spark):
     # The fewer pairs of classes do not grow with the members: twice the customers and parts are as many rows.
     twice = type("Tables", (), {"customer": tables.customer.union(tables.customer), "part": tables.part.union(tables.part)})()
     assert matching.pair_classes(twice).count() == counted.count()
+
+
+def test_listed_pairs_of_one_size_are_dealt_to_many_tasks(spark, monkeypatch):
+    """All customers and parts of one size: no task lists more than its share of the pairs, which agree with the SQL."""
+    for name, value in (("BLOCK", 20), ("CHUNK", 16), ("TASK_PAIRS", 1_000)):
+        monkeypatch.setattr(matching, name, value, raising=False)
+    customer = [(50 * k + 7, k % 25, float(k % 40) * 50 - 100 if k % 11 else None) for k in range(200)]
+    part = [(k, ["ECONOMY", "PROMO", None][k % 3], 7, 900.0 + 5 * k if k % 13 else None) for k in range(150)]
+    tables, con = as_tables(spark, customer=("c_custkey long, c_nationkey int, c_acctbal double", customer), part=("p_partkey long, p_type string, p_size int, p_retailprice double", part))
+    for name in ("match_explanations",):
+        got = getattr(matching, name)(tables)
+        assert len(agrees(got, con, name)) == 30_000
+        by_task = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert len(by_task) > 20 and max(by_task) < 5_000
+        empty = type("Tables", (), {"spark": spark, "customer": tables.customer, "part": tables.part.filter("p_size = 8")})()
+        assert getattr(matching, name)(empty).isEmpty()
