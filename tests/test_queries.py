@@ -186,7 +186,7 @@ def test_listed_pairs_of_one_size_are_dealt_to_many_tasks(spark, monkeypatch):
     customer = [(50 * k + 7, k % 25, float(k % 40) * 50 - 100 if k % 11 else None) for k in range(200)]
     part = [(k, ["ECONOMY", "PROMO", None][k % 3], 7, 900.0 + 5 * k if k % 13 else None) for k in range(150)]
     tables, con = as_tables(spark, customer=("c_custkey long, c_nationkey int, c_acctbal double", customer), part=("p_partkey long, p_type string, p_size int, p_retailprice double", part))
-    for name in ("match_explanations",):
+    for name in ("match_explanations", "match_scores"):
         got = getattr(matching, name)(tables)
         assert len(agrees(got, con, name)) == 30_000
         by_task = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("task")).count().collect()]
